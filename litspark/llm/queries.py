@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import exact_dedup, mixing, quality
+from litspark.llm import exact_dedup, minhash, mixing, pieces, quality, secrets
 from litspark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,24 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_check(documents(spark, sf_dir))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(documents(spark, sf_dir)))
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op6_minhash_dedup, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
