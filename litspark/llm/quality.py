@@ -199,7 +199,8 @@ def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: in
 
     for _ in range(steps):
         seen = near(state, ["grp", "start"])
-        cut = seen.groupBy("grp", "start").agg(F.expr(f"percentile(bin, {majority}, n)").alias("cut"))
+        # one row a group: written, so that its size is known and the rows needn't be dealt by group to meet it
+        cut = saved(seen.groupBy("grp", "start").agg(F.expr(f"percentile(bin, {majority}, n)").alias("cut")), "cut")
         state = saved(with_cholesky(moments(seen.join(cut, ["grp", "start"]).filter("bin <= cut"), ["grp", "start"], x), consistency(majority)).select("grp", "start", *STATE), "state")
 
     best = state.groupBy("grp").agg(F.min_by(F.struct("start", *STATE), F.struct("log_det", "start")).alias("s")).select("grp", "s.*")
