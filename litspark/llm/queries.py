@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import exact_dedup, html_text, language, minhash, mixing, pieces, quality, secrets
+from litspark.llm import exact_dedup, html_text, language, minhash, mixing, pieces, quality, repeats, secrets
 from litspark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(documents(spark, sf_dir)))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op8_exact_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op8_exact_dedup, op9_repeated_passages, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
