@@ -180,7 +180,7 @@ def resolve_shards(pieces: DataFrame, width: int, n_shards: int) -> DataFrame:
         first = np.cumsum(size) - size
         piece = np.repeat(np.arange(len(rows)), size)
         end = np.repeat(first + size, size)
-        sa, packed = suffix_array(data, end, width)
+        sa, packed = suffix_array(data, end)
         lcp = common_prefixes(sa, packed, first, end)
         near = np.zeros(len(data), bool)
         near[sa] = (lcp >= width) | np.concatenate([lcp[1:] >= width, [False]])

@@ -1,16 +1,16 @@
-"""Suffix arrays in numpy over many short pieces of bytes, to a bounded depth."""
+"""Suffix arrays in numpy over many short pieces of bytes."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and packed first 8 bytes of each suffix.
 
     Larsson-Sadakane refinement: suffixes are ranked by their first 8 bytes, then groups of equal rank are sorted again
-    by the rank of the suffix h further, h doubling, until they agree in ``depth`` bytes. end: of each position the end
-    of its piece, at which its suffix ends.
+    by the rank of the suffix h further, h doubling. Suffixes that are equal to their ends stay in the order of position,
+    which Kasai's rule needs. end: of each position the end of its piece, at which its suffix ends.
     """
     n = len(data)
     at = np.arange(n)
@@ -18,6 +18,7 @@ def suffix_array(data: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndar
     packed = np.zeros(n, np.uint64)
     for i in range(8):
         packed = (packed << np.uint64(8)) | np.where(at + i < end, padded[i : n + i], 0).astype(np.uint64)
+    depth = int((end - at).max(initial=0))
     sa = np.argsort(packed, kind="stable")
     new = np.empty(n, bool)
     new[:1] = True
