@@ -167,7 +167,7 @@ def crossing(posts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    """One row per row of docs: doc_id, row_key (hash of id and text), n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     rows = saved(describe(docs, width), "shingles")
     full = rows.filter("digest IS NOT NULL")
@@ -186,6 +186,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     named = classes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = named.join(names, "comp").select(F.col("id").alias("digest"), "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    out = rows.select("doc_id", "row_key", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of docs that are kept, with all columns: one of each group, if exact copies are gone before.
+
+    Rows without an id can't be told from each other by it and stay.
+    """
+    gone = near_duplicates(docs, width, percent).filter("NOT kept").select(F.col("row_key").alias("__key"), F.col("doc_id").alias("__id"))
+    return docs.join(gone, (row_key() == F.col("__key")) & (docs["doc_id"] == F.col("__id")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import exact_dedup, html_text, language, minhash, mixing, pieces, quality, repeats, secrets
+from litspark.llm import exact_dedup, html_text, language, line_dedup, minhash, mixing, pieces, quality, repeats, secrets
 from litspark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(documents(spark, sf_dir))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op8_exact_dedup, op9_repeated_passages, op10_html_text)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op7_line_dedup, op8_exact_dedup, op9_repeated_passages, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
