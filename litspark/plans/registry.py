@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from litspark.plans import audit, bibliography, evidence, joins, structure, summaries, synthesis  # noqa: F401  they register their queries
+from litspark.plans.query import FOUND
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
