@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The inline tags that cards may have to be freed of, and the characters unsafe in file names.
 KNOWN_TAGS = ["a", "b", "br", "div", "em", "font", "i", "img", "li", "ol", "p", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "u", "ul"]
@@ -55,7 +56,7 @@ def unescape_common(col: Column) -> Column:
     return col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(col: pd.Series) -> pd.Series:
     """All character references."""
     return col.map(html.unescape, na_action="ignore")
@@ -115,7 +116,7 @@ def compact_nfkc_text(x: str) -> str:
     return "".join(unicodedata.normalize("NFKC", x).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compact_nfkc(col: pd.Series) -> pd.Series:
     """Compatibility form without white space."""
     return col.map(compact_nfkc_text, na_action="ignore")
@@ -128,7 +129,7 @@ def title_similarity_native(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.85).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
@@ -140,7 +141,7 @@ def title_similarity(a: Column, b: Column, least: float = 0.72) -> Column:
     return F.when((exact > 0) | (canonical_title(a) == "") | (canonical_title(b) == ""), exact).when(ratio >= least, ratio).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def char_overlap(source: pd.Series, other: pd.Series) -> pd.Series:
     """Share of the source's characters that matching blocks keep."""
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litspark.functions.text import strip
 
@@ -102,7 +103,7 @@ def heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: s
 
     The stack after a jump depends on all before it, so this is a small function over the headings of one document.
     """
-    out = headings.schema.add("path", "array<string>")
+    out = T.StructType([*headings.schema.fields, T.StructField("path", T.ArrayType(T.StringType()))])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         stack: list[str] = []
@@ -282,7 +283,7 @@ def lock_body(headings: DataFrame, by: str, order: str, family: str, pending: in
 
     A state machine over the headings of one document: a numbered heading waits until ``pending`` numbered ones were seen.
     """
-    out = headings.schema.add("locked", "boolean")
+    out = T.StructType([*headings.schema.fields, T.StructField("locked", T.BooleanType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
