@@ -36,7 +36,7 @@ from litspark.llm.suffix import common_prefixes, suffix_array
 
 GRAM = 32
 SLICE = 1 << 20
-SHARD_RUNS = 4000
+SHARD_RUNS = 2500
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _inverse = np.ones(1, np.uint64)
 
@@ -250,11 +250,12 @@ def repeated_spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     texts = packed_texts(docs)
     rows = saved(list_runs(docs, width), "runs")
     runs = rows.select("tid", F.explode(F.arrays_zip("first", "count", "gram", "digest")).alias("r")).select("tid", "r.*")
-    shared = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # written, so that the join deals both sides and Spark can split a frequent minimizer's rows
+    shared = saved(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared_grams")
     runs = saved(runs.join(shared, "gram"), "shared_runs")
     kinds = saved(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "first", "count")).alias("one")), "kinds")
+    rivals = saved(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1"), "rivals")
     whole = runs.join(kinds.filter("n > 1").select("gram", "digest"), ["gram", "digest"]).select("tid", F.col("first").alias("start"), (F.col("first") + F.col("count") + width - 1).alias("stop"))
-    rivals = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1")
     wanted = kinds.join(rivals, "gram").select("one.*", "gram", "digest", "runs")
     pieces = saved(cut_pieces(texts, wanted, width), "pieces")
     n_shards = max(1, pieces.count() // SHARD_RUNS)
