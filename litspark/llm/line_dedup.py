@@ -98,15 +98,39 @@ def line_id(line: Column) -> Column:
     return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
-def similar_lines(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
-    """lines: id, line (all different) -> (a, b): ids of the pairs within ``errors`` edits."""
+def segment_table(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
+    """(short, posts, probes): keys of each different line, written once; short is a 64-bit hash of the line.
+
+    Lines are reduced to their keys before they are dealt, so their texts aren't shuffled.
+    """
     long = lines.filter(F.length("line") >= min_chars).withColumn("n", F.length("line"))
-    posts = long.select("id", F.explode(index_keys(F.col("line"), F.col("n"), errors)).alias("key"))
-    probes = long.select(F.col("id").alias("probe"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), errors))).alias("key"))
-    pairs = probes.join(posts, "key").filter("id <> probe").select(F.least("id", "probe").alias("a"), F.greatest("id", "probe").alias("b")).distinct()
-    left, right = lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), lines.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.filter(within_errors(F.col("line_a"), F.col("line_b"), errors)).select("a", "b")
+    keys = F.struct(index_keys(F.col("line"), F.col("n"), errors).alias("posts"), F.array_distinct(probe_keys(F.col("line"), F.col("n"), errors)).alias("probes"))
+    each = long.select(F.xxhash64("line").alias("short"), keys.alias("k"))
+    return saved(each.groupBy("short").agg(F.first("k").alias("k")).select("short", "k.*"), "segments")
+
+
+def fetch_lines(lines: DataFrame, wanted: DataFrame, small: int = 500_000) -> DataFrame:
+    """(short, line) of the wanted hashes; equal hashes of different lines give several rows.
+
+    Up to ``small`` hashes, of 8 bytes each, are broadcast, which leaves all other lines where they are; more are joined
+    by shuffle.
+    """
+    side = F.broadcast(wanted) if wanted.count() <= small else wanted
+    return lines.select(F.xxhash64("line").alias("short"), "line").join(side, "short", "left_semi").distinct()
+
+
+def similar_lines(lines: DataFrame, errors: int, min_chars: int) -> DataFrame:
+    """lines: line, repeats allowed -> (a, b): ids of the pairs of different lines within ``errors`` edits."""
+    table = segment_table(lines, errors, min_chars)
+    posts = table.select(F.col("short").alias("post"), F.explode("posts").alias("key"))
+    probes = table.select(F.col("short").alias("probe"), F.explode("probes").alias("key"))
+    met = probes.join(posts, "key").filter("post <> probe").select(F.least("post", "probe").alias("x"), F.greatest("post", "probe").alias("y"))
+    pairs = saved(met.distinct(), "line_pairs")
+    ends = saved(pairs.select(F.explode(F.array("x", "y")).alias("short")).distinct(), "line_ends")
+    texts = saved(fetch_lines(lines.filter(F.length("line") >= min_chars), ends), "line_texts")
+    left, right = texts.select(F.col("short").alias("x"), F.col("line").alias("line_x")), texts.select(F.col("short").alias("y"), F.col("line").alias("line_y"))
+    near = pairs.join(left, "x").join(right, "y").filter(within_errors(F.col("line_x"), F.col("line_y"), errors))
+    return near.select(line_id(F.col("line_x")).alias("a"), line_id(F.col("line_y")).alias("b"))
 
 
 def classes_of(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -131,8 +155,7 @@ def repeated_lines(docs: DataFrame, errors: int = ERRORS, min_chars: int = MIN_C
     has_word = lambda x: F.translate(x, SPACES, "") != ""
     at = rows.select("doc_id", "text_key", F.posexplode("lines").alias("number", "line")).filter(has_word(F.col("line")))
     places = saved(at.select("doc_id", "text_key", "number", line_id(F.col("line")).alias("id")), "line_places")
-    lines = saved(at.groupBy("line").agg(F.count(F.lit(1)).alias("n")).select("line", line_id(F.col("line")).alias("id")), "lines")
-    named = classes_of(saved(similar_lines(lines, errors, min_chars), "similar_lines"))
+    named = classes_of(saved(similar_lines(at.select("line"), errors, min_chars), "similar_lines"))
     placed = places.join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
     # null ids come first
     order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("text_key"), F.col("number"))
