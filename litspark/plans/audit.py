@@ -1 +1,72 @@
-"""Queries."""
+"""Queries of the run ledger and its checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from litspark.operators import audits as au
+from litspark.operators import evidence as ev
+from litspark.plans.query import V_RUN, Tables, query
+
+LEGAL = {"view": ["click", "view"], "click": ["purchase", "click", "view"], "purchase": ["view"]}
+LEGAL_SQL = "(before = 'view' AND stage IN ('click', 'view')) OR (before = 'click' AND stage IN ('purchase', 'click', 'view')) OR (before = 'purchase' AND stage = 'view')"
+
+
+@query(f"""WITH {V_RUN} SELECT run_id, CASE WHEN stage NOT IN ('purchase', 'click') THEN 'closed' WHEN stage = 'click' AND floor(cost) % 2 = 0 THEN 'inconsistent' ELSE 'open' END AS gate FROM v_run""")
+def q_gate_status(t: Tables) -> DataFrame:
+    runs = t.v_run.select("run_id", F.when(F.col("stage") == "click", "partial").otherwise(F.col("stage")).alias("status"), (F.floor("cost") % 2).alias("failures"))
+    return au.gate_sources(runs, "status", ["purchase", "partial"], "failures").select("run_id", "gate")
+
+
+@query(f"""WITH {V_RUN}, l AS (SELECT *, lag(stage) OVER (PARTITION BY paper_id ORDER BY run_id) AS before FROM v_run) SELECT run_id, before, stage FROM l WHERE before IS NOT NULL AND NOT ({LEGAL_SQL})""")
+def q_job_transitions(t: Tables) -> DataFrame:
+    return au.illegal_transitions(t.v_run, "paper_id", "run_id", "stage", LEGAL).select("run_id", "before", "stage")
+
+
+@query(f"""WITH {V_RUN}, p AS (SELECT paper_id, CASE WHEN max(cost) < 20 THEN 'failed' ELSE 'included' END AS status FROM v_run GROUP BY 1), n AS (SELECT count(*) FILTER (status = 'included') AS included, count(*) FILTER (status = 'failed') AS failed FROM p)
+SELECT *, CASE WHEN failed > 0 THEN 'stopped' WHEN included < 2 THEN 'too_few' ELSE 'go' END AS outcome FROM n""")
+def q_pipeline_gate(t: Tables) -> DataFrame:
+    papers = t.v_run.groupBy("paper_id").agg(F.when(F.max("cost") < 20, "failed").otherwise("included").alias("status"))
+    return au.pipeline_gate(papers, "status")
+
+
+@query()
+def q_stream_corpus(t: Tables) -> DataFrame:
+    """The latest run of each paper, kept up by a stream of event files; tests hold that it equals the batch."""
+    from litspark.streaming.corpus import latest_runs_stream
+
+    return latest_runs_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("""SELECT doc_id, CASE WHEN c.h IS NULL THEN 'miss' WHEN c.lang = d.lang AND c.h = sha256(d.text) THEN 'hit' ELSE 'stale' END AS status FROM documents d LEFT JOIN (SELECT doc_id AS id, lang, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 > 0) c ON d.doc_id = c.id""")
+def q_cache_split(t: Tables) -> DataFrame:
+    now = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    stored = now.filter("doc_id % 3 > 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("hash")))
+    return ev.split_cached(now, stored, "doc_id", ["lang", "hash"]).select("doc_id", "status")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END AS src, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'completed' END AS status FROM orders), f AS (SELECT src, count(*) AS n, bool_or(status = 'completed') AS ok FROM r WHERE src IS NOT NULL GROUP BY src)
+SELECT id, coalesce(n, 0) AS n_corrections, coalesce(ok, false) AS resolved FROM r LEFT JOIN f ON r.id = f.src WHERE status = 'failed'""")
+def q_correction_ledger(t: Tables) -> DataFrame:
+    r = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 1, F.col("o_orderkey") - 1).alias("src"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("completed").alias("status"))
+    return ev.correction_ledger(r, "id", "src", "status")
+
+
+@query("""WITH w AS (SELECT o_orderkey + o_orderkey % 2 * 1000000 AS id FROM orders WHERE o_custkey % 5 = 0) SELECT w.id, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN o_orderstatus = 'F' OR o_custkey % 2 = 0 THEN 'replay' ELSE 'skip' END AS status FROM w LEFT JOIN orders ON w.id = o_orderkey""")
+def q_select_replay(t: Tables) -> DataFrame:
+    wanted = t.orders.filter("o_custkey % 5 = 0").select((F.col("o_orderkey") + F.col("o_orderkey") % 2 * 1000000).alias("id"))
+    batches = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("failed_now"), (F.col("o_custkey") % 2 == 0).alias("failed_before"))
+    return ev.select_replay(batches, wanted, "id")
+
+
+@query("""SELECT o_custkey AS paper, count(*) AS n_cards FROM orders GROUP BY 1""")
+def q_snapshot(t: Tables) -> DataFrame:
+    return au.snapshot(t.orders, "o_custkey", "o_orderkey", ["o_orderkey", "o_totalprice"]).select(F.col("o_custkey").alias("paper"), "n_cards")
+
+
+@query("""SELECT conv_id || ':' || turn AS card, CASE WHEN turn % 4 = 3 THEN 'missing' WHEN turn % 5 = 2 THEN 'repeated' END AS code FROM conversations WHERE turn % 4 = 3 OR turn % 5 = 2""")
+def q_plan_audit(t: Tables) -> DataFrame:
+    cards = t.conversations.select("turn", F.concat_ws(":", "conv_id", "turn").alias("card"))
+    plan = cards.filter("turn % 4 <> 3").withColumn("n", F.explode(F.when(F.col("turn") % 5 == 2, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return ev.audit_plan(plan, cards, "card")

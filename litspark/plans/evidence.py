@@ -1 +1,174 @@
-"""Queries."""
+"""Queries of evidence contracts, gates, revisions and batches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from litspark.functions.arrays import pipe_cells
+from litspark.functions.text import extractive_summary, lead_excerpt, ordered_clause_support, qualifier_dropped
+from litspark.operators import evidence as ev
+from litspark.operators.cards import project_cards  # noqa: F401
+from litspark.operators.relations import find_quotes
+from litspark.plans.query import V_LINE, Tables, query
+
+
+@query("""SELECT b.item_id, d.doc_id, unnest(list_filter([CASE WHEN length(b.text) > 300 THEN 'quote_too_long' END, CASE WHEN d.lang <> 'en' THEN 'wrong_language' END, CASE WHEN d.n_chars < 500 THEN 'card_too_short' END], lambda x: x IS NOT NULL)) AS code FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def q_validate_evidence(t: Tables) -> DataFrame:
+    found = find_quotes(t.benchmark.select("item_id", F.col("text").alias("quote")), t.documents.select("doc_id", "text", "lang", "n_chars"), "quote", "text")
+    unit = found.withColumn("unit", F.struct("item_id", "doc_id"))
+    rules = [("quote_too_long", F.length("quote") <= 300), ("wrong_language", F.col("lang") == "en"), ("card_too_short", F.col("n_chars") >= 500)]
+    return ev.evidence_violations(unit, "unit", rules).select("unit.*", "code")
+
+
+@query("""SELECT item_id, left(sha256(a || chr(31) || text), 24) AS unit_hash FROM (SELECT item_id, text, 'anchor_' || left(sha256('g1' || chr(31) || 'finding' || chr(31) || 'q' || (item_id % 3) || chr(30) || 'r' || (item_id % 2)), 24) AS a FROM benchmark)""")
+def q_evidence_ids(t: Tables) -> DataFrame:
+    cites = F.array(F.concat(F.lit("r"), (F.col("item_id") % 2).cast("string")), F.concat(F.lit("q"), (F.col("item_id") % 3).cast("string")))
+    df = t.benchmark.select("item_id", "text", F.lit("g1").alias("g"), F.lit("finding").alias("kind"), cites.alias("cites"))
+    return ev.evidence_ids(df, "g", "kind", "cites", "text").select("item_id", F.substring("unit_id", 6, 24).alias("unit_hash"))
+
+
+@query("""WITH u AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 48), g AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN 'not_used' ELSE 'deferred' END AS d, CASE WHEN o_custkey % 2 = 0 THEN 'needs_review' ELSE 'off_topic' END AS r FROM orders WHERE o_orderkey % 4 > 0),
+x AS (SELECT o_orderkey AS k, u.k IS NOT NULL AS used, g.k IS NOT NULL AS given, d, r FROM orders LEFT JOIN u ON o_orderkey = u.k LEFT JOIN g ON o_orderkey = g.k)
+SELECT * FROM (SELECT k, CASE WHEN used AND given THEN 'classified_though_used' WHEN NOT used AND NOT given THEN 'unclassified' WHEN given AND NOT ((d = 'not_used' AND r = 'off_topic') OR (d = 'deferred' AND r = 'needs_review')) THEN 'reason_not_allowed' END AS code FROM x) WHERE code IS NOT NULL""")
+def q_dispositions(t: Tables) -> DataFrame:
+    refs = t.lineitem.filter("l_quantity > 48").select(F.col("l_orderkey").alias("k"))
+    items = t.orders.select(F.col("o_orderkey").alias("k"))
+    given = t.orders.filter("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 3 == 0, "not_used").otherwise("deferred").alias("disposition"), F.when(F.col("o_custkey") % 2 == 0, "needs_review").otherwise("off_topic").alias("reason"))
+    return ev.finalize_dispositions(refs, items, given, "k")[1]
+
+
+GATE = """f AS (SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'directly_supported' WHEN doc_id % 3 = 1 THEN 'partial' ELSE 'unsupported' END AS verdict FROM labels),
+d AS (SELECT doc_id, verdict, c, CASE WHEN verdict = 'directly_supported' THEN 'passed_first_pass' WHEN doc_id % 11 = 0 THEN 'passed_quote_containment' WHEN doc_id % 13 = 0 THEN 'accepted_human_override' WHEN c IS NULL THEN 'confirmation_missing' WHEN c = 'directly_supported' THEN 'gate_disagreement' ELSE 'confirmed_blocker' END AS decision
+ FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'directly_supported' ELSE 'unsupported' END END AS c FROM f))"""
+
+
+def first_reviews(t: Tables) -> DataFrame:
+    m = F.col("doc_id") % 3
+    return t.labels.select("doc_id", F.when((F.col("quality") == 1) & (m == 0), "directly_supported").when(m == 1, "partial").otherwise("unsupported").alias("verdict"))
+
+
+def decided(t: Tables) -> DataFrame:
+    confirm = t.labels.filter("doc_id % 4 > 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "directly_supported").otherwise("unsupported").alias("verdict"))
+    return ev.gate_decisions(first_reviews(t), confirm, t.labels.filter("doc_id % 13 = 0"), t.labels.filter("doc_id % 11 = 0"), "doc_id")
+
+
+@query(f"WITH {GATE} SELECT doc_id, decision, CASE decision WHEN 'confirmed_blocker' THEN c WHEN 'passed_quote_containment' THEN 'directly_supported' ELSE verdict END AS effective FROM d")
+def q_gate_decisions(t: Tables) -> DataFrame:
+    return decided(t)
+
+
+@query(f"WITH {GATE} SELECT CASE WHEN count(*) FILTER (decision = 'gate_disagreement') > 0 THEN 'disagreement' WHEN count(*) FILTER (decision = 'confirmed_blocker') > 0 THEN 'confirmed' WHEN count(*) FILTER (decision = 'confirmation_missing') > 0 THEN 'missing' ELSE 'none' END AS failure, count(*) FILTER (decision = 'gate_disagreement') AS n_disagreement, count(*) FILTER (decision = 'confirmed_blocker') AS n_blocker, count(*) FILTER (decision = 'confirmation_missing') AS n_missing FROM d")
+def q_failure_class(t: Tables) -> DataFrame:
+    return ev.failure_class(decided(t))
+
+
+@query(f"WITH {GATE} SELECT doc_id FROM f WHERE verdict <> 'directly_supported' AND doc_id % 11 > 0 AND doc_id % 13 > 0")
+def q_confirm_queue(t: Tables) -> DataFrame:
+    return ev.confirmation_queue(first_reviews(t), t.labels.filter("doc_id % 11 = 0"), t.labels.filter("doc_id % 13 = 0"), "doc_id").select("doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'not_reviewed' WHEN doc_id % 3 = 1 THEN 'not_supported' ELSE 'must_be_direct' END AS why FROM labels WHERE doc_id % 10 = 0 OR doc_id % 3 = 1 OR (doc_id % 3 = 2 AND quality = 1)""")
+def q_statement_gate(t: Tables) -> DataFrame:
+    s = t.labels.select("doc_id", F.when(F.col("quality") == 1, "direct").otherwise("any").alias("required"))
+    r = t.labels.filter("doc_id % 10 > 0").select("doc_id", F.when(F.col("doc_id") % 3 == 1, "partial").when(F.col("doc_id") % 3 == 2, "inferred").otherwise("directly_supported").alias("verdict"))
+    return ev.gate_statements(s, r, "doc_id")
+
+
+@query("""WITH l AS (SELECT doc_id % 40 AS statement, doc_id AS unit FROM labels), b AS (SELECT DISTINCT unit FROM l WHERE unit % 3 = 0), s AS (SELECT DISTINCT statement FROM l WHERE statement % 4 = 0)
+SELECT 'unit' AS kind, b.unit AS id, count(DISTINCT statement) AS n_related FROM b LEFT JOIN l USING (unit) GROUP BY b.unit UNION ALL SELECT 'statement', s.statement, count(DISTINCT unit) FROM s LEFT JOIN l USING (statement) GROUP BY s.statement""")
+def q_semantic_issues(t: Tables) -> DataFrame:
+    links = t.labels.select((F.col("doc_id") % 40).alias("statement"), F.col("doc_id").alias("unit"))
+    return ev.semantic_issues(links.select("unit").distinct().filter("unit % 3 = 0"), links.select("statement").distinct().filter("statement % 4 = 0"), links)
+
+
+@query("""SELECT unit, CASE a WHEN 0 THEN 'open' WHEN 1 THEN CASE WHEN unit % 2 = 0 THEN 'kept' ELSE 'invalid' END WHEN 2 THEN 'dropped' WHEN 3 THEN CASE WHEN unit % 2 = 0 THEN 'repaired' ELSE 'invalid' END ELSE 'kept' END AS outcome FROM (SELECT doc_id AS unit, doc_id % 6 AS a FROM labels)""")
+def q_auto_resolve(t: Tables) -> DataFrame:
+    u = F.col("doc_id")
+    evidence = t.labels.select(u.alias("unit"), F.concat(F.lit("q"), u.cast("string")).alias("quote"))
+    names = F.array(*[F.lit(x) for x in ("human_required", "keep_gate_override", "replace", "repair")])
+    new_quote = F.when(u % 2 == 0, F.lit("other")).otherwise(F.concat(F.lit("q"), u.cast("string")))
+    actions = t.labels.filter("doc_id % 6 < 4").select(u.alias("unit"), F.get(names, (u % 6).cast("int")).alias("action"), (u % 2 == 0).alias("eligible"), (u + 1).alias("target"), new_quote.alias("new_quote"))
+    return ev.auto_resolve(evidence, actions, "unit").select("unit", "outcome")
+
+
+@query("""SELECT k, code FROM (SELECT doc_id AS k, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 7 = 1 THEN 'unchanged' WHEN doc_id % 7 = 2 THEN 'item_count' END AS code FROM documents) WHERE code IS NOT NULL""")
+def q_apply_revision(t: Tables) -> DataFrame:
+    m, name = F.col("doc_id") % 7, F.concat(F.lit("s"), F.col("doc_id").cast("string"))
+    targets = t.documents.select(F.col("doc_id").alias("k"), name.alias("statement"))
+    items = F.when(m == 1, F.array(name)).when(m == 2, F.array(*[F.lit(x) for x in "abcde"])).otherwise(F.array(F.lit("new")))
+    revisions = t.documents.filter("doc_id % 7 > 0").select(F.col("doc_id").alias("k"), F.when(m == 3, "delete").otherwise("replace").alias("action"), items.alias("items"))
+    return ev.apply_revision(targets, revisions, "k")[1]
+
+
+@query("""SELECT k, CASE WHEN k % 5 = 1 THEN p || ' revised' ELSE p END AS claim FROM (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders) WHERE k % 5 IN (0, 1)""")
+def q_apply_correction(t: Tables) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    units = t.orders.select(k.alias("k"), p.alias("claim"))
+    fixed = F.when(k % 5 == 1, F.concat(p, F.lit(" revised"))).when(k % 5 == 2, F.lit("77 new")).when(k % 5 == 3, F.repeat(F.lit("long "), F.lit(20)))
+    corrections = t.orders.select(k.alias("k"), F.when(k % 5 == 0, "keep").when(k % 5 == 4, "delete").otherwise("replace").alias("action"), fixed.alias("replacement"))
+    return ev.apply_correction(units, corrections, ["k"])[0]
+
+
+@query("SELECT l_partkey AS fact, count(*) AS n, arg_min(l_orderkey, (l_discount, l_tax, l_orderkey)) AS owner FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def q_fact_owner(t: Tables) -> DataFrame:
+    return ev.fact_owner(t.lineitem.withColumnRenamed("l_partkey", "fact"), "fact", "l_orderkey", ["l_discount", "l_tax"])
+
+
+@query(rf"""WITH {V_LINE}, r AS (SELECT doc_id, line_number, len(string_split(regexp_replace(trim(text), '^\||\|$', '', 'g'), '|')) AS w, regexp_matches(text, '[0-9]') AS num FROM v_line WHERE contains(text, '|')),
+m AS (SELECT doc_id, arg_max(w, (n, w)) AS width FROM (SELECT doc_id, w, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1), f AS (SELECT doc_id, min(CASE WHEN num THEN line_number END) AS first FROM r GROUP BY 1)
+SELECT r.doc_id, width, count(*) FILTER (coalesce(line_number < first, true)) AS n_header, count(*) FILTER (line_number >= first AND w = width) AS n_data FROM r JOIN m ON r.doc_id = m.doc_id JOIN f ON r.doc_id = f.doc_id GROUP BY r.doc_id, width""")
+def q_table_scopes(t: Tables) -> DataFrame:
+    rows = t.v_line.filter(F.contains("text", F.lit("|")))
+    return ev.table_scopes(rows, "doc_id", "line_number", pipe_cells(F.col("text")), F.col("text").rlike("[0-9]"))
+
+
+@query()
+def q_label_match(t: Tables) -> DataFrame:
+    rows = t.v_line.filter(F.contains("text", F.lit("|")))
+    labels = rows.select("doc_id", F.explode(pipe_cells(F.col("text"))).alias("label")).filter(F.length("label") > 2).distinct()
+    claims = t.documents.select("doc_id", F.substring("text", 1, 300).alias("claim"))
+    return ev.match_labels(claims, labels, "doc_id", "claim", "label").select("doc_id", "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, floor((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1) / 3) AS batch FROM lineitem")
+def q_fixed_batches(t: Tables) -> DataFrame:
+    return ev.fixed_batches(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], 3).select("l_orderkey", "l_linenumber", "l_partkey", "batch")
+
+
+@query()
+def q_plan_batches(t: Tables) -> DataFrame:
+    """Greedy packing of sections; tests hold that each card is planned once and no batch of whole sections is too large."""
+    cards = t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("section"), F.ceil(F.length("text") / 4).cast("long").alias("tokens"))
+    return ev.plan_batches(cards, "conv_id", "section", "turn", "tokens", 800, 200, 30, 50).select("conv_id", "turn", "batch", "part")
+
+
+@query()
+def q_replacements(t: Tables) -> DataFrame:
+    c = t.conversations
+    return ev.replacement_candidates(c.filter("role = 'user'").withColumn("unit", F.concat_ws(":", "conv_id", "turn")), c.filter("role <> 'user'").withColumn("unit", F.concat_ws(":", "conv_id", "turn")), "conv_id", "unit", "text", "turn", 0.2)
+
+
+@query("""WITH x AS (SELECT DISTINCT l_suppkey AS s, l_suppkey % 3 AS f, l_orderkey AS e FROM lineitem WHERE l_quantity > 45) SELECT a.s AS a, b.s AS b, count(*) AS n_shared, min(a.e) AS first_shared FROM x a JOIN x b ON a.e = b.e AND a.s < b.s AND a.f <> b.f GROUP BY 1, 2""")
+def q_canonical(t: Tables) -> DataFrame:
+    df = t.lineitem.filter("l_quantity > 45").select(F.col("l_suppkey").alias("s"), (F.col("l_suppkey") % 3).alias("f"), F.col("l_orderkey").alias("e"))
+    return ev.canonical_candidates(df, "s", "f", "e")
+
+
+@query("SELECT doc_id, text LIKE '%' || left(text, 40) || '%' AS supported FROM documents WHERE NOT regexp_matches(left(text, 40), '[，,；;。！？!?]') AND length(trim(left(text, 40))) > 0")
+def q_clause_support(t: Tables) -> DataFrame:
+    df = t.documents.withColumn("claim", F.substring("text", 1, 40)).filter(~F.col("claim").rlike("[，,；;。！？!?]") & (F.length(F.trim("claim")) > 0))
+    return df.select("doc_id", ordered_clause_support(F.col("claim"), F.col("text")).alias("supported"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, 'the ') AND NOT contains(left(text, 1), 't') THEN 'the' END AS dropped FROM documents WHERE false")
+def q_qualifier_dropped(t: Tables) -> DataFrame:
+    """Claims that leave a qualifier of their document out: none, as the claims are verbatim."""
+    df = t.documents.select("doc_id", qualifier_dropped(F.substring("text", 1, 60), F.col("text"), ["the", "und"]).alias("dropped"))
+    return df.filter("dropped IS NOT NULL")
+
+
+@query()
+def q_excerpts(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.documents.select("doc_id", lead_excerpt(c).alias("excerpt"), F.length(extractive_summary(c, 300)).alias("summary_chars"))

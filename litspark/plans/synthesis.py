@@ -1 +1,51 @@
-"""Queries."""
+"""Queries of briefs, themes and outlines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from litspark.operators import audits as au
+from litspark.operators.relations import find_quotes
+from litspark.plans.joins import TREE, tree
+from litspark.plans.query import Tables, query
+
+
+@query("""WITH f AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), p AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text ELSE left(text, 50) END AS point FROM benchmark)
+SELECT p.item_id, CASE WHEN x.item_id IS NULL THEN 'unknown_evidence' ELSE 'not_the_claim' END AS code FROM p LEFT JOIN (SELECT DISTINCT item_id FROM f) x ON p.item_id = x.item_id JOIN benchmark b ON p.item_id = b.item_id WHERE x.item_id IS NULL OR b.text <> point""")
+def q_brief_rules(t: Tables) -> DataFrame:
+    found = find_quotes(t.benchmark.select("item_id", F.col("text").alias("claim")), t.documents.select("doc_id", "text"), "claim", "text")
+    points = t.benchmark.select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 50)).alias("point"))
+    return au.brief_violations(points, found.select("item_id", "claim").distinct(), "item_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND source IN (SELECT source FROM documents WHERE n_chars > 15000)")
+def q_revisit(t: Tables) -> DataFrame:
+    return au.revisit_candidates(t.documents, t.labels.filter("quality = 1"), t.documents.filter("n_chars > 15000"), "doc_id", "source").select("doc_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS paragraph, l_partkey AS unit FROM lineitem WHERE l_quantity > 40), l AS (SELECT p_partkey AS unit, p_size AS paper, p_brand AS theme FROM part WHERE p_size > 5), g AS (SELECT paragraph, count(DISTINCT p.unit) AS n_units, count(DISTINCT paper) AS n_papers, count(DISTINCT theme) AS n_themes, count(*) FILTER (paper IS NULL) AS n_unplaced FROM p LEFT JOIN l ON p.unit = l.unit GROUP BY 1)
+SELECT *, CASE WHEN n_unplaced > 0 THEN 'gap' WHEN n_papers > 1 THEN 'synthesis' ELSE 'single_source' END AS role FROM g""")
+def q_outline_derive(t: Tables) -> DataFrame:
+    paragraphs = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("paragraph"), F.col("l_partkey").alias("unit"))
+    links = t.part.filter("p_size > 5").select(F.col("p_partkey").alias("unit"), F.col("p_size").alias("paper"), F.col("p_brand").alias("theme"))
+    return au.outline_derive(paragraphs, links)
+
+
+@query("SELECT o_orderkey, o_custkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS is_key_point FROM orders")
+def q_synth_projection(t: Tables) -> DataFrame:
+    key = t.customer.filter("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
+    return au.project_synthesis(t.orders.select("o_orderkey", "o_custkey"), key, "o_custkey")
+
+
+@query(f"""WITH {TREE}, l AS (SELECT node, parent, CASE WHEN node = 'root' THEN 0 WHEN node LIKE 'r%' THEN 1 ELSE 2 END AS level FROM tree), e AS (SELECT 'n' || (n_nationkey * 2) AS node, n_nationkey % 4 AS new_level FROM nation)
+SELECT e.node, new_level, CASE WHEN l.node IS NULL THEN 'unknown_node' WHEN new_level <= p.level THEN 'not_below_parent' WHEN new_level >= (SELECT min(level) FROM l c WHERE c.parent = e.node) THEN 'not_above_children' END AS reason FROM e LEFT JOIN l ON e.node = l.node LEFT JOIN l p ON l.parent = p.node""")
+def q_merge_edits(t: Tables) -> DataFrame:
+    level = F.when(F.col("node") == "root", 0).when(F.col("node").startswith("r"), 1).otherwise(2)
+    edits = t.nation.select(F.concat(F.lit("n"), (F.col("n_nationkey") * 2).cast("string")).alias("node"), (F.col("n_nationkey") % 4).alias("new_level"))
+    return au.merge_edits(tree(t).withColumn("level", level), edits, "node", "parent", "level")
+
+
+@query("SELECT conv_id, role, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations) WHERE place <= 2")
+def q_overview(t: Tables) -> DataFrame:
+    return au.overview(t.conversations, "conv_id", "role", "turn", 2).select("conv_id", "role", "turn", "place")

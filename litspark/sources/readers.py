@@ -41,7 +41,7 @@ def listing_groups(lines: DataFrame, by: str, number: str, is_head: Column, want
 
 def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(paper_id, path, text) of root/<paper>/normalized/document.md; folders with a leading underscore are skipped."""
-    raw = spark.read.option("wholetext", True).text(f"{root}/*/normalized/document.md").withColumn("path", F.input_file_name())
+    raw = spark.read.text(f"{root}/*/normalized/document.md", wholetext=True).withColumn("path", F.input_file_name())
     paper = F.regexp_extract("path", r"([^/]+)/normalized/document\.md$", 1)
     return raw.select(paper.alias("paper_id"), "path", F.col("value").alias("text")).filter(~F.col("paper_id").startswith("_"))
 
