@@ -54,7 +54,12 @@ def fit_text_model(labelled: DataFrame, fit_rows: int) -> tuple[list[str], np.nd
 
     What comes to the driver is one count for each language and feature, at most BUCKETS a language.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(fit_rows)
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").withColumn("hash", F.xxhash64("text"))
+    # only hashes are sorted; one number comes back, and texts with greater hashes are left out. Copies count once.
+    last = known.select("hash").distinct().orderBy("hash").limit(fit_rows).agg(F.max("hash")).first()[0]
+    if last is None:
+        return [], np.zeros((BUCKETS, 0))
+    rows = known.filter(F.col("hash") <= last).dropDuplicates(["hash", "lang"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
