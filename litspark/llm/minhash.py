@@ -9,9 +9,9 @@ Prefix merging: a class whose postings of at least two classes number m can only
 meet in its m - MATCHES + 1 rarest postings, so only those are merged; single postings and classes with too few are
 skipped. Skip merging: classes already known to be connected are not compared again. First each class is compared with
 the leader of one of its postings, then with the leaders of all; verified links join classes into components. What is
-left are postings with several components; in each all members of the smaller components are compared with all members
-of other components, so no link between components is lost, while a large group of near copies costs a row for each
-member and not for each pair. Candidates are confirmed on their full sets.
+left are components that meet in postings. There all members outside of the largest one are compared with all members of
+other components, in blocks of classes held by one task, so no link between components is lost, while a large group of
+near copies costs a few rows for each member and none for each pair. Candidates are confirmed on their full sets.
 
 Defined cases: null and empty texts and those without words have empty sets, are linked with nothing and stay; null
 doc_ids never are component ids unless all of a component are null; rows with one doc_id are rows of their own;
@@ -104,12 +104,7 @@ def alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, "a binary, b binary")
@@ -153,17 +148,72 @@ def leaders(posts: DataFrame, one: bool) -> DataFrame:
     return pairs.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def crossing(posts: DataFrame) -> DataFrame:
-    """All pairs of classes of different components that share a posting.
+MINOR_BLOCK, WHOLE_BLOCK = 256, 1024
 
-    In each posting the members outside of its largest component are joined with all members of other components.
+
+def clusters(posts: DataFrame) -> DataFrame:
+    """(id, comp, cluster): posted classes of components that meet others in a posting, by what is connected that way."""
+    met = posts.groupBy("coord", "value", "comp").agg(F.first("comp").alias("c"))
+    lead = met.groupBy("coord", "value").agg(F.min("comp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("coord", "value", "a")
+    pairs = met.join(lead, ["coord", "value"]).filter("comp <> a").select("a", F.col("comp").alias("b")).distinct()
+    named = components(saved(pairs, "meetings")).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
+    return posts.select("id", "comp").distinct().join(named, "comp")
+
+
+def crossing(posts: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components, enough to connect all that are linked.
+
+    In each cluster the classes outside of its largest component are compared with all classes of other components, in
+    blocks: a task holds MINOR_BLOCK of the former and WHOLE_BLOCK of the latter with their signatures and sets, counts
+    collisions for all at once, and confirms pairs with enough of them whose ends aren't connected yet. Rows are one for
+    each class and block, not for each pair.
     """
-    size = posts.groupBy("coord", "value", "comp").agg(F.count(F.lit(1)).alias("n"))
-    large = size.groupBy("coord", "value").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count(F.lit(1)).alias("n_comps")).filter("n_comps > 1")
-    here = saved(posts.join(large, ["coord", "value"]).select("coord", "value", "id", "comp", (F.col("comp") == F.col("largest")).alias("of_largest")), "crossing")
-    minor = here.filter("NOT of_largest").select("coord", "value", F.col("id").alias("x"), F.col("comp").alias("comp_x"))
-    pairs = here.join(minor, ["coord", "value"]).filter((F.col("comp") != F.col("comp_x")) & (F.col("of_largest") | (F.col("id") < F.col("x"))))
-    return pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+    here = saved(clusters(posts), "clusters")
+    size = here.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    plan = size.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    plan = saved(plan.withColumns({"minors": F.ceil((F.col("n") - F.col("most")) / MINOR_BLOCK), "wholes": F.ceil(F.col("n") / WHOLE_BLOCK)}), "blocks")
+    rows = here.join(plan, "cluster").withColumn("minor", F.col("comp") != F.col("largest"))
+    rows = rows.withColumns({"i": F.pmod(F.xxhash64("id"), F.col("minors")), "j": F.pmod(F.xxhash64(F.lit(1), "id"), F.col("wholes"))})
+    payload = rows.select("id", "comp", "cluster", "minor", "i", "j", "minors", "wholes")
+    left = payload.filter("minor").select("id", "comp", "cluster", F.lit(True).alias("probe"), "i", F.explode(F.sequence(F.lit(0), F.col("wholes") - 1)).alias("j"))
+    right = payload.select("id", "comp", "cluster", F.lit(False).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), "j")
+    dealt = left.unionByName(right).join(classes.select("id", "sign"), "id").join(sets, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comps, sides = (table.column(c).to_pylist() for c in ("id", "comp", "probe"))
+        signs = np.array(table.column("sign").to_pylist(), np.int32)
+        probe, whole = np.flatnonzero(sides), np.flatnonzero(~np.array(sides))
+        held = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+        up: dict[bytes, bytes] = {}
+
+        def top(c: bytes) -> bytes:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        found = []
+        for x in probe:
+            hits = (signs[whole] == signs[x]).sum(axis=1)
+            order = np.argsort(-hits, kind="stable")
+            for y in whole[order[hits[order] >= MATCHES]]:
+                p, q = top(comps[x]), top(comps[y])
+                if p != q and similar(held[x], held[y], percent):
+                    up[p] = q
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, exactly."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -177,9 +227,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     sets = saved(shingle_tables(docs, classes, posts.select("id").distinct(), width), "sets")
 
     edges, comps = None, None
-    for find in (lambda p: leaders(p, True), lambda p: leaders(p, False), crossing):
+    for find in (lambda p: alike(leaders(p, True), classes, sets, percent), lambda p: alike(leaders(p, False), classes, sets, percent), lambda p: crossing(p, classes, sets, percent)):
         now = posts.withColumn("comp", F.col("id")) if comps is None else posts.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = saved(alike(find(now), classes, sets, percent), "links")
+        found = saved(find(now), "links")
         edges = found if edges is None else saved(edges.unionByName(found), "links")
         comps = components(edges)
 
