@@ -278,6 +278,28 @@ def test_html(spark):
     assert [got[10 + i].text for i in range(4)] == [f"Text {i} of a page and {i * 7}" for i in range(4)]
 
 
+def test_html_deep_nesting():
+    inner = "start <div>a</div> b <script>x()</script><nav>menu</nav><div class='comments'>no</div> end"
+    page = f"<html><body>{'<div>' * 3000}<article>{inner}</article>{'</div>' * 3000}</body></html>"
+    wrapper = [set(x) for x in html_text.induce([page, page.replace("end", "close")])]
+    assert html_text.extract(page, *wrapper) == html_text.extract(page, set(), set()) == "start a b end"
+
+
+def test_html_all_articles_and_layouts():
+    top, end = "<div class='top'>Site name</div>", "<div class='end'>Imprint</div>"
+    two = [f"<html><body>{top}<div class='x'><article>one {i}</article></div><section><article>two {i} <p>same</p></article></section>{end}</body></html>" for i in range(3)]
+    plain = [f"<html><body>{top}<div class='story'><p>told {i}</p><p>more {i * 7}</p></div>{end}</body></html>" for i in range(3)]
+    other = f"<html><body>{top}<div class='essay'><p>long text of a layout without references</p></div><div class='story'><p>short</p></div>{end}</body></html>"
+    copy = "<html><body><main>a</main><article>b</article><div class='article'>c</div></body></html>"
+    for pages in ([*two, *plain], [*plain, *two]):
+        wrapper = [set(x) for x in html_text.induce(pages)]
+        for i in range(3):
+            assert html_text.extract(two[i], *wrapper) == f"one {i} two {i} same"
+            assert html_text.extract(plain[i], *wrapper) == f"told {i} more {i * 7}"
+        assert html_text.extract(other, *wrapper) == "long text of a layout without references short"
+        assert html_text.extract(copy, *wrapper) == "a b c"
+
+
 def test_empty_tables(spark, empty):
     assert quality.mcd_quality(empty).count() == 0
     assert mixing.mix(empty).count() == 0
