@@ -4,7 +4,7 @@ Each document gets text statistics and a vector of five transformed ones. For ev
 location and scatter of the majority are estimated by the minimum covariance determinant (MCD): from two deterministic
 starts, concentration steps keep the share ``majority`` of the rows with the smallest Mahalanobis distance and estimate
 again; the start that ends with the smaller determinant wins and is reweighted once. A document is rejected if its
-squared Mahalanobis distance from the estimate is over ``cutoff``.
+squared Mahalanobis distance from the estimate is over ``cutoff``, the quantile that normal rows exceed with ``TAIL``.
 
 All of it is grouped aggregation. Vectors are integers (thousandths), so that sums don't depend on the order of rows and
 reruns agree. Equal vectors are counted first, so copies and large groups cost one row per partition. The share is found
@@ -31,7 +31,10 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 P = 5
 #: Least standard deviation of each transformed statistic, in thousandths: a group that is constant in one of them
 #: must not reject a small deviation. For the logarithms of length, word length and symbols, and the two shares.
-FLOORS = (500, 80, 250, 700, 700)
+#: With the cutoff of 20.5 each can reject alone, in a group without it at over 14% copied lines or 9% repeated words.
+FLOORS = (500, 80, 250, 600, 500)
+#: share of the rows of a normal group that is over the cutoff
+TAIL = 0.001
 UNIT = 1000
 BINS = 40
 
@@ -121,6 +124,9 @@ def chi2_quantile(p: float, k: int) -> float:
     return low
 
 
+CUTOFF = chi2_quantile(1 - TAIL, P)
+
+
 def consistency(share: float, k: int = P) -> float:
     """Factor that makes the covariance of the central ``share`` of a normal sample consistent."""
     return share / chi2_cdf(chi2_quantile(share, k), k + 2)
@@ -227,14 +233,14 @@ def scored(df: DataFrame, estimates: DataFrame, cutoff: float) -> DataFrame:
     return out.drop("__key", "__lang_key", "__d2", *STATE)
 
 
-def mcd_quality(docs: DataFrame, cutoff: float = 70.0, **fit_options) -> DataFrame:
+def mcd_quality(docs: DataFrame, cutoff: float = CUTOFF, **fit_options) -> DataFrame:
     """One row per row of docs: doc_id, the statistics, base_failed, distance2 and kept."""
     df = saved(with_keys(with_statistics(docs.select("doc_id", "text", "lang", "source"))).drop("text"), "statistics")
     out = scored(df, fit(stats_of(df), **fit_options), cutoff)
     return out.select("doc_id", *[f"__quality.{c}" for c in [*STATS, "base_failed", "distance2", "kept"]])
 
 
-def filter_quality(docs: DataFrame, cutoff: float = 70.0, **fit_options) -> DataFrame:
+def filter_quality(docs: DataFrame, cutoff: float = CUTOFF, **fit_options) -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
     The statistics are computed again in the filtering scan, which costs less than to carry the texts through a table.

@@ -66,6 +66,23 @@ def test_quality_rejects_outliers_only(spark):
     assert {r.doc_id for r in quality.filter_quality(df).collect()} == {i for i, *_ in clean}
 
 
+def test_quality_each_statistic_alone(spark):
+    clean = [(i, "\n".join(prose(random.Random(i).randrange(18, 23), 10 * i + k) for k in range(6)), "en", "s") for i in range(200)]
+    words = prose(120, 7000).split()
+    planted = [
+        prose(3000, 7001),  # long
+        " ".join(w + "abc" for w in words),  # long words
+        " ".join(w + "#" * (i % 8 == 0) for i, w in enumerate(words)),  # symbols
+        "\n".join(f"a line\n{prose(3, 7100 + i)}" for i in range(24)),  # copied lines
+        " ".join([*words[:60], *words[:9], *words[60:]]),  # repeated words, under the base limit
+    ]
+    rows = clean + [(1000 + i, t, "en", "s") for i, t in enumerate(planted)]
+    got = {r.doc_id: r for r in quality.mcd_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(200))
+    assert not any(got[1000 + i].kept or got[1000 + i].base_failed for i in range(5)), [got[1000 + i] for i in range(5)]
+    assert quality.chi2_cdf(quality.CUTOFF, quality.P) == pytest.approx(1 - quality.TAIL)
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.mix(docs).collect()
     again = Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
