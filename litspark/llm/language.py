@@ -8,7 +8,8 @@ For each language the logarithms of four kinds of evidence are added:
   label of the host), each by its probability given the language;
 * the prior of the host, smoothed towards that of its domain (last two labels), which is smoothed towards that of all.
 
-The text model is fitted on ``fit_rows`` labelled rows at most, those with the least hashes. All other probabilities are
+The languages are all that any labelled row with a text has. The text model is fitted on ``fit_rows`` labelled texts at most of each
+language, those with the least hashes; with little text the model of a language is mostly its smoothing. All other probabilities are
 ratios of sums over all rows, grouped by host, domain, declaration and suffix: each row adds its probabilities by the
 text alone, as whole millionths, so the sums don't depend on the order of rows. Tables by host may be large and are
 joined by shuffle; rows of a host that has a third of all are dealt over tasks by Spark's skewed join.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.llm.common import saved
@@ -34,6 +35,7 @@ from litspark.llm.html_text import host_of
 
 BUCKETS = 1 << 14
 TRUST = 60
+SALTS = 64
 MILLION = 1_000_000
 #: Pseudo-counts of a row's parent distribution, and of declarations and suffixes.
 PRIOR_WEIGHT, SMOOTH = 20.0, 5.0
@@ -55,11 +57,14 @@ def fit_text_model(labelled: DataFrame, fit_rows: int) -> tuple[list[str], np.nd
     What comes to the driver is one count for each language and feature, at most BUCKETS a language.
     """
     known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").withColumn("hash", F.xxhash64("text"))
-    # only hashes are sorted; one number comes back, and texts with greater hashes are left out. Copies count once.
-    last = known.select("hash").distinct().orderBy("hash").limit(fit_rows).agg(F.max("hash")).first()[0]
-    if last is None:
-        return [], np.zeros((BUCKETS, 0))
-    rows = known.filter(F.col("hash") <= last).dropDuplicates(["hash", "lang"]).select("text", "lang")
+    # only hashes are sorted, in salted parts first; one number a language comes back. Copies count once.
+    keys = known.select("lang", "hash").distinct().withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash"))
+    few = keys.withColumn("n", least("lang", "salt")).filter(F.col("n") <= fit_rows)
+    few = few.withColumn("n", least("lang")).filter(F.col("n") <= fit_rows)
+    last = few.groupBy("lang").agg(F.max("hash").alias("last"))
+    # one row for each language
+    rows = known.join(F.broadcast(last), "lang").filter(F.col("hash") <= F.col("last")).dropDuplicates(["hash", "lang"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -179,6 +179,18 @@ def test_language_held_out(spark):
     assert len(none) == len(pages) and all(r.language is None for r in none)
 
 
+def test_language_with_few_rows(spark):
+    words = {"xx": ["foo", "bar", "baz", "fob"], "yy": ["ümlaut", "größe", "schön", "weiß"], "zz": ["kivik", "pukap", "mivuk", "kapuv"]}
+    text = lambda lang, i: " ".join(random.Random(i).choices(words[lang], k=12))
+    rows = [(i, text(x, i), x, "s") for i in range(1500) for x in ("xx", "yy")] + [(9000 + i, text("zz", i), "zz", "s") for i in range(3)]
+    fit = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs, model = language.fit_text_model(fit, 20)
+    assert langs == ["xx", "yy", "zz"] and model.shape == (language.BUCKETS, 3)
+    pages = spark.createDataFrame([(i, "http://h.org/", text("zz", 70 + i)) for i in range(5)], "page_id long, url string, html string")
+    got = language.identify(language.page_evidence(pages), langs, model).collect()
+    assert [r.language for r in got] == ["zz"] * 5
+
+
 def brute_components(rows, width, percent=80):
     def shingles(t):
         w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
