@@ -39,6 +39,10 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def has_word(x: Column) -> Column:
+    return x.rlike(NOT_SPACE)
+
+
 def word_array(text: Column) -> Column:
     """Words of a text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

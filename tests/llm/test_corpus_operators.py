@@ -230,27 +230,99 @@ def test_minhash_against_brute_force(spark, docs):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()) == brute_components(rows, 4)
 
 
-def test_line_dedup(spark, docs):
+def edited(r, s, k):
+    s = list(s)
+    for _ in range(k):
+        i, what = r.randrange(len(s)), r.randrange(3)
+        s[i : i + 1] = [] if what == 0 else ["q"] if what == 1 else [s[i], "q"]
+    return "".join(s)
+
+
+def distance(a, b, most):
+    """Edit distance, or most + 1 if it is more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def brute_line_classes(lines, errors, min_chars):
+    """Of each line the least one that it is linked with."""
+    up = {x: x for x in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    long = [x for x in lines if len(x) >= min_chars]
+    for i, x in enumerate(long):
+        for y in long[i + 1 :]:
+            if distance(x, y, errors) <= errors:
+                p, q = sorted((find(x), find(y)))
+                up[q] = p
+    return {x: find(x) for x in lines}
+
+
+def test_line_links(spark):
     r = random.Random(2)
-
-    def edited(s, k):
-        s = list(s)
-        for _ in range(k):
-            i, what = r.randrange(len(s)), r.randrange(3)
-            s[i : i + 1] = [] if what == 0 else ["q"] if what == 1 else [s[i], "q"]
-        return "".join(s)
-
     base = [prose(12, 500 + i) for i in range(25)]
-    lines = sorted({x for x in [*base, *(edited(b, k) for b in base for k in (1, 2, 3, 4))] if len(x) >= 24})
+    family = base[0].split()
+    like = [" ".join([*family[:k], r.choice(VOCABULARY), *family[k + 1 :]]) for k in range(len(family)) for _ in range(6)]  # share segments, mostly not linked
+    lines = sorted({x for x in [*base, *like, *(edited(r, b, k) for b in base for k in (1, 2, 3, 4)), *(edited(r, base[1], 2) for _ in range(60))] if len(x) >= 24})
     df = spark.createDataFrame([(x,) for x in lines], "line string")
-    named = df.select(line_dedup.line_id(F.col("line")).alias("id"), "line")
-    met = line_dedup.similar_lines(df, 2, 24)
-    got = met.join(named.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    pairs = spark.createDataFrame([(x, y) for i, x in enumerate(lines) for y in lines[i + 1 :]], "x string, y string").filter("levenshtein(x, y) <= 2")
-    assert {tuple(sorted((p.x, p.y))) for p in got.collect()} == {(p.x, p.y) for p in pairs.collect()}
+    name = {r.id: r.line for r in df.select(line_dedup.line_id(F.col("line")).alias("id"), "line").collect()}
+    got = [(name[p.a], name[p.b]) for p in line_dedup.similar_lines(df, 2, 24).collect()]
+    assert all(distance(x, y, 2) <= 2 for x, y in got)
+    up = {x: x for x in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in got:
+        p, q = sorted((find(x), find(y)))
+        up[q] = p
+    assert {x: find(x) for x in lines} == brute_line_classes(lines, 2, 24)
+
+
+def test_within_errors(spark):
+    r = random.Random(3)
+    pairs = [(b, edited(r, b, k)) for b in (prose(6, i) for i in range(40)) for k in range(5)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", line_dedup.within_errors(F.col("a"), F.col("b"), 2).alias("near"), line_dedup.may_be_near(line_dedup.parities(F.col("a")), line_dedup.parities(F.col("b")), 2).alias("may")).collect()
+    assert all(x.near == (distance(x.a, x.b, 2) <= 2) and (x.may or not x.near) for x in got)
+
+
+def test_repeated_lines_against_brute_force(spark, docs):
+    r = random.Random(4)
+    base = [prose(10, 700 + i) for i in range(12)]
+    rows = [(x[0], x[1]) for x in corpus() if len(x[1] or "") < 20_000]
+    rows += [(1000 + i, "\n".join(edited(r, b, r.randrange(4)) for b in r.sample(base, 4))) for i in range(25)]
+    rows += [(1000, rows[-25][1]), (None, base[0] + "\n" + base[1]), (2000, "\n\n \t\nshort\nshort\nb")]
+    lines = {(d, t, i): x for d, t in rows for i, x in enumerate((t or "").split("\n")) if WORD.search(x)}
+    named = brute_line_classes(sorted(set(lines.values())), 2, 24)
+    order = lambda k: (k[0] is not None, k[0] or 0, hashlib.sha256((k[1] or "").encode()).digest()[:16], k[2])
+    first = {}
+    for k in sorted(lines, key=order):
+        first.setdefault(named[lines[k]], k)
+    want = Counter()
+    for d, t in rows:
+        mine = {i: (d, t, i) for i in range(len((t or "").split("\n"))) if (d, t, i) in lines}
+        gone = [i for i, k in mine.items() if first[named[lines[k]]] != k]
+        near = sum(lines[first[named[lines[mine[i]]]]] != lines[mine[i]] for i in gone)
+        want[d, len(mine), len(gone), near, tuple(gone)] += 1
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((p.doc_id, p.n_lines, p.n_dropped, p.n_near, tuple(p.dropped)) for p in got.collect()) == want
     out = line_dedup.repeated_lines(docs).collect()
     assert len(out) == len(corpus())
-    assert all(0 <= p.n_dropped == len(p.dropped) <= p.n_lines for p in out)
 
 
 def test_exact_dedup(docs):
