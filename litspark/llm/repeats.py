@@ -4,17 +4,20 @@ Every byte is removed that a string of ``width`` bytes covers which also starts
 
 Which strings can be equal is known from their minimizers: the least hash among the grams of ``GRAM`` bytes in a window of
 ``width``. Equal windows have equal minimizers in equal places, so only windows whose minimizer occurs twice need to be
-compared. Consecutive windows with one minimizer are one run, about eighty windows; equal runs are found by grouping, and
-one of each stays. What is left are different runs with a shared minimizer, as at the ends of repeated passages. They
-are dealt to shards by minimizer. Each shard builds the suffix array of its runs by Larsson-Sadakane refinement and the
-common prefixes by Kasai's rule; a window is repeated if a neighbour in the array shares ``width`` bytes.
+compared; as a gram is half as long as a window, frequent short lines seldom are one. Consecutive windows with one
+minimizer are one run, about fifty windows. Copies of a whole text are told by its sha256; in them every window is
+repeated. Equal runs are found by grouping, and one of each stays. What is left are different runs with a shared
+minimizer, as at the ends of repeated passages. They are dealt to shards by minimizer. Each shard builds the suffix array
+of its runs by Larsson-Sadakane refinement and the common prefixes by Kasai's rule; a window is repeated if a neighbour
+in the array shares ``width`` bytes.
 
-A minimizer with more than ``SHARD_RUNS`` different runs, as of a very frequent line, is spread over several shards.
-Each of them hands on one fingerprint of each different window; those are dealt by fingerprint, and owners merge the
-shards' sorted lists by binary search.
+A minimizer with more than ``SHARD_RUNS`` different runs, as of a very frequent passage, is spread over several shards.
+Each of them hands on its sorted list of the fingerprints of its different windows, cut into ranges; the owner of a range
+merges the shards' lists by binary search.
 
 Memory of a task is bounded by a shard and by slices of texts; texts over ``SLICE`` bytes are cut into slices that share
-width - 1 bytes. Runs and fingerprints are compared by 64 and 128 bits of hash, windows in suffix arrays as bytes.
+width - 1 bytes. Runs of one minimizer are compared by 64 bits of hash, windows of different shards by 128, windows of one
+shard as bytes.
 
 Defined cases: null counts as empty; texts of under ``width`` bytes have nothing removed; repeated rows are other
 occurrences of each other; other columns play no part.
@@ -22,7 +25,6 @@ occurrences of each other; other columns play no part.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from litspark.llm.common import saved
 from litspark.llm.shingles import BASE, mixed, powers
 from litspark.llm.suffix import common_prefixes, suffix_array
 
-GRAM = 32
+GRAM = 100
 SLICE = 1 << 20
 SHARD_RUNS = 2500
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -137,13 +139,15 @@ def unpacked(column: pa.Array) -> Iterator[bytes]:
 
 PIECE = "tid binary, first int, count int, gram bigint, digest bigint, runs bigint, data binary"
 SPANS = "tid binary, start int, stop int"
+#: a window in a list that a shard hands on: fingerprint, the two halves of its text's key, place
+PRINT = np.dtype([("x", "<i8"), ("y", "<i8"), ("t0", "<u8"), ("t1", "<u8"), ("start", "<i4")])
 
 
 def cut_pieces(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Bytes of the wanted runs (tid, first, count, gram, digest, runs)."""
     lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("first", "count", "gram", "digest", "runs")).alias("list"))  # runs of one text
-    owner = texts.groupBy("tid").agg(F.min("doc_id").alias("owner"))
-    met = texts.join(lists.join(owner, "tid"), "tid").filter(F.col("doc_id").eqNullSafe(F.col("owner"))).select("tid", "packed", "list")
+    # copies of a text are one row for each task before they are dealt
+    met = texts.groupBy("tid").agg(F.first("packed").alias("packed")).join(lists, "tid").select("tid", "packed", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +159,7 @@ def cut_pieces(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     columns.append(pa.array([data[x["first"] : x["first"] + x["count"] + width - 1] for x in part], pa.binary()))
                     yield pa.RecordBatch.from_arrays(columns, names=["tid", "first", "count", "gram", "digest", "runs", "data"])
 
-    return met.mapInArrow(run, PIECE).dropDuplicates(["gram", "digest"])
+    return met.mapInArrow(run, PIECE)
 
 
 def spans_of(flags: np.ndarray, piece: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +173,7 @@ def spans_of(flags: np.ndarray, piece: np.ndarray, place: np.ndarray) -> tuple[n
 
 
 def resolve_shards(pieces: DataFrame, width: int, n_shards: int) -> DataFrame:
-    """Spans of windows that are repeated within a shard, and fingerprints of the windows of minimizers in several shards."""
+    """Spans of windows that are repeated within a shard (tid, start, stop), and of minimizers in several shards lists of window fingerprints (gram, range, prints)."""
     salt = F.when(F.col("runs") > SHARD_RUNS, F.pmod(F.xxhash64("digest"), F.ceil(F.col("runs") / SHARD_RUNS))).otherwise(F.lit(0))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("gram", salt), F.lit(n_shards)))
 
@@ -188,20 +192,28 @@ def resolve_shards(pieces: DataFrame, width: int, n_shards: int) -> DataFrame:
         p, a, b = spans_of(near, piece, place)
         start = table.column("first").to_numpy()
         tids = table.column("tid").to_pylist()
-        out = [(pa.array([tids[i] for i in p], pa.binary()), start[p] + a, start[p] + b + width, np.zeros(len(p), np.int64), np.zeros(len(p), np.int64))]
-        wide = table.column("runs").to_numpy() > SHARD_RUNS
-        if wide.any():  # one of each different window, in the order of the suffix array
+        spans = pa.table({"tid": pa.array([tids[i] for i in p], pa.binary()), "start": pa.array(start[p] + a, pa.int32()), "stop": pa.array(start[p] + b + width, pa.int32())})
+        lists: list[tuple[int, int, bytes]] = []
+        runs, gram = table.column("runs").to_numpy(), table.column("gram").to_numpy()
+        if (wide := runs > SHARD_RUNS).any():  # one of each different window
             window = wide[piece] & (np.arange(len(data)) + width <= end)
-            lead = np.concatenate([[True], lcp[1:] < width])[:]
+            lead = np.concatenate([[True], lcp[1:] < width])
             chosen = sa[lead & window[sa]]
-            x, y = fingerprints(data, chosen, width)
             q = piece[chosen]
-            out.append((pa.array([tids[i] for i in q], pa.binary()), start[q] + place[chosen], np.full(len(q), -1), x, y))
-        columns = [pa.chunked_array([o[0] for o in out])]
-        columns += [pa.array(np.concatenate([o[i] for o in out]).astype(t)) for i, t in ((1, np.int32), (2, np.int32), (3, np.int64), (4, np.int64))]
-        return pa.Table.from_arrays(columns, names=["tid", "start", "stop", "x", "y"])
-
-    return dealt.groupBy("shard").applyInArrow(run, f"{SPANS}, x bigint, y bigint")
+            found = np.empty(len(chosen), PRINT)
+            found["x"], found["y"] = fingerprints(data, chosen, width)
+            keys = np.frombuffer(b"".join(tids), "<u8").reshape(-1, 2)
+            found["t0"], found["t1"], found["start"] = keys[q, 0], keys[q, 1], start[q] + place[chosen]
+            ranges = -(-runs // SHARD_RUNS)
+            part = (found["x"].view(np.uint64) >> np.uint64(32)).astype(np.int64) * ranges[q] >> 32
+            order = np.lexsort((found["y"], found["x"].view(np.uint64), part, gram[q]))
+            found, part, g = found[order], part[order], gram[q][order]
+            cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (g[1:] != g[:-1])]))
+            lists = [(int(g[i]), int(part[i]), found[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(found)], strict=True)]
+        prints = pa.table({"gram": pa.array([x[0] for x in lists], pa.int64()), "range": pa.array([x[1] for x in lists], pa.int64()), "prints": pa.array([x[2] for x in lists], pa.binary())})
+        return pa.concat_tables([spans, prints], promote_options="default").select(["tid", "start", "stop", "gram", "range", "prints"])
+
+    return dealt.groupBy("shard").applyInArrow(run, f"{SPANS}, gram bigint, range bigint, prints binary")
 
 
 def fingerprints(data: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,77 +223,86 @@ def fingerprints(data: np.ndarray, start: np.ndarray, width: int) -> tuple[np.nd
     return x.view(np.int64), y.view(np.int64)
 
 
-def merge_shards(prints: DataFrame, width: int, owners: int) -> DataFrame:
-    """Spans of the windows whose fingerprint came from two shards, found in the merged order by binary search."""
-    dealt = prints.select("tid", "start", "x", "y", F.pmod(F.xxhash64("x"), F.lit(owners)).alias("owner"))
+def merge_shards(lists: DataFrame, width: int) -> DataFrame:
+    """Spans of the windows that are in the lists of two shards, found in the merged order by binary search."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
-        order = np.lexsort((y, x))
-        key = np.empty(len(x), [("x", np.int64), ("y", np.int64)])
-        key["x"], key["y"] = x[order], y[order]
-        lows = np.searchsorted(key["x"], key["x"], "left")
-        highs = np.searchsorted(key["x"], key["x"], "right")
-        twice = np.zeros(len(x), bool)
-        many = np.flatnonzero(highs - lows > 1)
-        twice[many] = np.searchsorted(key, key[many], "right") - np.searchsorted(key, key[many], "left") > 1
-        chosen = table.take(pa.array(order[twice]))
-        start = chosen.column("start").to_numpy()
-        return pa.Table.from_arrays([chosen.column("tid"), pa.array(start.astype(np.int32)), pa.array((start + width).astype(np.int32))], names=["tid", "start", "stop"])
-
-    return dealt.groupBy("owner").applyInArrow(run, SPANS)
-
-
-def joined_spans(spans: DataFrame) -> DataFrame:
-    """(tid, spans): the repeated parts of each text as spans that don't touch, in order. Spans are those of one text."""
-    merged = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))),
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    return spans.groupBy("tid").agg(merged.alias("spans"))
+        each = [np.frombuffer(x.as_py(), PRINT) for x in table.column("prints")]
+        found = np.concatenate(each)
+        # lists are in the order of x as unsigned number; a stable sort merges them
+        x = found["x"].view(np.uint64)
+        order = np.argsort(x, kind="stable")
+        found, x = found[order], x[order]
+        low, high = np.searchsorted(x, x, "left"), np.searchsorted(x, x, "right")
+        twice = high - low == 2
+        twice &= found["y"][low] == found["y"][np.maximum(high - 1, 0)]
+        for i in np.flatnonzero(high - low > 2):
+            twice[i] = (found["y"][low[i] : high[i]] == found["y"][i]).sum() > 1
+        chosen = found[twice]
+        tids = np.ascontiguousarray(np.stack([chosen["t0"], chosen["t1"]], axis=1)).tobytes()
+        start = chosen["start"].astype(np.int32)
+        return pa.table({"tid": pa.array([tids[i : i + 16] for i in range(0, len(tids), 16)], pa.binary()), "start": pa.array(start), "stop": pa.array(start + np.int32(width))})
+
+    return lists.groupBy("gram", "range").applyInArrow(run, SPANS)
+
+
+def joined(spans: list[dict] | None, size: int, copied: bool, width: int) -> list[tuple[int, int]]:
+    """The repeated parts of a text of size bytes as spans that don't touch, in order."""
+    if copied and size >= width:
+        return [(0, size)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def repeated_spans(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(tid, spans) of the texts with repeated parts, and doc_id, tid and packed text of all rows."""
-    texts = packed_texts(docs)
+    """(tid, copied, spans) of the texts with repeated parts, and doc_id, tid and packed text of all rows.
+
+    Spans may overlap; copied tells that the text is that of several rows.
+    """
+    texts = saved(packed_texts(docs), "texts")
     rows = saved(list_runs(docs, width), "runs")
+    copies = saved(rows.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tid"), "copies")
     runs = rows.select("tid", F.explode(F.arrays_zip("first", "count", "gram", "digest")).alias("r")).select("tid", "r.*")
     # written, so that the join deals both sides and Spark can split a frequent minimizer's rows
     shared = saved(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "shared_grams")
     runs = saved(runs.join(shared, "gram"), "shared_runs")
     kinds = saved(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "first", "count")).alias("one")), "kinds")
     rivals = saved(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1"), "rivals")
-    whole = runs.join(kinds.filter("n > 1").select("gram", "digest"), ["gram", "digest"]).select("tid", F.col("first").alias("start"), (F.col("first") + F.col("count") + width - 1).alias("stop"))
+    whole = runs.join(kinds.filter("n > 1").select("gram", "digest"), ["gram", "digest"]).select("tid", F.col("first").alias("start"), (F.col("first") + F.col("count") + width - 1).alias("stop")).distinct()
     wanted = kinds.join(rivals, "gram").select("one.*", "gram", "digest", "runs")
     pieces = saved(cut_pieces(texts, wanted, width), "pieces")
     n_shards = max(1, pieces.count() // SHARD_RUNS)
     resolved = saved(resolve_shards(pieces, width, n_shards), "resolved")
-    merged = merge_shards(resolved.filter("stop < 0"), width, n_shards)
-    spans = whole.unionByName(resolved.filter("stop >= 0").select("tid", "start", "stop")).unionByName(merged)
-    return saved(joined_spans(spans), "spans"), texts
+    merged = merge_shards(resolved.filter("prints IS NOT NULL").select("gram", "range", "prints"), width)
+    spans = whole.unionByName(resolved.filter("tid IS NOT NULL").select("tid", "start", "stop")).unionByName(merged)
+    spans = spans.join(copies, "tid", "left_anti").groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # those of one text
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    return saved(spans.select("tid", F.lit(False).alias("copied"), "spans").unionByName(copies.select("tid", F.lit(True).alias("copied"), none.alias("spans"))), "spans"), texts
 
 
 def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """One row per row of docs: doc_id, spans (removed), and kept, the remaining bytes."""
     docs = docs.select("doc_id", "text")
     spans, texts = repeated_spans(docs, width)
-    met = texts.join(spans, "tid", "left").select("doc_id", "packed", "spans")
+    met = texts.join(spans, "tid", "left").select("doc_id", "packed", "copied", "spans")
     kind = met.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed = [], []
-            for data, spans in zip(unpacked(batch.column("packed")), batch.column("spans").to_pylist(), strict=True):
+            for data, copied, spans in zip(unpacked(batch.column("packed")), batch.column("copied").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                found = joined(spans, len(data), bool(copied), width)
                 parts, at = [], 0
-                for s in spans or ():
-                    parts.append(data[at : s["start"]])
-                    at = s["stop"]
+                for a, b in found:
+                    parts.append(data[at:a])
+                    at = b
                 kept.append(b"".join([*parts, data[at:]]))
-                removed.append(spans or [])
+                removed.append([{"start": a, "stop": b} for a, b in found])
             kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, kinds), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 

@@ -9,8 +9,8 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Suffix array and packed first 8 bytes of each suffix.
 
     Larsson-Sadakane refinement: suffixes are ranked by their first 8 bytes, then groups of equal rank are sorted again
-    by the rank of the suffix h further, h doubling. Suffixes that are equal to their ends stay in the order of position,
-    which Kasai's rule needs. end: of each position the end of its piece, at which its suffix ends.
+    by the rank of the suffix h further, h doubling. Suffixes that are equal to their ends are put in the order of position
+    last, which Kasai's rule needs. end: of each position the end of its piece, at which its suffix ends.
     """
     n = len(data)
     at = np.arange(n)
@@ -19,7 +19,7 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     for i in range(8):
         packed = (packed << np.uint64(8)) | np.where(at + i < end, padded[i : n + i], 0).astype(np.uint64)
     depth = int((end - at).max(initial=0))
-    sa = np.argsort(packed, kind="stable")
+    sa = np.argsort(packed)
     new = np.empty(n, bool)
     new[:1] = True
     new[1:] = packed[sa[1:]] != packed[sa[:-1]]
@@ -30,16 +30,17 @@ def suffix_array(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
         rank = np.empty(n, np.int64)
         rank[sa] = np.repeat(heads, size)
         big = np.repeat(size > 1, size)
-        if h >= depth or not big.any():
-            return sa, packed
         slots = np.flatnonzero(big)
         suffix = sa[slots]
+        if h >= depth or not len(slots):
+            sa[slots] = np.sort(rank[suffix] * n + suffix) % n
+            return sa, packed
         later = np.where(suffix + h < end[suffix], rank[np.minimum(suffix + h, n - 1)], -1)
-        group = rank[suffix]
-        order = np.lexsort((later, group))
+        key = rank[suffix] * (n + 1) + later + 1
+        order = np.argsort(key)
         sa[slots] = suffix[order]
-        later, group = later[order], group[order]
-        new[slots[1:]] |= (later[1:] != later[:-1]) | (group[1:] != group[:-1])
+        key = key[order]
+        new[slots[1:]] |= key[1:] != key[:-1]
         h *= 2
 
 
