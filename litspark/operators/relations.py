@@ -56,25 +56,46 @@ def resolve_citations(citations: DataFrame, quotes: DataFrame, quote: str, owner
     return citations.join(q, quote, "left").withColumn("status", status).drop("__owner")
 
 
-def rarest_word(text: Column) -> Column:
-    """The longest word of a text, the first one by name among equals; stands for its rarest."""
+def longest_word(text: Column) -> Column:
+    """The longest word of a text, the first one by name among equals, which stands for its rarest; null without a word."""
     words = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    return F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"]
+
+
+def grams(text: Column, width: Column) -> Column:
+    """Different substrings of ``width`` characters; none of shorter texts, and the empty one for width 0."""
+    starts = F.when(width == 0, F.array(F.lit(1))).when(F.length(text) >= width, F.sequence(F.lit(1), F.length(text) - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, width)))
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame, quote: str, text: str) -> DataFrame:
-    """Pairs of quotes and texts that contain them, without a common key.
+    """Pairs of quotes and texts that contain them, without a common key: exactly those for which ``contains`` holds.
 
     A text can only contain a quote whose inner words it has, so texts are posted under their different words and quotes
-    probe with the longest of their inner words; only pairs that meet are compared. Nothing is broadcast. Quotes without
-    an inner word (of under three words) would have to probe with a cut word; they are compared by their only whole one.
+    probe with the longest of their inner words. Quotes without a whole inner word (one or two words, or only signs between
+    them) could be cut out of longer words; texts are posted for them under their substrings of as many characters as
+    such a quote has, up to eight. Posts hold a key of the text only; texts are fetched for pairs that meet. Nothing is
+    broadcast. Null quotes and texts meet nothing; an empty quote is in every text and is met with each.
     """
-    inner = F.regexp_extract(F.col(quote), r"^\S+\s+(.*)\s+\S+$", 1)
-    probe = quotes.withColumn("__word", rarest_word(F.when(inner == "", F.col(quote)).otherwise(inner))).filter("__word IS NOT NULL")
-    wanted = probe.select("__word").distinct()
-    words = F.array_distinct(F.split(F.col(text), r"[^\p{L}\p{N}]+"))
-    posts = texts.withColumn("__word", F.explode(words)).join(wanted, "__word", "left_semi")
-    return probe.join(posts, "__word").filter(F.contains(F.col(text), F.col(quote))).drop("__word")
+    inner = F.regexp_extract(F.col(quote), r"(?s)^\S+\s+(.*)\s+\S+$", 1)
+    named = quotes.withColumn("__word", longest_word(inner)).filter(F.col(quote).isNotNull())
+    keyed = texts.filter(F.col(text).isNotNull()).withColumn("__t", F.sha2(text, 256))
+    bodies = keyed.select("__t", F.col(text).alias("__text")).dropDuplicates(["__t"])
+    asked = named.select(F.col(quote).alias("__quote"), "__word").distinct()
+
+    probe = asked.filter("__word IS NOT NULL")
+    words = bodies.select("__t", F.explode(F.array_distinct(F.split("__text", r"[^\p{L}\p{N}]+"))).alias("__word"))
+    met = probe.join(words.join(probe.select("__word").distinct(), "__word", "left_semi"), "__word").select("__quote", "__t")
+
+    cut = asked.filter("__word IS NULL").withColumn("__n", F.least(F.length("__quote"), F.lit(8)))
+    cut = cut.withColumn("__gram", F.substring("__quote", F.lit(1), F.col("__n")))
+    sizes = cut.groupBy().agg(F.collect_set("__n").alias("__sizes"))  # at most nine numbers in one row
+    every = F.flatten(F.transform("__sizes", lambda n: grams(F.col("__text"), n)))
+    pieces = bodies.crossJoin(F.broadcast(sizes)).select("__t", F.explode(every).alias("__gram"))
+    met = met.unionByName(cut.join(pieces.join(cut.select("__gram").distinct(), "__gram", "left_semi"), "__gram").select("__quote", "__t"))
+    pairs = met.distinct().join(bodies, "__t").filter(F.contains("__text", F.col("__quote"))).select("__quote", "__t")
+    left = quotes.withColumn("__quote", F.col(quote))
+    return left.join(pairs, "__quote").join(keyed, "__t").drop("__quote", "__t")
 
 
 def verify_quotes(evidence: DataFrame, cards: DataFrame, card: str, quote: str, text: str) -> DataFrame:

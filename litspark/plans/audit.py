@@ -31,12 +31,14 @@ def q_pipeline_gate(t: Tables) -> DataFrame:
     return au.pipeline_gate(papers, "status")
 
 
-@query()
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""")
 def q_stream_corpus(t: Tables) -> DataFrame:
-    """The latest run of each paper, kept up by a stream of event files; tests hold that it equals the batch."""
-    from litspark.streaming.corpus import latest_runs_stream
+    """The latest run of each paper, kept up by a stream of event files; a paper whose last run is an error is withdrawn."""
+    from litspark.streaming import corpus
 
-    return latest_runs_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    table = corpus.shared_path(t.spark, "corpus")
+    corpus.update_corpus(t.spark, f"{t.sf_dir}/events.parquet", table)
+    return corpus.read_corpus(t.spark, table, F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT doc_id, CASE WHEN c.h IS NULL THEN 'miss' WHEN c.lang = d.lang AND c.h = sha256(d.text) THEN 'hit' ELSE 'stale' END AS status FROM documents d LEFT JOIN (SELECT doc_id AS id, lang, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 > 0) c ON d.doc_id = c.id""")

@@ -7,80 +7,92 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.operators.structure import latest_by
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="litspark-")
+    """A new path in the folder that all executors share; a temporary one where none is set, as in local tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="litspark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """Batch twin: of each paper the last run."""
+    """Of each paper the last run, whether it failed or not."""
     return latest_by(runs.select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"])
 
 
-def latest_runs_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same kept up by a stream of files: every batch is merged with the table so far into a new version.
+def published(runs: DataFrame, failed: Column) -> DataFrame:
+    """Batch twin of the stream: the last run of each paper; a last run that failed withdraws the paper."""
+    return latest_runs(runs).filter(~F.coalesce(failed, F.lit(False)))
 
-    Merging by paper and latest run makes batches that come twice harmless.
-    """
-    out = shared_path(spark, "corpus")
-    state = {"at": None}
-    schema = spark.read.parquet(path).schema
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        now = latest_runs(batch)
-        if state["at"]:
-            now = latest_runs(now.unionByName(spark.read.parquet(state["at"])))
-        target = f"{out}/v{epoch}"
-        now.write.mode("overwrite").parquet(target)
-        state["at"] = target
 
+def update_corpus(spark: SparkSession, path: str, table: str) -> None:
+    """Take in the files of ``path`` that aren't in ``table`` yet.
+
+    Every batch writes the latest run of each of its papers under its number, so a batch costs as much as it holds, one
+    that is repeated after a failure overwrites what it wrote, and a new start goes on where the last one ended.
+    """
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads files of a folder or a pattern, not a single file's path
-    stream = spark.readStream.schema(schema).parquet(pattern)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        latest_runs(batch).write.mode("overwrite").parquet(f"{table}/runs/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(state["at"]).select("user_id", "event_id", "event_type")
 
 
-LEGAL = {"queued": ["running"], "running": ["completed", "failed"]}
+def read_corpus(spark: SparkSession, table: str, failed: Column) -> DataFrame:
+    """What is published: the latest runs of all batches, merged, without papers whose last run failed."""
+    return published(spark.read.parquet(f"{table}/runs"), failed)
+
 
+#: The states that may follow a state; a job begins as queued.
+LEGAL = {"queued": ["running", "failed"], "running": ["completed", "failed"]}
 
-def job_states(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """Streaming ledger of jobs: (job, state, problem) for each event, keyed by job.
 
-    problem is null, illegal, or interrupted for a job that stays silent for ``idle_ms`` while it runs.
+def job_states(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """Streaming ledger of jobs: (job, seq, state, problem) for each event, keyed by job.
+
+    events: job, seq, at, state and paper. A row with a paper is the result of that paper. problem is null, ``illegal``
+    for a change that isn't allowed, ``not_running`` or ``duplicate_result`` for a paper's result, or ``interrupted`` for
+    an open job that stays silent for ``idle`` of event time, which fails it. Rows of a job in one batch are put in order
+    of seq first; state holds the job's own papers only.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, papers = (state.get[0], list(state.get[1])) if state.exists else (None, [])
         if state.hasTimedOut:
-            last = state.get[0]
             state.remove()
             if last in ("queued", "running"):
-                yield pd.DataFrame({"job": [key[0]], "state": ["failed"], "problem": ["interrupted"]})
+                yield pd.DataFrame({"job": [key[0]], "seq": [None], "state": ["failed"], "problem": ["interrupted"]})
             return
-        last = state.get[0] if state.exists else None
-        for pdf in batches:
-            out = []
-            for new in pdf.sort_values("seq")["state"]:
-                legal = new == "queued" if last is None else new in LEGAL.get(last, [])
-                out.append((key[0], new if legal else last, None if legal else "illegal"))
-                last = new if legal else last
-            yield pd.DataFrame(out, columns=["job", "state", "problem"])
-        state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-
-    return events.groupBy("job").applyInPandasWithState(run, "job long, state string, problem string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def job_states_batch(events: DataFrame) -> DataFrame:
-    """Batch twin for whole histories: illegal rows by the state before, where all others are legal."""
-    from litspark.operators.audits import illegal_transitions
-
-    return illegal_transitions(events, "job", "seq", "state", LEGAL).select("job", F.col("before"), "state")
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for seq, new, paper in zip(rows["seq"], rows["state"], rows["paper"], strict=True):
+            problem = None
+            if isinstance(paper, str):
+                problem = "not_running" if last != "running" else "duplicate_result" if paper in papers else None
+                papers += [] if problem else [paper]
+            elif new == "queued" if last is None else new in LEGAL.get(last, []):
+                last = new
+            else:
+                problem = "illegal"
+            out.append((key[0], seq, last, problem))
+        yield pd.DataFrame(out, columns=["job", "seq", "state", "problem"])
+        state.update((last, papers))
+        latest = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
+
+    timed = events.withWatermark("at", "0 seconds")
+    return timed.groupBy("job").applyInPandasWithState(run, "job long, seq long, state string, problem string", "state string, papers array<string>", "append", GroupStateTimeout.EventTimeTimeout)

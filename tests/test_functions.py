@@ -45,7 +45,9 @@ def test_claims(spark):
 
 def test_numbers(spark):
     facts = one(spark, numeric.numeric_facts(F.lit("1,234.5 and 12 % of a1 $1 2 3$")))
-    assert set(facts) >= {"1234.5", "123"}
+    assert set(facts) == {"1234.5", "12%", "1", "2", "3", "123"}
+    formula = one(spark, numeric.numeric_facts(F.lit("$0 . 1 2$ and 5\n\\frac 3 ~ 4 and 1 000\nx 1 2")))
+    assert set(formula) >= {"0.12", "34", "1000", "5"} and "12" in formula and "512" not in formula
     for word, value in (("十", 10), ("二十三", 23), ("一百零五", 105), ("零", 0), ("12", 12), ("x", None)):
         assert one(spark, numeric.cn_numeral(F.lit(word))) == value
     assert one(spark, numeric.guarded_ratio(F.lit(1), F.lit(0))) == 0.0
