@@ -335,7 +335,7 @@ def test_exact_dedup(docs):
         for i in ids:
             want[i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()] += 1
     for capacity in (100_000, 2):
-        got = exact_dedup.exact_duplicates(docs, capacity=capacity, max_depth=6)
+        got = exact_dedup.exact_duplicates(docs, capacity=capacity)
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got.collect()) == want
     rows = exact_dedup.distinct_rows(docs).collect()
     assert Counter(r.text or "" for r in rows) == Counter(list(groups)) and rows[0].asDict().keys() == set(docs.columns)
@@ -343,9 +343,28 @@ def test_exact_dedup(docs):
 
 def test_directory_doubles_until_buckets_fit(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
-    found = exact_dedup.directory(keys, 100, 8)
-    held = keys.withColumn("cell", F.shiftrightunsigned("key", 56)).join(found, "cell").groupBy("bucket").count()
-    assert held.agg(F.max("count")).first()[0] <= 100 and held.agg(F.sum("count")).first()[0] == 1000 and held.count() > 8
+    found, depth = exact_dedup.directory(keys, 100)
+    held = keys.withColumn("cell", exact_dedup.leading_bits(F.col("key"), depth)).join(found, "cell").groupBy("bucket").count()
+    assert held.agg(F.max("count")).first()[0] <= 100 and held.agg(F.sum("count")).first()[0] == 1000 and 10 < held.count() < 40
+    # keys that share 40 bits are split beyond them
+    near = spark.range(20).select(F.expr("shiftleft(id, 12)").alias("key"))
+    found, depth = exact_dedup.directory(near, 4)
+    held = near.withColumn("cell", exact_dedup.leading_bits(F.col("key"), depth)).join(found, "cell").groupBy("bucket").count()
+    assert held.agg(F.max("count")).first()[0] <= 4 and depth > 48
+
+
+def test_exact_dedup_chains_collisions(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "hash_key", lambda text: F.length(F.coalesce(text, F.lit(""))).cast("long"))
+    rows = [(1, "ab"), (2, "cd"), (3, "ab"), (4, "cd"), (5, "ef"), (6, None), (7, "")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.chain) for r in got} == {1: (3, 2, 1), 2: (4, 2, 2), 3: (3, 2, 1), 4: (4, 2, 2), 5: (5, 1, 3), 6: (7, 2, 1), 7: (7, 2, 1)}
+
+
+def test_distinct_rows_with_clashing_names(spark):
+    rows = [(1, "a", "x", 1), (1, "a", "y", 2), (2, "b", None, 3), (None, None, "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string, `key` long")
+    got = [tuple(r) for r in exact_dedup.distinct_rows(df).collect()]
+    assert len(got) == 3 and set(got) <= set(rows) and sorted(got, key=str) == sorted((tuple(r) for r in exact_dedup.distinct_rows(df.repartition(3)).collect()), key=str)
 
 
 @pytest.mark.parametrize("shard_runs", [2500, 2])
