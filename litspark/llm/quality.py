@@ -3,7 +3,7 @@
 Each document gets text statistics and a vector of five transformed ones. For every group of language and source the
 location and scatter of the majority are estimated by the minimum covariance determinant (MCD): from two deterministic
 starts, concentration steps keep the share ``majority`` of the rows with the smallest Mahalanobis distance and estimate
-again; the start that ends with the smaller determinant wins and is reweighted once. A document is rejected if its
+again, until no determinant changes; the start that ends with the smaller one wins and is reweighted once. A document is rejected if its
 squared Mahalanobis distance from the estimate is over ``cutoff``, the quantile that normal rows exceed with ``TAIL``.
 
 All of it is grouped aggregation. Vectors are integers (thousandths), so that sums don't depend on the order of rows and
@@ -13,8 +13,7 @@ ever sorted in one task.
 
 Defined cases: null or empty text has no words and fails the base rules; null language or source is a value of its own;
 groups with under ``min_group`` usable rows are pooled by language, then altogether, and below that the base rules alone
-decide; repeated rows count as often as they occur; other columns are carried unchanged and may have any name but
-``__quality``.
+decide; repeated rows count as often as they occur; other columns are carried unchanged and may have any name.
 """
 
 from __future__ import annotations
@@ -24,9 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.llm.common import SPACES, let, saved, word_array
+from litspark.llm.common import has_word, let, saved, word_array
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]+"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 P = 5
 #: Least standard deviation of each transformed statistic, in thousandths: a group that is constant in one of them
@@ -67,8 +66,7 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 def text_statistics(text: Column) -> Column:
     """Struct of the base statistics, all long, and of the number of lines that have a word."""
     t = F.coalesce(text, F.lit(""))
-    bare = F.translate(t, SPACES, "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(t, "\n"), has_word)
 
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), repeat_words(words).alias("n_repeat_words"))
@@ -78,8 +76,8 @@ def text_statistics(text: Column) -> Column:
 
     return F.struct(
         let(word_array(text), of_words).alias("w"),
-        F.length(bare).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, of_lines).alias("l"),
     )
 
@@ -165,6 +163,11 @@ def group_key(*cols: str) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in cols]))
 
 
+def small_side(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table of one short row for each group, broadcast up to ``most`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def assign_groups(stats: DataFrame, min_group: int) -> DataFrame:
     """(key, grp): of each key of language and source the group that is estimated together; null if there are too few rows."""
     sizes = stats.groupBy("key", "lang_key").agg(F.sum("n").alias("n"))
@@ -176,22 +179,24 @@ def assign_groups(stats: DataFrame, min_group: int) -> DataFrame:
     return found.select("key", grp.alias("grp"))
 
 
-def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: int = 3) -> DataFrame:
+def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: int = 30) -> DataFrame:
     """Estimates by key of language and source: key, means and factor of the reweighted MCD of its group.
 
-    stats: key, lang_key, x0 to x4, of the rows that pass the base rules.
+    stats: key, lang_key, x0 to x4, of the rows that pass the base rules. Concentration steps never raise a determinant
+    but by the floors, so they end long before ``steps``, which only guards against an estimate that swings.
     """
     xs = [f"x{i}" for i in range(P)]
     x = lambda i: F.col(f"x{i}")
     counted = saved(stats.groupBy("key", "lang_key", *xs).agg(F.count(F.lit(1)).alias("n")), "vectors")
     groups = saved(assign_groups(counted, min_group), "groups")
-    rows = saved(counted.join(groups.filter("grp IS NOT NULL"), "key").groupBy("grp", *xs).agg(F.sum("n").alias("n")), "rows")
+    rows = saved(counted.join(small_side(groups).filter("grp IS NOT NULL"), "key").groupBy("grp", *xs).agg(F.sum("n").alias("n")), "rows")
 
     # Start 0: medians and median absolute deviations. Start 1: covariance of the same after tanh.
     med = rows.groupBy("grp").agg(*[F.expr(f"percentile(x{i}, 0.5, n)").alias(f"m{i}") for i in range(P)])
-    med = saved(med, "medians")
+    med = small_side(saved(med, "medians"))
     mad = rows.join(med, "grp").groupBy("grp").agg(*[F.expr(f"percentile(round(abs(x{i} - m{i})), 0.5, n)").alias(f"a{i}") for i in range(P)])
     base = saved(med.join(mad, "grp").withColumns({f"a{i}": F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + float(FLOORS[i] ** 2)) for i in range(P)}), "starts")
+    base = small_side(base)
     flat = {f"c{i}{j}": (F.col(f"a{i}") * F.col(f"a{i}") if i == j else F.lit(0.0)) for i in range(P) for j in range(i + 1)}
     first = with_cholesky(base.withColumns(flat), 1.0).withColumn("start", F.lit(0)).select("grp", "start", *STATE)
     soft = rows.join(base, "grp").withColumns({f"y{i}": F.round(UNIT * F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"a{i}"))).cast("long") for i in range(P)})
@@ -201,22 +206,27 @@ def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: in
     state = saved(first.unionByName(second), "state")
 
     def near(state: DataFrame, keys: list[str]) -> DataFrame:
-        return with_distance(rows.join(state, "grp"), x).withColumn("bin", F.floor(BINS * F.log1p("d2")).cast("int")).select(*keys, *xs, "n", "bin")
+        return with_distance(rows.join(small_side(state), "grp"), x).withColumn("bin", F.floor(BINS * F.log1p("d2")).cast("int")).select(*keys, *xs, "n", "bin")
 
     for _ in range(steps):
         seen = near(state, ["grp", "start"])
         # one row a group: written, so that its size is known and the rows needn't be dealt by group to meet it
-        cut = saved(seen.groupBy("grp", "start").agg(F.expr(f"percentile(bin, {majority}, n)").alias("cut")), "cut")
-        state = saved(with_cholesky(moments(seen.join(cut, ["grp", "start"]).filter("bin <= cut"), ["grp", "start"], x), consistency(majority)).select("grp", "start", *STATE), "state")
+        cut = small_side(saved(seen.groupBy("grp", "start").agg(F.expr(f"percentile(bin, {majority}, n)").alias("cut")), "cut"))
+        before, state = state, saved(with_cholesky(moments(seen.join(cut, ["grp", "start"]).filter("bin <= cut"), ["grp", "start"], x), consistency(majority)).select("grp", "start", *STATE), "state")
+        moved = state.join(before.select("grp", "start", F.col("log_det").alias("old")), ["grp", "start"]).filter(F.abs(F.col("log_det") - F.col("old")) > 1e-9)
+        if moved.isEmpty():
+            break
 
-    best = state.groupBy("grp").agg(F.min_by(F.struct("start", *STATE), F.struct("log_det", "start")).alias("s")).select("grp", "s.*")
+    best = saved( state.groupBy("grp").agg(F.min_by(F.struct("start", *STATE), F.struct("log_det", "start")).alias("s")).select("grp", "s.*"), "best")
     keep = near(best, ["grp"]).filter(F.col("bin") <= int(BINS * math.log1p(chi2_quantile(0.975, P))))
     final = with_cholesky(moments(keep, ["grp"], x), consistency(0.975)).select("grp", *STATE)
     return saved(groups.join(final, "grp").drop("grp"), "estimates")
 
 
-def with_keys(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__key": group_key("lang", "source"), "__lang_key": group_key("lang")})
+def described(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns with ``__quality`` and keys of language and source, written once. docs: text, lang, source."""
+    df = with_statistics(docs).withColumns({"__key": group_key("lang", "source"), "__lang_key": group_key("lang")})
+    return saved(df.select(*columns, "__quality", "__key", "__lang_key"), "statistics")
 
 
 def stats_of(df: DataFrame) -> DataFrame:
@@ -224,18 +234,16 @@ def stats_of(df: DataFrame) -> DataFrame:
 
 
 def scored(df: DataFrame, estimates: DataFrame, cutoff: float) -> DataFrame:
-    """df of with_statistics and with_keys, with distance2 (null without an estimate) and kept in ``__quality``."""
+    """df of ``described``, with distance2 (null without an estimate) and kept in ``__quality``."""
     q = F.col("__quality")
-    # one row for each language and source; Spark broadcasts it when its measured size is under its threshold
-    out = with_distance(df.join(estimates.withColumnRenamed("key", "__key"), "__key", "left"), lambda i: F.col(f"__quality.x{i}"), "__d2")
+    out = with_distance(df.join(small_side(estimates.withColumnRenamed("key", "__key")), "__key", "left"), lambda i: F.col(f"__quality.x{i}"), "__d2")
     kept = ~q["base_failed"] & F.coalesce(F.col("__d2") <= cutoff, F.lit(True))
-    out = out.withColumn("__quality", q.withField("distance2", F.when(~q["base_failed"], F.col("__d2"))).withField("kept", kept))
-    return out.drop("__key", "__lang_key", "__d2", *STATE)
+    return out.withColumn("__quality", q.withField("distance2", F.when(~q["base_failed"], F.col("__d2"))).withField("kept", kept))
 
 
 def mcd_quality(docs: DataFrame, cutoff: float = CUTOFF, **fit_options) -> DataFrame:
     """One row per row of docs: doc_id, the statistics, base_failed, distance2 and kept."""
-    df = saved(with_keys(with_statistics(docs.select("doc_id", "text", "lang", "source"))).drop("text"), "statistics")
+    df = described(docs.select("doc_id", "text", "lang", "source"), F.col("doc_id"))
     out = scored(df, fit(stats_of(df), **fit_options), cutoff)
     return out.select("doc_id", *[f"__quality.{c}" for c in [*STATS, "base_failed", "distance2", "kept"]])
 
@@ -243,8 +251,9 @@ def mcd_quality(docs: DataFrame, cutoff: float = CUTOFF, **fit_options) -> DataF
 def filter_quality(docs: DataFrame, cutoff: float = CUTOFF, **fit_options) -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
-    The statistics are computed again in the filtering scan, which costs less than to carry the texts through a table.
+    Rows are written with their statistics as one struct, so texts are scanned once and columns may have any name.
     """
-    df = saved(stats_of(with_keys(with_statistics(docs.select("text", "lang", "source")))), "statistics")
-    out = scored(with_keys(with_statistics(docs)), fit(df, **fit_options), cutoff)
-    return out.filter("__quality.kept").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    df = described(docs.select(whole, F.col("text"), F.col("lang"), F.col("source")), F.col("__row"))
+    out = scored(df, fit(stats_of(df), **fit_options), cutoff).filter("__quality.kept")
+    return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

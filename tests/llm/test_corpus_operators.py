@@ -83,6 +83,65 @@ def test_quality_each_statistic_alone(spark):
     assert quality.chi2_cdf(quality.CUTOFF, quality.P) == pytest.approx(1 - quality.TAIL)
 
 
+def weighted_percentile(values, share):
+    return float(np.percentile(np.asarray(values, float), 100 * share))
+
+
+def brute_distances(x, majority=0.75):
+    """The reweighted MCD of one group in numpy, by the operator's definitions: squared distances of the rows of x."""
+    floors = np.diag(np.array(quality.FLOORS, float) ** 2)
+
+    def distances(mean, cov):
+        z = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T)
+        return (z**2).sum(axis=0)
+
+    def estimate(rows, share):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) * quality.consistency(share) + floors
+
+    med = np.median(x, axis=0)
+    mad = np.sqrt((1.4826 * np.median(np.round(np.abs(x - med)), axis=0)) ** 2 + np.diag(floors))
+    soft = np.round(1000 * np.tanh((x - med) / mad))
+    ends = []
+    for cov in (np.diag(mad**2), np.cov(soft.T, bias=True) / 1000**2 * np.outer(mad, mad) + floors):
+        mean, last = med, None
+        for _ in range(60):
+            b = np.floor(quality.BINS * np.log1p(distances(mean, cov)))
+            mean, cov = estimate(x[b <= weighted_percentile(b, majority)], majority)
+            det = np.linalg.slogdet(cov)[1]
+            if last is not None and abs(det - last) < 1e-9:
+                break
+            last = det
+        ends.append((det, mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    b = np.floor(quality.BINS * np.log1p(distances(mean, cov)))
+    keep = x[b <= int(quality.BINS * np.log1p(quality.chi2_quantile(0.975, quality.P)))]
+    return distances(*estimate(keep, 0.975))
+
+
+def test_quality_distances_against_numpy(spark):
+    r = random.Random(12)
+    texts = []
+    for i in range(300):
+        words = [w + ("#" if r.random() < 0.02 * (i % 3) else "") for w in prose(int(r.lognormvariate(4.5, 0.7)) + 12, 40 + i).split()]
+        texts.append("\n".join([" ".join(words), *[" ".join(words[:6])] * (i % 4 == 0), *["b c"] * (i % 5 == 1)]))
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    vectors = {v.doc_id: v for v in quality.with_statistics(df).select("doc_id", "__quality.*").collect()}
+    ids = [i for i in sorted(vectors) if not vectors[i].base_failed]
+    want = dict(zip(ids, brute_distances(np.array([[vectors[i][f"x{k}"] for k in range(quality.P)] for i in ids], float)), strict=True))
+    got = {v.doc_id: v for v in quality.mcd_quality(df).collect()}
+    assert {i: got[i].distance2 for i in ids} == pytest.approx(want, rel=1e-6)
+    assert all(got[i].kept == (want[i] <= quality.CUTOFF) for i in ids) and {got[i].kept for i in ids} == {True, False}
+
+
+def test_quality_filter_with_clashing_names(spark):
+    rows = [(i, prose(60, i), "en", "s", i, "x") for i in range(60)]
+    names = ["m0", "z0", "log_det", "l00", "__quality", "__key", "__row", "key", "grp", "n"]
+    df = spark.createDataFrame([(*r[:4], *[r[4]] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    got = quality.filter_quality(df)
+    assert got.columns == df.columns and got.count() == 60
+
+
 def test_mix_reaches_targets(docs):
     rows = mixing.mix(docs).collect()
     again = Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
