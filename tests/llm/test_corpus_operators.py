@@ -289,6 +289,31 @@ def test_minhash_against_brute_force(spark, docs):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()) == brute_components(rows, 4)
 
 
+def test_minhash_recall_at_the_threshold():
+    r = np.random.default_rng(6)
+    caught = total = 0
+    for similarity in (0.8, 0.82, 0.85):
+        for size in (20, 200, 20_000):
+            for _ in range(40 if size < 1000 else 4):
+                union = r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+                both = int(np.ceil(similarity * size))
+                cut = (size - both) // 2 + both
+                x, y = np.sort(union[:cut]), np.sort(np.concatenate([union[:both], union[cut:]]))
+                assert minhash.similar(x, y, 80)
+                caught += (minhash.signature(x) == minhash.signature(y)).sum() >= minhash.MATCHES
+                total += 1
+    assert caught == total
+    large = minhash.signature(r.integers(0, 2**63, 20_000, dtype=np.uint64)).view(np.uint32)
+    assert large.max() > 2**31 and large.mean() > 2**29  # values keep their spread in large sets
+
+
+def test_distinct_documents_with_clashing_names(spark):
+    rows = [(1, prose(30, 1), 7), (2, prose(30, 1), 8), (3, prose(30, 2), 9), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = minhash.distinct_documents(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def edited(r, s, k):
     s = list(s)
     for _ in range(k):
