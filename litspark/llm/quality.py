@@ -3,7 +3,8 @@
 Each document gets text statistics and a vector of five transformed ones. For every group of language and source the
 location and scatter of the majority are estimated by the minimum covariance determinant (MCD): from two deterministic
 starts, concentration steps keep the share ``majority`` of the rows with the smallest Mahalanobis distance and estimate
-again, until no determinant changes; the start that ends with the smaller one wins and is reweighted once. A document is rejected if its
+again, until the logarithm of the determinant moves by less than ``SETTLED``; only groups that still move are estimated
+again. The start that ends with the smaller one wins and is reweighted once. A document is rejected if its
 squared Mahalanobis distance from the estimate is over ``cutoff``, the quantile that normal rows exceed with ``TAIL``.
 
 All of it is grouped aggregation. Vectors are integers (thousandths), so that sums don't depend on the order of rows and
@@ -34,6 +35,8 @@ P = 5
 FLOORS = (500, 80, 250, 600, 500)
 #: share of the rows of a normal group that is over the cutoff
 TAIL = 0.001
+#: a determinant that moves by less than this share is settled
+SETTLED = 0.01
 UNIT = 1000
 BINS = 40
 
@@ -153,7 +156,8 @@ def with_distance(df: DataFrame, x, to: str = "d2") -> DataFrame:
 def moments(df: DataFrame, keys: list[str], x, unit: float = 1.0) -> DataFrame:
     """Means and covariances by weight n, from sums of integers, which are exact in any order."""
     sums = [F.sum("n").alias("n")] + [F.sum(x(i) * F.col("n")).alias(f"s{i}") for i in range(P)]
-    sums += [F.sum((x(i) * x(j) * F.col("n")).cast("decimal(38,0)")).cast("double").alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
+    # long sums of numbers of about 10,000 squared hold for some 10 ** 10 rows of a group; more would fail, not go wrong
+    sums += [F.sum(x(i) * x(j) * F.col("n")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
     df = df.groupBy(*keys).agg(*sums).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
     df = df.withColumns({f"c{i}{j}": (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) / unit**2 for i in range(P) for j in range(i + 1)})
     return df.select(*keys, "n", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
@@ -179,7 +183,7 @@ def assign_groups(stats: DataFrame, min_group: int) -> DataFrame:
     return found.select("key", grp.alias("grp"))
 
 
-def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: int = 30) -> DataFrame:
+def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: int = 20) -> DataFrame:
     """Estimates by key of language and source: key, means and factor of the reweighted MCD of its group.
 
     stats: key, lang_key, x0 to x4, of the rows that pass the base rules. Concentration steps never raise a determinant
@@ -208,16 +212,20 @@ def fit(stats: DataFrame, min_group: int = 50, majority: float = 0.75, steps: in
     def near(state: DataFrame, keys: list[str]) -> DataFrame:
         return with_distance(rows.join(small_side(state), "grp"), x).withColumn("bin", F.floor(BINS * F.log1p("d2")).cast("int")).select(*keys, *xs, "n", "bin")
 
+    settled = state.limit(0)
     for _ in range(steps):
         seen = near(state, ["grp", "start"])
         # one row a group: written, so that its size is known and the rows needn't be dealt by group to meet it
         cut = small_side(saved(seen.groupBy("grp", "start").agg(F.expr(f"percentile(bin, {majority}, n)").alias("cut")), "cut"))
-        before, state = state, saved(with_cholesky(moments(seen.join(cut, ["grp", "start"]).filter("bin <= cut"), ["grp", "start"], x), consistency(majority)).select("grp", "start", *STATE), "state")
-        moved = state.join(before.select("grp", "start", F.col("log_det").alias("old")), ["grp", "start"]).filter(F.abs(F.col("log_det") - F.col("old")) > 1e-9)
-        if moved.isEmpty():
+        new = with_cholesky(moments(seen.join(cut, ["grp", "start"]).filter("bin <= cut"), ["grp", "start"], x), consistency(majority)).select("grp", "start", *STATE)
+        new = saved(new.join(small_side(state).select("grp", "start", F.col("log_det").alias("before")), ["grp", "start"]), "state")
+        moves = F.abs(F.col("log_det") - F.col("before")) > SETTLED
+        settled, state = settled.unionByName(new.filter(~moves).drop("before")), new.filter(moves).drop("before")
+        if state.isEmpty():
             break
+    state = settled.unionByName(state)
 
-    best = saved( state.groupBy("grp").agg(F.min_by(F.struct("start", *STATE), F.struct("log_det", "start")).alias("s")).select("grp", "s.*"), "best")
+    best = saved(state.groupBy("grp").agg(F.min_by(F.struct("start", *STATE), F.struct("log_det", "start")).alias("s")).select("grp", "s.*"), "best")
     keep = near(best, ["grp"]).filter(F.col("bin") <= int(BINS * math.log1p(chi2_quantile(0.975, P))))
     final = with_cholesky(moments(keep, ["grp"], x), consistency(0.975)).select("grp", *STATE)
     return saved(groups.join(final, "grp").drop("grp"), "estimates")

@@ -103,12 +103,12 @@ def brute_distances(x, majority=0.75):
     soft = np.round(1000 * np.tanh((x - med) / mad))
     ends = []
     for cov in (np.diag(mad**2), np.cov(soft.T, bias=True) / 1000**2 * np.outer(mad, mad) + floors):
-        mean, last = med, None
+        mean, last = med, np.linalg.slogdet(cov)[1] / 2
         for _ in range(60):
             b = np.floor(quality.BINS * np.log1p(distances(mean, cov)))
             mean, cov = estimate(x[b <= weighted_percentile(b, majority)], majority)
-            det = np.linalg.slogdet(cov)[1]
-            if last is not None and abs(det - last) < 1e-9:
+            det = np.linalg.slogdet(cov)[1] / 2
+            if abs(det - last) <= quality.SETTLED:
                 break
             last = det
         ends.append((det, mean, cov))
