@@ -193,7 +193,7 @@ def q_report_lines(t: Tables) -> DataFrame:
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '[\\s　]+', ' ', 'g'))) AS fingerprint, left(text, 100) || CASE WHEN length(text) > 100 THEN '...' ELSE '' END AS preview, "
-       "lower(regexp_replace(left(text, 200), '[^0-9A-Za-z一-鿿]+', '', 'g')) AS title, trim(regexp_replace(regexp_replace(lower(left(text, 100)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm, "
+       "lower(regexp_replace(text, '[^0-9A-Za-z一-鿿]+', '', 'g')) AS title, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS norm, "
        "'d_' || left(sha256(doc_id || chr(31) || lang), 24) AS id, list_count(list_filter(['the', 'der'], lambda x: contains(text, x))) AS hits FROM documents")
 def q_text_functions(t: Tables) -> DataFrame:
     c = F.col("text")
@@ -201,8 +201,8 @@ def q_text_functions(t: Tables) -> DataFrame:
         "doc_id",
         F.substring(text.fingerprint(c), 8, 64).alias("fingerprint"),
         text.preview(c, 100).alias("preview"),
-        text.canonical_title(F.substring(c, 1, 200)).alias("title"),
-        text.norm_title(F.substring(c, 1, 100)).alias("norm"),
+        text.canonical_title(c).alias("title"),
+        text.norm_title(c).alias("norm"),
         text.stable_id("d_", F.col("doc_id"), F.col("lang")).alias("id"),
         text.count_terms(c, ["the", "der"]).cast("long").alias("hits"),
     )
@@ -230,9 +230,9 @@ def q_numeric_facts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.array_sort(numeric.numeric_facts(F.col("text"))), "|").alias("facts"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(list_filter(w, lambda x: x <> '')), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(w, lambda x: x <> ''))) AS n_distinct, len(list_filter(list_distinct(w), lambda x: NOT list_contains(['the', 'of', 'a'], x))) AS n_except FROM (SELECT doc_id, string_split(left(text, 500), ' ') AS w FROM documents)")
+@query("SELECT doc_id, array_to_string(list_distinct(list_filter(w, lambda x: x <> '')), ' ') IS NOT NULL AS ok, len(list_distinct(list_filter(w, lambda x: x <> ''))) AS n_distinct, len(list_filter(list_distinct(w), lambda x: NOT list_contains(['the', 'of', 'a'], x))) AS n_except FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def q_array_distinct(t: Tables) -> DataFrame:
-    w = F.split(F.substring("text", 1, 500), " ")
+    w = F.split("text", " ")
     return t.documents.select("doc_id", F.lit(True).alias("ok"), F.size(arrays.first_distinct(w)).cast("long").alias("n_distinct"), F.size(F.array_except(w, F.array(F.lit("the"), F.lit("of"), F.lit("a")))).cast("long").alias("n_except"))
 
 

@@ -127,7 +127,7 @@ def q_table_scopes(t: Tables) -> DataFrame:
 def q_label_match(t: Tables) -> DataFrame:
     rows = t.v_line.filter(F.contains("text", F.lit("|")))
     labels = rows.select("doc_id", F.explode(pipe_cells(F.col("text"))).alias("label")).filter(F.length("label") > 2).distinct()
-    claims = t.documents.select("doc_id", F.substring("text", 1, 300).alias("claim"))
+    claims = t.documents.select("doc_id", F.col("text").alias("claim"))
     return ev.match_labels(claims, labels, "doc_id", "claim", "label").select("doc_id", "label")
 
 
@@ -155,16 +155,25 @@ def q_canonical(t: Tables) -> DataFrame:
     return ev.canonical_candidates(df, "s", "f", "e")
 
 
-@query("SELECT doc_id, text LIKE '%' || left(text, 40) || '%' AS supported FROM documents WHERE NOT regexp_matches(left(text, 40), '[，,；;。！？!?]') AND length(trim(left(text, 40))) > 0")
+SIGNS = "[，,；;。！？!?]"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t, list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(x, '{SIGNS}', '', 'g')), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, position(w[2] IN t) > 0 AND position(w[1] IN substr(t, position(w[2] IN t) + length(w[2]))) > 0 AS supported FROM w WHERE len(w) >= 2""")
 def q_clause_support(t: Tables) -> DataFrame:
-    df = t.documents.withColumn("claim", F.substring("text", 1, 40)).filter(~F.col("claim").rlike("[，,；;。！？!?]") & (F.length(F.trim("claim")) > 0))
-    return df.select("doc_id", ordered_clause_support(F.col("claim"), F.col("text")).alias("supported"))
+    """The claim has the first two words of a text as clauses in reverse order: supported where the first comes again."""
+    words = F.filter(F.transform(F.split("text", r"\s+"), lambda x: F.regexp_replace(x, SIGNS, "")), lambda x: x != "")
+    df = t.documents.select("doc_id", "text", words.alias("w")).filter(F.size("w") >= 2)
+    return df.select("doc_id", ordered_clause_support(F.concat(F.get("w", F.lit(1)), F.lit("，"), F.get("w", F.lit(0))), F.col("text")).alias("supported"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'the ') AND NOT contains(left(text, 1), 't') THEN 'the' END AS dropped FROM documents WHERE false")
+@query(rf"""WITH q AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t, replace(list_filter(list_transform(string_split_regex(text, '{SIGNS}|[.]'), lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: x <> '')[1], 'the', '') AS c FROM documents),
+d AS (SELECT doc_id, CASE WHEN contains(t, c) THEN NULL WHEN NOT contains(c, 'the') AND contains(t, 'the') AND contains(replace(t, 'the', ''), c) THEN 'the' WHEN NOT contains(c, 'und') AND contains(t, 'und') AND contains(replace(t, 'und', ''), c) THEN 'und' END AS dropped FROM q WHERE c <> '')
+SELECT * FROM d WHERE dropped IS NOT NULL""")
 def q_qualifier_dropped(t: Tables) -> DataFrame:
-    """Claims that leave a qualifier of their document out: none, as the claims are verbatim."""
-    df = t.documents.select("doc_id", qualifier_dropped(F.substring("text", 1, 60), F.col("text"), ["the", "und"]).alias("dropped"))
+    """The claim is the first clause of a text without the word that stands for a qualifier."""
+    parts = F.filter(F.transform(F.split("text", SIGNS + "|[.]"), lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != "")
+    df = t.documents.select("doc_id", qualifier_dropped(F.replace(F.get(parts, F.lit(0)), F.lit("the"), F.lit("")), F.col("text"), ["the", "und"]).alias("dropped"))
     return df.filter("dropped IS NOT NULL")
 
 

@@ -71,10 +71,10 @@ def q_dup_names(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars * 1000 < 204800 THEN 'xs' WHEN n_chars * 1000 < 1048576 THEN 's' WHEN n_chars * 1000 < 5242880 THEN 'm' WHEN n_chars * 1000 < 15728640 THEN 'l' ELSE 'xl' END AS bucket,
- CASE WHEN regexp_matches(lower(left(text, 60)), 'there|schen') THEN 'thesis_like' WHEN regexp_matches(lower(left(text, 60)), 'eau|ment') THEN 'news_like' WHEN regexp_matches(lower(left(text, 60)), 'tion|und') THEN 'journal_like' WHEN n_chars * 1000 >= 15728640 THEN 'thesis_like' ELSE 'unknown' END AS category FROM documents""")
+ CASE WHEN regexp_matches(lower(text), 'there|schen') THEN 'thesis_like' WHEN regexp_matches(lower(text), 'eau|ment') THEN 'news_like' WHEN regexp_matches(lower(text), 'tion|und') THEN 'journal_like' WHEN n_chars * 1000 >= 15728640 THEN 'thesis_like' ELSE 'unknown' END AS category FROM documents""")
 def q_inventory(t: Tables) -> DataFrame:
     size = F.col("n_chars") * 1000
-    return t.documents.select("doc_id", au.bucket_size(size).alias("bucket"), au.guess_category(F.substring("text", 1, 60), size, ["there", "schen"], ["eau", "ment"], ["tion", "und"]).alias("category"))
+    return t.documents.select("doc_id", au.bucket_size(size).alias("bucket"), au.guess_category(F.col("text"), size, ["there", "schen"], ["eau", "ment"], ["tion", "und"]).alias("category"))
 
 
 @query("""WITH p AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY 1) SELECT count(n) AS assigned, count(*) FILTER (n IS NULL) AS unassigned, count(*) FILTER (n > 1) AS multi_theme, max(n) AS most_themes FROM part LEFT JOIN p ON p_partkey = l_partkey""")
