@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -504,6 +505,42 @@ def test_html_all_articles_and_layouts():
         assert html_text.extract(copy, *wrapper) == "a b c"
 
 
+def test_html_classes_inside_articles():
+    page = "<article>One <p class='form'>two</p><div class='related work'>three</div><p class='share'>four</p><div class='ad'>no</div><form>no</form></article>"
+    assert html_text.extract(page, set(), set()) == "One two three four"
+
+
+def brute_matching(a, b):
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.boxes) + 1) for _ in range(len(a.boxes) + 1)]
+    for i, p in enumerate(a.boxes, 1):
+        for j, q in enumerate(b.boxes, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_matching(p, q))
+    return 1 + best[-1][-1]
+
+
+def test_html_alignment_against_brute_force():
+    r = random.Random(9)
+    grow = lambda d: "".join(f"<{t}>{grow(d - 1) if d else 'x'}</{t}>" for t in r.choices(["div", "b", "i"], k=r.randrange(5)))
+    for _ in range(60):
+        x, y = (html_text.parse(f"<body>{grow(3)}</body>") for _ in range(2))
+        known = {}
+        html_text.shapes(x, known)
+        html_text.shapes(y, known)
+        pairs = html_text.align(x, y, memo := {})
+        assert html_text.matching(x, y, memo) == brute_matching(x, y) == len(pairs)
+        assert all(p.label == q.label for p, q in pairs)
+
+
+def test_html_wide_lists():
+    item = lambda i, k: f"<li><a href='x'>{i}</a>{'<b>new</b>' * (i % 7 == k)}</li>"
+    pages = [f"<html><body><div class='story'><ul>{''.join(item(i, k) for i in range(8000 + k))}</ul></div><div class='end'>Imprint</div></body></html>" for k in range(2)]
+    began = time.time()
+    wrapper = [set(x) for x in html_text.induce(pages)]
+    assert "Imprint" not in html_text.extract(pages[0], *wrapper) and time.time() - began < 60
+
+
 def test_empty_tables(spark, empty):
     assert quality.mcd_quality(empty).count() == 0
     assert mixing.mix(empty).count() == 0
