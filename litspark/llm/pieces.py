@@ -2,12 +2,15 @@
 
 Text is cut at spaces and line ends, across which no piece of the vocabulary reaches. In each cut the best-scored pair of
 neighbours is merged again and again, the leftmost of equals first, as byte-pair encoding does from its agenda. Each
-candidate merge is skipped for good with probability ``dropout``, by a hash of the seed, the cut, its variant and the
-candidate's place; so the same text is segmented in varied ways, the same seed always in the same way, and every
-segmentation decodes to the text. An occurrence gets one of ``variants`` variants by a hash of seed, row and position.
-
-The merging runs in numpy over all cuts of a batch at once, one merge per cut and round. Segmentations are kept by cut
-and variant while a bounded table lasts. With dropout 0 the ids equal those of the sentencepiece library, but for the
+candidate that the agenda comes to is skipped for good with probability ``dropout``. The skips are drawn anew for every
+occurrence of a cut: a hash of the seed, the row, the place in the row and the number of skips so far says how many
+candidates pass until the next one is skipped. So the same text is segmented in varied ways without a bound, the same
+seed always in the same way, and every segmentation decodes to the text.
+
+Cuts of at most ``SHORT`` characters are kept as trees while a bounded table lasts: the root is the segmentation without
+skips, the child q of a node the one that also skips candidate q. An occurrence goes down from its root by its draws;
+nodes that are missing are made in numpy, all of a batch at once, one candidate per cut and round. A longer cut is merged
+on its own from a heap, in time n log n. With dropout 0 the ids equal those of the sentencepiece library, but for the
 character U+2581, which is encoded as bytes here so that it also comes back.
 
 Defined cases: null text has null ids; empty text has none; any length is encoded whole; repeated rows with one id get
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,7 @@ CUT = re.compile(" *[^ \n]+| +|\n")
 SPACE = "▁"
 M1, M2, ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.int64(1 << 31)
+SHORT = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,8 +64,9 @@ class Vocabulary:
                 ids[piece.replace(SPACE, " ")] = i
                 if len(piece) == 1:
                     self.char_id[ord(piece.replace(SPACE, " "))] = i
-        self.rank = np.array([round(-sp.get_score(i)) for i in range(n)], np.int64)
-        pairs = {(a << 16) | b: i for p, i in ids.items() for k in range(1, len(p)) if (a := ids.get(p[:k])) is not None and (b := ids.get(p[k:])) is not None}
+        self.ranks = [round(-sp.get_score(i)) for i in range(n)]
+        self.rank = np.array(self.ranks, np.int64)
+        self.pairs = pairs = {(a << 16) | b: i for p, i in ids.items() for k in range(1, len(p)) if (a := ids.get(p[:k])) is not None and (b := ids.get(p[k:])) is not None}
         self.bits = max(4, (4 * len(pairs)).bit_length())
         self.keys, self.merged = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         for key, i in pairs.items():
@@ -90,55 +96,55 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
 
 
-def segment(voc: Vocabulary, cuts: list[str], variant: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all cuts one after another, and their numbers."""
+def merge_short(voc: Vocabulary, cuts: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all cuts one after another, their numbers, and how many candidates each agenda came to.
+
+    skips has a row per cut with the numbers of the candidates to skip, filled up with -1.
+    """
     points = np.frombuffer("".join(cuts).encode("utf-32-le"), np.uint32)
     size = np.fromiter(map(len, cuts), np.int64, len(cuts))
     first = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(cuts)), size)
-    place = np.arange(len(points)) - first[owner]
-    key = np.add.reduceat(mixed(points + (place.astype(np.uint64) << np.uint64(32))), first)
-    key = mixed(key + mixed(variant.astype(np.uint64) + np.uint64((int(ODD) * (seed + 1)) % 2**64)))
-    limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-    sym, start, end = voc.char_id[points], place, place + 1
-
-    def candidates(j: np.ndarray, sym, start, end, owner) -> tuple[np.ndarray, np.ndarray]:
-        """What symbols j and j + 1 merge to, and its rank; NEVER if they don't or are skipped."""
+    start = np.arange(len(points)) - first[owner]
+    sym, came = voc.char_id[points], np.zeros(len(cuts), np.int64)
+
+    def candidates(j: np.ndarray, sym, owner) -> tuple[np.ndarray, np.ndarray]:
+        """What symbols j and j + 1 merge to, and its rank; NEVER if they don't."""
         to = np.where(owner[j] == owner[j + 1], voc.merge_of(sym[j], sym[j + 1]), -1)
-        triple = (start[j].astype(np.uint64) << np.uint64(42)) ^ (end[j].astype(np.uint64) << np.uint64(21)) ^ end[j + 1].astype(np.uint64)
-        skip = mixed(key[owner[j]] ^ mixed(triple)) < limit
-        return to, np.where((to >= 0) & ~skip, voc.rank[to], NEVER)
+        return to, np.where(to >= 0, voc.rank[to], NEVER)
 
     done: list[tuple[np.ndarray, ...]] = []
     to, rank = np.full(len(sym), -1, np.int32), np.full(len(sym), NEVER, np.int64)
     if len(sym) > 1:
-        to[:-1], rank[:-1] = candidates(np.arange(len(sym) - 1), sym, start, end, owner)
+        to[:-1], rank[:-1] = candidates(np.arange(len(sym) - 1), sym, owner)
+    number = 0
     while len(sym):
         heads = np.flatnonzero(np.diff(owner, prepend=-1))
         best = np.minimum.reduceat(rank * len(sym) + np.arange(len(sym)), heads)
         live = best < NEVER * len(sym)
+        at = best % len(sym)
         if not live.all():  # cuts without a candidate left are finished
-            sizes = np.diff(heads, append=len(sym))
-            keep = np.repeat(live, sizes)
+            came[owner[heads[~live]]] = number
+            keep = np.repeat(live, np.diff(heads, append=len(sym)))
             done.append((owner[~keep], start[~keep], sym[~keep]))
-            at = best[live] % len(sym)
-            where = np.cumsum(keep) - 1
-            sym, start, end, owner, to, rank = (x[keep] for x in (sym, start, end, owner, to, rank))
-            at = where[at]
-        else:
-            at = best % len(sym)
+            at = (np.cumsum(keep) - 1)[at[live]]
+            sym, start, owner, to, rank = (x[keep] for x in (sym, start, owner, to, rank))
         if not len(sym):
             break
-        sym[at], end[at] = to[at], end[at + 1]
+        skip = (skips[owner[at]] == number).any(axis=1)
+        number += 1
+        rank[at[skip]] = NEVER
+        at = at[~skip]
+        sym[at] = to[at]
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
-        sym, start, end, owner, to, rank = (x[keep] for x in (sym, start, end, owner, to, rank))
+        sym, start, owner, to, rank = (x[keep] for x in (sym, start, owner, to, rank))
         at = at - np.arange(len(at))  # one symbol went for each merge before
         to[at], rank[at] = -1, NEVER
         j = at[at + 1 < len(sym)]
-        to[j], rank[j] = candidates(j, sym, start, end, owner)
+        to[j], rank[j] = candidates(j, sym, owner)
         j = at[at > 0] - 1
-        to[j], rank[j] = candidates(j, sym, start, end, owner)
+        to[j], rank[j] = candidates(j, sym, owner)
     owner, start, sym = (np.concatenate([d[i] for d in done]) for i in range(3))
     order = np.lexsort((start, owner))
     owner, start, sym = owner[order], start[order], sym[order]
@@ -151,45 +157,148 @@ def segment(voc: Vocabulary, cuts: list[str], variant: np.ndarray, seed: int, dr
         owner, sym = np.repeat(owner, times), np.repeat(sym, times)
         for a, r in zip(at, raw, strict=True):
             sym[a : a + len(r)] = voc.byte_id[r]
-    return sym.astype(np.int32), np.bincount(owner, minlength=len(cuts))
+    return sym.astype(np.int32), np.bincount(owner, minlength=len(cuts)), came
+
+
+def merge_long(voc: Vocabulary, cut: str, skips: Iterator[int]) -> list[int]:
+    """Ids of one cut of any length, from a heap of candidates; skips gives the numbers to skip, ascending."""
+    sym, n = voc.char_id[np.frombuffer(cut.encode("utf-32-le"), np.uint32)].tolist(), len(cut)
+    after, before, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
+    pairs, rank = voc.pairs, voc.ranks
+
+    def candidate(i: int, j: int) -> tuple[int, int, int, int] | None:
+        to = pairs.get((sym[i] << 16) | sym[j]) if sym[i] >= 0 and sym[j] >= 0 else None
+        return None if to is None else (rank[to], i, stamp[i], to)
+
+    heap = [c for i in range(n - 1) if (c := candidate(i, i + 1))]
+    heapify(heap)
+    number, skip = 0, next(skips, -1)
+    while heap:
+        _, i, s, to = heappop(heap)
+        if s != stamp[i]:  # one of the two symbols has changed since
+            continue
+        number += 1
+        if number - 1 == skip:
+            skip = next(skips, -1)
+            continue
+        j = after[i]
+        sym[i], stamp[i], stamp[j], after[i] = to, s + 1, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if c := candidate(i, after[i]):
+                heappush(heap, c)
+        if (h := before[i]) >= 0:
+            stamp[h] += 1
+            if c := candidate(h, i):
+                heappush(heap, c)
+    out, i = [], 0
+    while i < n:
+        out += [sym[i]] if sym[i] >= 0 else voc.byte_id[list(cut[i].encode())].tolist()
+        i = after[i]
+    return out
 
 
 class Encoder:
-    """Encodes texts, keeping segmentations by cut and variant until there are over ``room`` cuts."""
+    """Encodes texts, keeping trees of segmentations until they have over ``room`` nodes or 16 ids for each."""
 
-    def __init__(self, voc: Vocabulary, seed: int, dropout: float, variants: int, room: int = 250_000):
-        self.voc, self.seed, self.dropout, self.variants, self.room = voc, seed, dropout, variants if dropout else 1, room
+    def __init__(self, voc: Vocabulary, seed: int, dropout: float, room: int = 500_000):
+        self.voc, self.seed, self.dropout, self.room = voc, seed, dropout, room
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.at, self.n = np.full(0, -1, np.int64), np.zeros(0, np.int64)
+        self.names: list[str] = []
+        self.root = np.zeros(0, np.int64)  # node of each cut in code
+        # of each node: its cut, the node above, the candidate it skips beyond that, how many its agenda came to, where
+        # its children start, and where its ids are
+        self.cut, self.above, self.skips, self.came, self.base, self.at, self.n = (np.zeros(0, np.int64) for _ in range(7))
+        self.child = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
+    def gaps(self, key: np.ndarray, level) -> np.ndarray:
+        """How many candidates pass between two skips, by the occurrence's key and the number of skips before."""
+        if self.dropout <= 0:
+            return np.full(len(key), 1 << 40)
+        if self.dropout >= 1:
+            return np.zeros(len(key), np.int64)
+        level = np.atleast_1d(np.asarray(level, np.uint64))
+        unit = ((mixed(key + ODD * (level + np.uint64(1))) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return np.minimum(np.log(unit) / np.log1p(-self.dropout), 2.0**40).astype(np.int64)
+
+    def drawn(self, key: np.ndarray) -> Iterator[int]:
+        """Numbers of all candidates that one occurrence skips."""
+        number, level = -1, 0
+        while True:
+            for gap in self.gaps(np.repeat(key, 64), np.arange(level, level + 64)).tolist():
+                number += gap + 1
+                yield number
+            level += 64
+
+    def add(self, cut: np.ndarray, above: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """New nodes for cuts, each with the skips of the node above it and one more; -1 for none."""
+        columns, node = [skip], above
+        while (node >= 0).any():
+            columns.append(np.where(node >= 0, self.skips[node], -1))
+            node = np.where(node >= 0, self.above[node], -1)
+        ids, n, came = merge_short(self.voc, [self.names[i] for i in cut], np.stack(columns, axis=1))
+        width = came - skip - 1
+        new = {"cut": cut, "above": above, "skips": skip, "came": came, "base": len(self.child) + np.cumsum(width) - width}
+        return self.append(ids, n, width.sum(), **new)
+
+    def append(self, ids: np.ndarray, n: np.ndarray, width: int, **new: np.ndarray) -> np.ndarray:
+        nodes = len(self.at) + np.arange(len(n))
+        new |= {"at": len(self.ids) + np.cumsum(n) - n, "n": n}
+        for name in ("cut", "above", "skips", "came", "base", "at", "n"):
+            setattr(self, name, np.concatenate([getattr(self, name), new.get(name, np.full(len(n), -1))]))
+        self.ids, self.child = np.concatenate([self.ids, ids]), np.concatenate([self.child, np.full(width, -1)])
+        return nodes
+
     def encode(self, texts: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their numbers."""
-        if len(self.code) > self.room:
+        if len(self.at) > self.room or len(self.ids) > 16 * self.room:
             self.clear()
-        code, cuts = self.code, [CUT.findall(" " + t) if t else [] for t in texts]
-        new = code.setdefault
-        number = np.fromiter((new(c, len(code)) for x in cuts for c in x), np.int64, sum(map(len, cuts)))
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        if not len(number):
+        cuts = [CUT.findall(" " + t) if t else [] for t in texts]
+        flat, sizes = [c for x in cuts for c in x], np.fromiter(map(len, cuts), np.int64, len(cuts))
+        if not flat:
             return np.zeros(0, np.int32), sizes
+        code, new = self.code, self.code.setdefault
+        number = np.fromiter((new(c, len(code)) if len(c) <= SHORT else -1 for c in flat), np.int64, len(flat))
+        if len(code) > len(self.names):
+            fresh = np.arange(len(self.names), len(code))
+            self.names = list(code)
+            none = np.full(len(fresh), -1)
+            self.root = np.concatenate([self.root, self.add(fresh, none, none)])
         doc = np.repeat(np.arange(len(cuts)), sizes)
         place = np.arange(len(number)) - (np.cumsum(sizes) - sizes)[doc]
-        pick = number * self.variants + (mixed(salt.astype(np.uint64)[doc] + ODD * place.astype(np.uint64)) % np.uint64(self.variants)).astype(np.int64)
-        more = len(code) * self.variants - len(self.at)
-        self.at, self.n = np.concatenate([self.at, np.full(more, -1, np.int64)]), np.concatenate([self.n, np.zeros(more, np.int64)])
-        missing = np.unique(pick[self.at[pick] < 0])
-        if len(missing):
-            names = list(code)
-            ids, n = segment(self.voc, [names[i] for i in missing // self.variants], missing % self.variants, self.seed, self.dropout)
-            self.at[missing], self.n[missing] = len(self.ids) + np.cumsum(n) - n, n
-            self.ids = np.concatenate([self.ids, ids])
-        n = self.n[pick]
+        own = mixed(salt.astype(np.uint64) + np.uint64((int(ODD) * (self.seed + 1)) % 2**64))
+        key = mixed(own[doc] + ODD * place.astype(np.uint64))
+        node = np.where(number >= 0, self.root[number], -1) if len(self.root) else number
+        where = np.flatnonzero(number >= 0)
+        skip, level = self.gaps(key[where], 0), 0
+        while True:
+            hit = skip < self.came[node[where]]
+            where, skip = where[hit], skip[hit]
+            if not len(where):
+                break
+            above = node[where]
+            slot = self.base[above] + skip - self.skips[above] - 1
+            missing = np.flatnonzero(self.child[slot] < 0)
+            if len(missing):
+                to, one = np.unique(slot[missing], return_index=True)
+                one = missing[one]
+                nodes = self.add(self.cut[above[one]], above[one], skip[one])
+                self.child[to] = nodes
+            node[where] = self.child[slot]
+            level += 1
+            skip = skip + 1 + self.gaps(key[where], level)
+        long = np.flatnonzero(number < 0)
+        if len(long):
+            made = [merge_long(self.voc, flat[i], self.drawn(key[i : i + 1])) for i in long.tolist()]
+            n = np.fromiter(map(len, made), np.int64, len(made))
+            node[long] = self.append(np.concatenate([np.array(m, np.int32) for m in made]), n, 0)
+        n = self.n[node]
         ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.at[pick] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.at[node] - (ends - n), n) + np.arange(ends[-1])]
         return ids, np.bincount(doc, weights=n, minlength=len(cuts)).astype(np.int64)
 
 
@@ -215,13 +324,13 @@ def vocabulary(model: str) -> Vocabulary:
     return _vocabularies[model]
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 8) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = MODEL, seed: int = 11, dropout: float = 0.1) -> DataFrame:
     """One row per row of docs: doc_id and ids. The model's file is read by path on every executor."""
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id").alias("salt"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(model), seed, dropout, variants)
+        encoder = Encoder(vocabulary(model), seed, dropout)
         for batch in batches:
             texts, salt = batch.column("text").to_pylist(), batch.column("salt").to_numpy()
             for s in parts(texts):
@@ -248,14 +357,14 @@ def decode_pieces(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text string")
 
 
-def encode_and_check(docs: DataFrame, model: str = MODEL, seed: int = 11, dropout: float = 0.1, variants: int = 8) -> DataFrame:
+def encode_and_check(docs: DataFrame, model: str = MODEL, seed: int = 11, dropout: float = 0.1) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids, and whether the ids decode to the text again, in one pass."""
     rows = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id").alias("salt"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model)
-        encoder = Encoder(voc, seed, dropout, variants)
+        encoder = Encoder(voc, seed, dropout)
         for batch in batches:
             texts, salt = batch.column("text").to_pylist(), batch.column("salt").to_numpy()
             for s in parts(texts):

@@ -197,11 +197,74 @@ def test_pieces_round_trip_and_library(docs):
 def test_pieces_odd_characters():
     voc = pieces.vocabulary(pieces.MODEL)
     texts = [" ", "   a", "a\n\n b\t\r", "x▁y", "日本 ½", "\U0001f600", "\x00", "é" * 200, "a" * 3000]
-    ids, n = pieces.Encoder(voc, 3, 0.5, 4).encode(texts, np.arange(len(texts)))
+    ids, n = pieces.Encoder(voc, 3, 0.5).encode(texts, np.arange(len(texts)))
     ends = np.cumsum(n)
     assert [voc.decode(ids[e - k : e].tolist()) for e, k in zip(ends, n, strict=True)] == texts
 
 
+def slow_pieces(voc, text, own, dropout):
+    """Segmentation by its definition: of all candidates not skipped yet the best, leftmost first, until none is left."""
+    skipped = lambda place: pieces.Encoder(voc, 3, dropout).drawn(pieces.mixed(own + pieces.ODD * np.array([place], np.uint64)))
+    out = []
+    for place, cut in enumerate(pieces.CUT.findall(" " + text)):
+        spans, gone, draws, number = [(i, i + 1) for i in range(len(cut))], set(), skipped(place), 0
+        ids = {x: int(voc.char_id[ord(cut[x[0]])]) for x in spans}
+        skip = next(draws)
+        while True:
+            found = []
+            for x, y in zip(spans, spans[1:]):
+                to = voc.pairs.get((ids[x] << 16) | ids[y]) if min(ids[x], ids[y]) >= 0 else None
+                if to is not None and (x, y) not in gone:
+                    found.append((voc.ranks[to], x, y, to))
+            if not found:
+                break
+            _, x, y, to = min(found)
+            if number == skip:
+                gone.add((x, y))
+                skip = next(draws)
+            else:
+                ids[(x[0], y[1])] = to
+                spans[spans.index(x) : spans.index(x) + 2] = [(x[0], y[1])]
+            number += 1
+        for x in spans:
+            out += [ids[x]] if ids[x] >= 0 else voc.byte_id[list(cut[x[0]].encode())].tolist()
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6, 1.0])
+def test_pieces_dropout_by_definition(dropout):
+    voc = pieces.vocabulary(pieces.MODEL)
+    texts = [r[1] for r in corpus() if r[1]][:30] + ["segmentation " * 40, "internationalization" * 4, "a" * 100 + " the the", "日本語の文章" * 8, "x▁y  \n z"]
+    salt = np.arange(len(texts)) + 5
+    own = pieces.mixed(salt.astype(np.uint64) + np.uint64((int(pieces.ODD) * 4) % 2**64))
+    for room in (500_000, 3):  # trees that are kept, and trees that are thrown away between batches
+        encoder = pieces.Encoder(voc, 3, dropout, room)
+        for part in (slice(0, 7), slice(7, len(texts))):
+            ids, n = encoder.encode(texts[part], salt[part])
+            ends = np.cumsum(n)
+            got = [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)]
+            assert got == [slow_pieces(voc, t, own[part][i : i + 1], dropout) for i, t in enumerate(texts[part])]
+
+
+def test_pieces_draws_are_many_and_fair():
+    voc = pieces.vocabulary(pieces.MODEL)
+    encoder = pieces.Encoder(voc, 3, 0.1)
+    ids, n = encoder.encode([" internationalization" * 5000], np.array([1]))
+    assert voc.decode(ids.tolist()) == " internationalization" * 5000
+    assert len(encoder.at) > 100  # far more segmentations of one word than any fixed number of variants
+    gaps = encoder.gaps(np.arange(200_000, dtype=np.uint64), 0)
+    assert abs((gaps == 0).mean() - 0.1) < 0.005 and abs((gaps >= 10).mean() - 0.9**10) < 0.005
+
+
+def test_pieces_one_word_of_half_a_million_letters():
+    voc = pieces.vocabulary(pieces.MODEL)
+    word = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 500_000)))
+    begin = time.monotonic()
+    ids, _ = pieces.Encoder(voc, 3, 0.1).encode([word], np.array([1]))
+    assert voc.decode(ids.tolist()) == word
+    assert time.monotonic() - begin < 60
+
+
 def test_secrets(spark):
     base62 = secrets.BASE62
     body = "a1B2" * 7 + "zz"
