@@ -20,6 +20,11 @@ COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")
 SENTENCE_END = r"(?<=[.!?。！？；;])\s*"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside of a lambda, which would compute it for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Without white space at both ends, the ideographic space included."""
     return F.regexp_replace(col, r"^[\s　]+|[\s　]+$", "")
@@ -153,8 +158,8 @@ def char_overlap(source: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def bigrams(col: Column) -> Column:
-    x = F.regexp_replace(F.lower(col), r"\s+", "")
-    return F.when(F.length(x) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))))
+    pairs = lambda x: F.when(F.length(x) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))))
+    return let(F.regexp_replace(F.lower(col), r"\s+", ""), pairs)
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
@@ -174,19 +179,25 @@ def clauses(col: Column) -> Column:
 
 def ordered_clause_support(claim: Column, quote: Column) -> Column:
     """Whether all clauses of the claim are in the quotation one after another."""
-    text = F.regexp_replace(quote, r"\s+", "")
+    parts = clauses(claim)
 
-    def step(at: Column, clause: Column) -> Column:
-        found = F.call_function("locate", clause, text, at)
-        return F.when((at == 0) | (found == 0), F.lit(0)).otherwise(found + F.length(clause))
+    def held(text: Column) -> Column:
+        def step(at: Column, clause: Column) -> Column:
+            found = F.call_function("locate", clause, text, at)
+            return F.when((at == 0) | (found == 0), F.lit(0)).otherwise(found + F.length(clause))
 
-    parts = clauses(claim)
-    return (F.size(parts) > 0) & (F.aggregate(parts, F.lit(1), step) > 0)
+        return F.aggregate(parts, F.lit(1), step) > 0
+
+    return (F.size(parts) > 0) & let(F.regexp_replace(quote, r"\s+", ""), held)
 
 
 def qualifier_dropped(claim: Column, quote: Column, qualifiers: list[str] | None = None) -> Column:
     """The first qualifier without which a clause of the claim would be verbatim, null if none."""
     words = F.array(*[F.lit(q) for q in qualifiers or QUALIFIERS])
-    text = F.regexp_replace(quote, r"\s+", "")
-    lost = lambda q: F.exists(clauses(claim), lambda c: ~F.contains(text, c) & ~F.contains(c, q) & F.contains(text, q) & F.contains(F.replace(text, q, F.lit("")), c))
-    return F.get(F.filter(words, lost), F.lit(0))
+
+    def lost(text: Column, parts: Column, q: Column) -> Column:
+        bare = F.replace(text, q, F.lit(""))
+        return F.contains(text, q) & F.exists(parts, lambda c: ~F.contains(text, c) & ~F.contains(c, q) & F.contains(bare, c))
+
+    first = lambda text: let(clauses(claim), lambda parts: F.get(F.filter(words, lambda q: lost(text, parts, q)), F.lit(0)))
+    return let(F.regexp_replace(quote, r"\s+", ""), first)
