@@ -244,12 +244,13 @@ def replay_contract(batches: DataFrame, units: DataFrame, batch: str, passed_bef
 def percent_cells(cards: DataFrame, card: str, text: str) -> DataFrame:
     """(card, row_label, column_label, fact): numbers below a column whose label names percent; the label of a row is its
     first cell. The first row of a card that has pipes is the header."""
-    lines = cards.select(card, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "__t")).filter(F.contains("__t", F.lit("|")))
-    rows = lines.withColumn("cells", pipe_cells(F.col("__t"))).filter(~is_separator_row(F.col("cells")))
-    head = rows.groupBy(card).agg(F.min_by("cells", "line").alias("head"), F.min("line").alias("__first"))
-    met = rows.join(head, card).filter("line > __first").filter(F.size("cells") == F.size("head"))
-    pairs = met.select(card, F.get("cells", F.lit(0)).alias("row_label"), F.posexplode(F.arrays_zip("head", "cells")).alias("i", "c")).filter("i > 0")
-    label, value = F.col("c.head"), F.trim("c.cells")
+    lines = cards.select(card, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("__line", "__t")).filter(F.contains("__t", F.lit("|")))
+    rows = lines.withColumn("__cells", pipe_cells(F.col("__t"))).filter(~is_separator_row(F.col("__cells")))
+    head = rows.groupBy(card).agg(F.min_by("__cells", "__line").alias("__head"), F.min("__line").alias("__first"))
+    met = rows.join(head, card).filter("__line > __first").filter(F.size("__cells") == F.size("__head"))
+    pairs = F.transform(F.col("__cells"), lambda x, i: F.struct(F.get("__head", i).alias("label"), x.alias("value")))
+    pairs = met.select(card, F.get("__cells", F.lit(0)).alias("row_label"), F.posexplode(pairs).alias("__i", "__c")).filter("__i > 0")
+    label, value = F.col("__c.label"), F.trim("__c.value")
     named = label.rlike("[%％]") & value.rlike(r"^[0-9]+(\.[0-9]+)?$")
     bare = F.trim(F.regexp_replace(label, r"[(（]?\s*[%％]\s*[)）]?", ""))
     return pairs.filter(named).select(card, "row_label", bare.alias("column_label"), F.concat(value, F.lit("%")).alias("fact"))

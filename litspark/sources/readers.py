@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litspark.functions.text import strip
+
 
 def read_records(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
     """(src_file, pos, value): the records of text files between separators.
@@ -17,7 +19,7 @@ def read_records(spark: SparkSession, paths: str | list[str], separator: str) ->
 
 def extract_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """df with a column for each pattern's first group in ``value``, null where it doesn't match."""
-    return df.withColumns({name: F.nullif(F.trim(F.regexp_extract("value", pattern, 1)), F.lit("")) for name, pattern in fields.items()})
+    return df.withColumns({name: F.nullif(strip(F.regexp_extract("value", pattern, 1)), F.lit("")) for name, pattern in fields.items()})
 
 
 def read_tagged_export(spark: SparkSession, paths: str | list[str], marker: str, fields: dict[str, str], title: str = "title") -> DataFrame:
