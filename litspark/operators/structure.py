@@ -314,3 +314,72 @@ def detect_profile(headings: DataFrame, by: str, family: str) -> DataFrame:
     df = headings.groupBy(by).agg(n("chapter_cn").alias("n_chapter"), n("decimal_path").alias("n_decimal"), n("arabic_main").alias("n_arabic"), n("cn_main", "cn_paren").alias("n_cn"), F.count(F.lit(1)).alias("n"))
     profile = F.when(F.col("n_chapter") >= 2, "chapter").when(F.col("n_decimal") >= 2, "decimal").when(F.col("n_cn") >= 2, "chinese").when(F.col("n_arabic") >= 2, "arabic").otherwise("mixed_unknown")
     return df.select(by, "n", profile.alias("profile"))
+
+
+#: Families a heading may stand below, by profile ("" for all others); the share of numbered headings that
+#: makes a profile; families that may stand at the top.
+PARENTS = {
+    "arabic_main": {"journal_mixed_cn": ["cn_main", "cn_paren"]},
+    "decimal_path": {"chapter_decimal": ["chapter_cn", "arabic_main"], "journal_mixed_cn": ["cn_main", "cn_paren", "arabic_main"], "": ["arabic_main", "chapter_cn"]},
+    "cn_paren": {"": ["cn_main", "chapter_cn", "decimal_path"]},
+    "arabic_paren": {"": ["cn_main", "cn_paren", "arabic_main", "decimal_path"]},
+    "circled": {"": ["arabic_paren", "cn_paren", "decimal_path"]},
+}
+ROOTS = ["chapter_cn", "cn_main", "arabic_main", "plain"]
+
+
+def numbering_profile(headings: DataFrame, by: str, order: str, family: str, least: float, first: int = 5) -> DataFrame:
+    """(by, profile) of each document by its first headings, or by all of them if the first ones tell nothing."""
+    placed = headings.select(by, F.col(family).alias("f"), (F.row_number().over(ordered(by, order)) <= first).alias("early"))
+
+    def profile(which: Column) -> Column:
+        n = lambda *f: F.count_if(which & F.col("f").isin(*f))
+        arabic, chinese = n("decimal_path", "arabic_main"), n("cn_main", "cn_paren")
+        dense = arabic >= least * F.count_if(which)
+        return F.when((n("chapter_cn") > 0) & (arabic > 0), "chapter_decimal").when((chinese > 0) & (arabic > 0), "journal_mixed_cn").when((arabic > 0) & dense, "decimal_only")
+
+    return placed.groupBy(by).agg(F.coalesce(profile(F.col("early")), profile(F.lit(True)), F.lit("mixed_unknown")).alias("profile"))
+
+
+def family_hierarchy(headings: DataFrame, profiles: DataFrame, by: str, order: str) -> DataFrame:
+    """headings with parent (order of the heading it stands below, null at the top), level, and whether that is a fallback.
+
+    headings: family, path (numbers of a decimal heading) and markdown level ``depth``. The parent is the nearest heading
+    before of a family that fits by ``PARENTS``; a decimal of three parts or more needs the one with its path but the last
+    part; a plain heading the nearest of a lower depth. Without a parent a heading stands at the top if it is the first or
+    of ``ROOTS``, else below the nearest one at the top. Parents come from windows and one join by path; levels, which
+    depend on all before, from a fold over one document's headings.
+    """
+    w = ordered(by, order).rowsBetween(Window.unboundedPreceding, -1)
+    o, f = F.col(order), F.col("family")
+    df = headings.join(profiles, by)
+    nearest = F.lit(None).cast(headings.schema[order].dataType)
+    for child, rules in PARENTS.items():
+        for profile, parents in rules.items():
+            fits = (f == child) & ((F.col("profile") == profile) if profile else ~F.col("profile").isin([p for p in rules if p] or [""]))
+            fits = fits & ((F.size("path") <= 2) if child == "decimal_path" else F.lit(True))
+            nearest = F.when(fits, F.max(F.when(f.isin(parents), o)).over(w)).otherwise(nearest)
+    df = df.withColumn("__near", nearest)
+    key = lambda path: F.array_join(path, ".")
+    deep = (f == "decimal_path") & (F.size("path") > 2)
+    below = df.filter(deep).select(by, order, key(F.slice("path", F.lit(1), F.size("path") - 1)).alias("__key"))
+    above = df.filter(f == "decimal_path").select(F.col(by).alias("__by"), o.alias("__o"), key(F.col("path")).alias("__key2"))
+    met = below.join(above, (F.col(by) == F.col("__by")) & (F.col("__key") == F.col("__key2")) & (F.col("__o") < o)).groupBy(by, order).agg(F.max("__o").alias("__exact"))
+    plain = resolve_hierarchy(df, by, order, "depth", 6).select(by, order, F.col("parent").alias("__plain"))
+    df = df.join(met, [by, order], "left").join(plain, [by, order])
+    found = F.when(deep, F.col("__exact")).when(f == "plain", F.col("__plain")).otherwise(F.col("__near"))
+    top = found.isNull() & (f.isin(ROOTS) | (F.row_number().over(ordered(by, order)) == 1))
+    df = df.withColumns({"__found": found, "__top": top})
+    df = df.withColumn("parent", F.when(~F.col("__top"), F.coalesce("__found", F.max(F.when(F.col("__top"), o)).over(w))))
+    df = df.withColumn("fallback", F.col("__found").isNull() & ~(F.col("__top") & f.isin(ROOTS)))
+    df = df.select(*headings.columns, "profile", "parent", "fallback")
+    out = T.StructType([*df.schema.fields, T.StructField("level", T.IntegerType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        levels: dict = {}
+        for at, up in zip(group[order], group["parent"], strict=True):
+            levels[at] = 1 if pd.isna(up) else levels[up] + 1
+        return group.assign(level=[levels[at] for at in group[order]])
+
+    return df.groupBy(by).applyInPandas(run, out)

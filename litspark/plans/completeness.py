@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import numeric, text
 from litspark.operators import completeness as full
+from litspark.operators import structure as st
 from litspark.operators.relations import cover_lines
 from litspark.plans.joins import SECTIONS, sections
 from litspark.plans.query import Tables, query
@@ -219,3 +220,13 @@ def q_more_text(t: Tables) -> DataFrame:
 @query("SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') || '-' || left(sha256(CAST(event_id AS VARCHAR)), 6) AS generation FROM events")
 def q_generation_ids(t: Tables) -> DataFrame:
     return t.events.select("event_id", numeric.generation_id(F.col("ts"), F.col("event_id")).alias("generation"))
+
+
+@query()
+def q_family_hierarchy(t: Tables) -> DataFrame:
+    """Turns as headings of different families; parents depend on all before, a test compares them with plain Python."""
+    families = F.array(*[F.lit(x) for x in ("arabic_main", "decimal_path", "cn_paren", "plain", "decimal_path", "circled")])
+    i = F.col("turn") % 6
+    heads = t.conversations.filter("turn IS NOT NULL").dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", F.get(families, ((F.col("turn") + F.col("conv_id")) % 6).cast("int")).alias("family"), F.when(i < 3, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(1), F.lit(2))).alias("path"), (i % 3 + 1).cast("int").alias("depth"))
+    profiles = st.numbering_profile(heads, "conv_id", "turn", "family", 0.15)
+    return st.family_hierarchy(heads, profiles, "conv_id", "turn").select("conv_id", "turn", "family", "profile", "parent", "level", "fallback")

@@ -1,12 +1,14 @@
 """The full audits on inline tables, and the record source."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from litspark.functions import numeric, text
 from litspark.operators import completeness as full
+from litspark.operators import structure
 from litspark.sources import readers, record_source
 
 
@@ -97,3 +99,50 @@ def test_other_readers(spark, tmp_path):
     (tmp_path / "w.csv").write_text("unit,other\nu1,accept\n")
     with pytest.raises(Exception, match="header|Header|CSV"):
         readers.read_decisions(spark, str(tmp_path / "w.csv"), "unit STRING, decision STRING").collect()
+
+
+def hierarchy_of(rows, profile):
+    """Parents and levels of one document, heading by heading."""
+    done, out = [], {}
+    for at, family, path, depth in rows:
+        parent = None
+        for b_at, b_family, b_path, b_depth in reversed(done):
+            if family == "plain":
+                fits = b_depth < depth
+            elif family == "decimal_path" and len(path) > 2:
+                fits = b_family == "decimal_path" and b_path == path[:-1]
+            else:
+                rules = structure.PARENTS.get(family, {})
+                fits = b_family in rules.get(profile, rules.get("", []))
+            if fits:
+                parent = b_at
+                break
+        fallback = False
+        if parent is None and not (family in structure.ROOTS):
+            fallback = True
+            parent = next((b[0] for b in reversed(done) if out[b[0]][1] == 1), None)
+        out[at] = (parent, 1 if parent is None else out[parent][1] + 1, fallback)
+        done.append((at, family, path, depth))
+    return out
+
+
+def test_family_hierarchy_against_plain_python(spark):
+    kinds = ["chapter_cn", "cn_main", "cn_paren", "arabic_main", "arabic_paren", "circled", "decimal_path", "plain"]
+    draw = random.Random(7)
+    docs = {}
+    for d in range(60):
+        some = draw.sample(kinds, draw.randint(1, 8))
+        docs[d] = [(i * 3, f, [draw.randint(1, 2) for _ in range(draw.randint(2, 4))] if f == "decimal_path" else [1], draw.randint(1, 4)) for i, f in enumerate(draw.choices(some, k=draw.randint(1, 14)))]
+    df = spark.createDataFrame([(d, *r) for d, rs in docs.items() for r in rs], "doc int, n int, family string, path array<int>, depth int").repartition(5)
+    profiles = structure.numbering_profile(df, "doc", "n", "family", 0.15)
+    known = {r.doc: r.profile for r in profiles.collect()}
+    assert set(known.values()) == {"chapter_decimal", "journal_mixed_cn", "decimal_only", "mixed_unknown"}
+    got = {(r.doc, r.n): (r.parent, r.level, r.fallback) for r in structure.family_hierarchy(df, profiles, "doc", "n").collect()}
+    assert got == {(d, n): v for d, rs in docs.items() for n, v in hierarchy_of(rs, known[d]).items()}
+    assert structure.family_hierarchy(df.limit(0), profiles, "doc", "n").count() == 0
+
+
+def test_profile_of_first_headings(spark):
+    rows_ = [("a", i, "plain") for i in range(5)] + [("a", 9, "arabic_main")] + [("b", 1, "cn_main"), ("b", 2, "arabic_main")] + [("c", i, "plain") for i in range(30)] + [("c", 40, "arabic_main")]
+    df = spark.createDataFrame(rows_, "doc string, n int, family string")
+    assert rows(structure.numbering_profile(df, "doc", "n", "family", 0.15), "doc") == [("a", "decimal_only"), ("b", "journal_mixed_cn"), ("c", "mixed_unknown")]
