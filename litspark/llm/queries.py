@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litspark.llm import exact_dedup, html_text, language, line_dedup, minhash, mixing, pieces, quality, repeats, secrets
+from litspark.llm import byte_bpe, conversation_trie, exact_dedup, filter_audit, html_text, language, line_dedup, minhash, mixing, pieces, quality, repeats, secrets
 from litspark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,12 +52,24 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.decode_bytes(byte_bpe.encode_bytes(documents(spark, sf_dir))))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("key")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op7_line_dedup, op8_exact_dedup, op9_repeated_passages, op10_html_text)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_merge_dropout, op4_secret_scan, op5_language_id, op6_minhash_dedup, op7_line_dedup, op8_exact_dedup, op9_repeated_passages, op10_html_text, op11_byte_bpe, op12_filter_audit, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op8_exact_dedup": OP8, "op12_filter_audit": filter_audit.SQL}
 
 
 OP8 = """
