@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The inline tags that cards may have to be freed of, and the characters unsafe in file names.
-KNOWN_TAGS = ["a", "b", "br", "div", "em", "font", "i", "img", "li", "ol", "p", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "u", "ul"]
+#: The tags that are removed from text, and the characters unsafe in file names.
+KNOWN_TAGS = "html body head title meta link style script table thead tbody tfoot tr td th caption colgroup col sub sup div span p br img figure figcaption a em strong b i u ol ul li h1 h2 h3 h4 h5 h6".split()
 UNSAFE_NAME = r'[<>:"/\\|?*]'
 #: Words that limit a claim and must not get lost from a quotation.
 QUALIFIERS = ["尚不能", "不超过", "不低于", "尚未", "未能", "约为", "大约", "预计", "可能", "或许", "有望", "考虑", "至少", "至多", "计划", "建议", "仅", "约"]

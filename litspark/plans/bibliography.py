@@ -208,9 +208,9 @@ def q_text_functions(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH s AS (SELECT page_id, regexp_replace(html, '(?i)</?(?:a|b|br|div|em|font|i|img|li|ol|p|span|strong|sub|sup|table|tbody|td|th|thead|tr|u|ul)\\b[^>]*>', '', 'g') AS x, html FROM pages),
+@query("""WITH s AS (SELECT page_id, regexp_replace(html, '(?i)</?(?:TAGS)\\b[^>]*>', '', 'g') AS x, html FROM pages),
 u AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS y FROM s)
-SELECT page_id, sha256(trim(regexp_replace(y, '[\\s　]+', ' ', 'g'))) AS visible, x <> html AS had_markup FROM u""")
+SELECT page_id, sha256(trim(regexp_replace(y, '[\\s　]+', ' ', 'g'))) AS visible, x <> html AS had_markup FROM u""".replace("TAGS", "|".join(text.KNOWN_TAGS)))
 def q_markup(t: Tables) -> DataFrame:
     seen = text.clean_visible(F.col("html"))
     return t.pages.select("page_id", seen.alias("v")).select("page_id", F.sha2("v.text", 256).alias("visible"), "v.had_markup")
