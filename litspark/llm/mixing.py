@@ -55,19 +55,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 
 
 def prepared(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with ``__size`` and the integer ``__rank`` of the sampling key, small for keys near 1."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.regexp_count(text, F.lit(NOT_SPACE)).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + 0.5) / float(1 << 53)
-    df = docs.withColumn("__size", size).withColumn("__w", quality_weight(text, F.col("__size")))
+    """size, the integer rank of the sampling key (small for keys near 1), tie, sid, source, and ``row``: docs' columns as one struct."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    hashed = lambda k: F.xxhash64(F.lit(k), "row.doc_id", "row.text")
+    df = df.withColumns({"size": F.regexp_count(text, F.lit(NOT_SPACE)).cast("long"), "u": (F.shiftrightunsigned(hashed(seed), 11) + 0.5) / float(1 << 53)})
     bits = RADIX * ROUNDS
-    rank = F.least(F.floor(-F.expm1(F.log(u) / F.col("__w")) * float(1 << bits)), F.lit((1 << bits) - 1))
-    return df.withColumns({"__rank": rank.cast("long"), "__tie": F.xxhash64(F.lit(seed + 1), "doc_id", "text")}).drop("__w")
+    rank = F.least(F.floor(-F.expm1(F.log("u") / quality_weight(text, F.col("size"))) * float(1 << bits)), F.lit((1 << bits) - 1))
+    return df.select("size", rank.cast("long").alias("rank"), hashed(seed + 1).alias("tie"), source_id(F.col("row.source")).alias("sid"), F.col("row.source").alias("source"), "row")
 
 
-def source_id() -> Column:
+def source_id(source: Column) -> Column:
     """Text that stands for a source, null included."""
-    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
 def plan_mix(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -76,9 +76,9 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     Drawn are ranks below ``end``, and at ``end`` ties up to ``tie_end``.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights).withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    plan = targets(sizes, weights).withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = saved(plan.withColumns({"sid": source_id(), "end": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}), "plan")
+    plan = saved(plan.withColumns({"sid": source_id(F.col("source")), "end": F.lit(0).cast("long"), "used": F.lit(0).cast("long")}), "plan")
     for k in range(ROUNDS):
         shift = RADIX * (ROUNDS - 1 - k)
         now = plan.select("sid", "end", "used", "rest")
@@ -103,7 +103,7 @@ def is_drawn(rank: Column, tie: Column) -> Column:
 
 def keys_of(docs: DataFrame, seed: int) -> DataFrame:
     rows = prepared(docs.select("doc_id", "text", "source"), seed)
-    return saved(rows.select("doc_id", source_id().alias("sid"), "source", F.col("__size").alias("size"), F.col("__rank").alias("rank"), F.col("__tie").alias("tie")), "keys")
+    return saved(rows.select("row.doc_id", "sid", "source", "size", "rank", "tie"), "keys")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
@@ -116,9 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -
 
 def repeat_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns; rows of size 0 aren't taken."""
-    plan = plan_mix(keys_of(docs, seed), weights).select(F.col("sid").alias("__sid"), F.struct("epochs", "end", "tie_end").alias("__plan"))
-    df = prepared(docs, seed).withColumn("__sid", source_id()).join(plan, "__sid")
-    plan_field = lambda c: F.col(f"__plan.{c}")
-    drawn = (F.col("__rank") < plan_field("end")) | ((F.col("__rank") == plan_field("end")) & F.coalesce(F.col("__tie") <= plan_field("tie_end"), F.lit(False)))
-    times = F.when(F.col("__size") == 0, 0).otherwise(plan_field("epochs") + drawn.cast("long")).cast("int")
-    return df.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    plan = plan_mix(keys_of(docs, seed), weights).select("sid", "epochs", "end", "tie_end")
+    df = prepared(docs, seed).drop("source").join(plan, "sid")
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + is_drawn(F.col("rank"), F.col("tie")).cast("long")).cast("int")
+    return df.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
