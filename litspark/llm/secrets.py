@@ -31,7 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Possessive, so that a run of letters without a point is read once.
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)(?:\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)?")
 #: keyword in lower case -> kind
 KEYWORDS = {k: "assign" for k in ("password", "passwd", "secret", "token", "apikey", "api_key")} | {"akia": "access", "npm_": "npm", "eyj": "jwt"} | {f"gh{c}_": "github" for c in "pousr"}
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -61,7 +62,7 @@ RULES = {
     "access": (ACCESS, lambda m: len(m[0]) >= 20),
     "github": (GITHUB, lambda m: crc_suffix(m[0])),
     "npm": (NPM, lambda m: crc_suffix(m[0])),
-    "jwt": (JWT, lambda m: json_header(m[1])),
+    "jwt": (JWT, lambda m: m[0] != m[1] and json_header(m[1])),
 }
 
 
