@@ -39,7 +39,26 @@ SALTS = 64
 MILLION = 1_000_000
 #: Pseudo-counts of a row's parent distribution, and of declarations and suffixes.
 PRIOR_WEIGHT, SMOOTH = 20.0, 5.0
-HIDDEN = re.compile(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: What opens a tag, a comment or an element whose content isn't seen, and what closes it.
+OPENS = re.compile(r"<(?:(script|style|head)\b|(!--))?", re.IGNORECASE)
+CLOSES = {"!--": re.compile("-->")} | {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "head")}
+
+
+def visible(page: str) -> str:
+    """A page with a space for each tag, comment, script, style and head, in one pass: a closing that isn't found is never looked for again."""
+    out, at, missing = [], 0, set()
+    while m := OPENS.search(page, at):
+        kind, end = (m[1] or m[2] or "").lower(), -1
+        if kind and kind not in missing:
+            if close := CLOSES[kind].search(page, m.end()):
+                end = close.end()
+            else:
+                missing.add(kind)
+        if end < 0 and (end := page.find(">", m.start()) + 1) == 0:
+            break
+        out += page[at : m.start()], " "
+        at = end
+    return "".join([*out, page[at:]])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -89,7 +108,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in batches:
             out = []
             for text, marked in zip(batch.column("text").to_pylist(), batch.column("marked").to_pylist(), strict=True):
-                text = html.unescape(HIDDEN.sub(" ", text or "")) if marked else text or ""
+                text = html.unescape(visible(text or "")) if marked else text or ""
                 f = trigrams(text) if text.strip() else np.zeros(0, np.int64)
                 score = np.bincount(f, minlength=BUCKETS) @ model * min(1.0, TRUST / max(1, len(f)))
                 out.append(score - score.max())
@@ -101,7 +120,7 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(page_id, doc_id, text, marked, host, domain, declared, suffix) of web pages."""
     host = host_of(F.col("url"))
-    tag = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?is)<html\b([^>]*)>", 1)
+    tag = F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), r"(?is)<html\b([^<>]*)>", 1)
     declared = F.regexp_extract(tag, r"""(?i)(?:^|\s)(?:xml:)?lang\s*=\s*["']?([a-z]+)""", 1)
     segment = F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", 1)
     return pages.select(
