@@ -614,14 +614,3 @@ def test_empty_tables(spark, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     assert repeats.digest(repeats.without_repeats(empty)).count() == 0
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline as p
-
-    kept = docs
-    for name, stage in p.STAGES[:-1]:
-        kept = stage(spark, kept, "")
-        assert kept.columns == docs.columns, name
-    encoded = p.STAGES[-1][1](spark, kept, "").collect()
-    assert len(encoded) == kept.count() and all(r.lossless for r in encoded)
