@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from litspark.functions.arrays import is_subset
 from litspark.functions.text import stable_id
-from litspark.operators.relations import verify_coverage
 
 #: Reasons that go with each disposition.
 DISPOSITION_REASONS = {"used": ["supports_claim"], "not_used": ["background_only", "duplicate", "off_topic"], "deferred": ["needs_review"]}
@@ -164,34 +163,6 @@ def fixed_batches(rows: DataFrame, by: str, order: list[str], n: int) -> DataFra
     return rows.withColumn("batch", F.floor(place / n))
 
 
-def plan_batches(cards: DataFrame, by: str, section: str, order: str, tokens: str, window: int, base: int, per_item: int, margin: int) -> DataFrame:
-    """cards with their batch: the whole paper if it fits, else whole sections packed in order, large ones alone and cut.
-
-    Packing is a fold over the sections of one paper; sections and cards are numbers here, no texts.
-    """
-    cost = F.sum(F.col(tokens) + per_item)
-    room = window - base - margin
-    per_section = cards.groupBy(by, section).agg(cost.alias("cost"), F.min(order).alias("at"))
-    packed = per_section.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", F.col(section).alias("s"), "cost"))).alias("x"))
-    kind = packed.schema["x"].dataType.elementType["s"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<struct<s:{kind},batch:int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).cast("long").alias("held"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["held"] > 0) & (acc["held"] + x["cost"] > room)
-        batch = (acc["batch"] + new.cast("int")).cast("int")
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), batch.alias("batch")))).alias("out"), batch.alias("batch"), F.when(new, x["cost"]).otherwise(acc["held"] + x["cost"]).cast("long").alias("held"))
-
-    placed = packed.select(by, F.explode(F.aggregate("x", start, step)["out"]).alias("p")).select(by, F.col("p.s").alias(section), F.col("p.batch").alias("batch"))
-    met = cards.join(placed, [by, section])
-    before = F.sum(F.col(tokens) + per_item).over(Window.partitionBy(by, section).orderBy(order))
-    return met.withColumn("part", F.when(F.sum(F.col(tokens) + per_item).over(Window.partitionBy(by, section)) > room, F.floor((before - 1) / room)).otherwise(F.lit(0)))
-
-
-def audit_plan(plan: DataFrame, cards: DataFrame, key: str) -> DataFrame:
-    """Cards that aren't planned exactly once."""
-    return verify_coverage(cards, plan, key)
-
-
 def replacement_candidates(blocked: DataFrame, supported: DataFrame, paper: str, unit: str, text: str, order: str, least: float = 0.35) -> DataFrame:
     """Supported units near a blocked one (same paper, next to each other) that resemble it by bigrams."""
     from litspark.functions.text import bigram_jaccard, bigrams

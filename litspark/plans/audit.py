@@ -65,10 +65,3 @@ def q_select_replay(t: Tables) -> DataFrame:
 @query("""SELECT o_custkey AS paper, count(*) AS n_cards FROM orders GROUP BY 1""")
 def q_snapshot(t: Tables) -> DataFrame:
     return au.snapshot(t.orders, "o_custkey", "o_orderkey", ["o_orderkey", "o_totalprice"]).select(F.col("o_custkey").alias("paper"), "n_cards")
-
-
-@query("""SELECT conv_id || ':' || turn AS card, CASE WHEN turn % 4 = 3 THEN 'missing' WHEN turn % 5 = 2 THEN 'repeated' END AS code FROM conversations WHERE turn % 4 = 3 OR turn % 5 = 2""")
-def q_plan_audit(t: Tables) -> DataFrame:
-    cards = t.conversations.select("turn", F.concat_ws(":", "conv_id", "turn").alias("card"))
-    plan = cards.filter("turn % 4 <> 3").withColumn("n", F.explode(F.when(F.col("turn") % 5 == 2, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    return ev.audit_plan(plan, cards, "card")

@@ -136,13 +136,6 @@ def q_fixed_batches(t: Tables) -> DataFrame:
     return ev.fixed_batches(t.lineitem, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], 3).select("l_orderkey", "l_linenumber", "l_partkey", "batch")
 
 
-@query()
-def q_plan_batches(t: Tables) -> DataFrame:
-    """Greedy packing of sections; tests hold that each card is planned once and no batch of whole sections is too large."""
-    cards = t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("section"), F.ceil(F.length("text") / 4).cast("long").alias("tokens"))
-    return ev.plan_batches(cards, "conv_id", "section", "turn", "tokens", 800, 200, 30, 50).select("conv_id", "turn", "batch", "part")
-
-
 @query()
 def q_replacements(t: Tables) -> DataFrame:
     c = t.conversations

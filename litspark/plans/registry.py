@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.plans import audit, bibliography, completeness, evidence, joins, structure, summaries, synthesis  # noqa: F401  they register their queries
+from litspark.plans import audit, bibliography, completeness, evidence, joins, planning, structure, summaries, synthesis  # noqa: F401  they register their queries
 from litspark.plans.query import FOUND
 
 

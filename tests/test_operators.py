@@ -66,16 +66,6 @@ def test_gate_order(spark):
     assert [d for _, d in got] == ["passed_first_pass", "passed_quote_containment", "accepted_human_override", "confirmation_missing", "gate_disagreement", "confirmed_blocker"]
 
 
-def test_batches_hold_each_card_once(spark):
-    found = spark.createDataFrame([("p", i, i // 3, 100 + 50 * (i % 4)) for i in range(20)], "paper string, n int, section int, tokens int")
-    plan = evidence.plan_batches(found, "paper", "section", "n", "tokens", 900, 100, 10, 50).collect()
-    assert sorted(r.n for r in plan) == list(range(20))
-    held = {}
-    for r in plan:
-        held.setdefault((r.batch, r.part), []).append(r.tokens + 10)
-    assert all(sum(x) <= 750 for x in held.values())
-
-
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Title: One\nYear: 2001\n<R>\nYear: 2002\n<R>\nTitle: Two\n")
     got = readers.read_tagged_export(spark, str(tmp_path / "a.txt"), "<R>", {"title": r"Title: (.+)", "year": r"Year: (\d+)"})
