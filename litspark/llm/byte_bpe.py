@@ -27,6 +27,7 @@ from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +75,28 @@ def latin_words() -> re.Pattern:
     return re.compile(pattern)
 
 
+@cache
+def bytes_of(model: str) -> list[bytes]:
+    """Bytes by id."""
+    spec = json.load(open(model, encoding="utf-8"))
+    at = {c: b for b, c in enumerate(byte_letters())}
+    names = {i: bytes(at[c] for c in name) for name, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [names.get(i, b"") for i in range(max(names) + 1)]
+
+
+def decoded(table: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+
+
 class Words(dict):
     """Ids by word. Words that are missing are merged, and kept unless they are long or the table is full."""
 
-    def __init__(self, model: str, room: int = 1_000_000):
+    def __init__(self, model: str, room: int = 400_000):
         spec = json.load(open(model, encoding="utf-8"))
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        at = {c: b for b, c in enumerate(letters)}
         self.room = room
         self.byte_ids = [vocab[c] for c in letters]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        names = {i: bytes(at[c] for c in name) for name, i in vocab.items()} | {i: name.encode() for name, i in self.special.items()}
-        self.bytes = [names.get(i, b"") for i in range(max(names) + 1)]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(vocab[a] << 20) | vocab[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [vocab[a + b] for a, b in merges]
@@ -160,9 +171,6 @@ class Words(dict):
     def encode_plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.cut(text))))
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
 
 @cache
 def words_of(model: str) -> Words:
@@ -188,18 +196,31 @@ def encode_bytes(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+def slices(batch: pa.RecordBatch, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``limit`` ids at most, so that memory doesn't grow with a batch of long texts."""
+    begin = held = 0
+    for i, n in enumerate(pa.compute.list_value_length(batch.column("ids")).to_pylist()):
+        held += n or 0
+        if held >= limit:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def decode_bytes(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per row of encoded: all its columns and text, decoded from ids; null ids give null."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "text")
     rows = encoded.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(model)
+        table = bytes_of(model)
         for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_pylist(), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())]).tolist()
-            texts = [words.decode(flat[a:b]) if there else None for a, b, there in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+            for part in slices(batch):
+                ids = part.column("ids")
+                flat, ends = ids.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(ids).to_pylist())])
+                texts = [decoded(table, flat[a:b].tolist()) if there else None for a, b, there in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
 
     return rows.mapInArrow(run, schema + ", text string")
 
