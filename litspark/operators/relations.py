@@ -105,10 +105,17 @@ def verify_quotes(evidence: DataFrame, cards: DataFrame, card: str, quote: str,
 
 
 def frozen_differences(stored: DataFrame, frozen: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field): fields that differ, nulls being equal."""
-    f = frozen.select(key, *[F.col(c).alias(f"__{c}") for c in fields])
-    broken = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in fields]))
-    return stored.join(f, key).select(key, F.explode(broken).alias("field"))
+    """(key, code, field): where stored rows aren't what was frozen.
+
+    ``differs`` names a field that isn't the same, nulls being equal; ``not_frozen`` is a stored key without a frozen row,
+    ``repeated`` one with several, which are compared with none of them. Frozen rows that nothing stores are no fault.
+    """
+    once = frozen.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__times"), *[F.first(c).alias(f"__{c}") for c in fields])
+    met = stored.join(once, F.col(key).eqNullSafe(F.col("__key")), "left")
+    one = F.col("__times") == 1
+    fault = lambda bad, code, field: F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field")))
+    found = [fault(F.col("__times").isNull(), "not_frozen", None), fault(F.col("__times") > 1, "repeated", None), *[fault(one & ~F.col(c).eqNullSafe(F.col(f"__{c}")), "differs", c) for c in fields]]
+    return met.select(key, F.explode(F.array_compact(F.array(*[f.cast("struct<code:string,field:string>") for f in found]))).alias("v")).select(key, "v.*")
 
 
 def neighbor_context(cards: DataFrame, cited: DataFrame, paper: str, order: str, card: str, reach: int = 1) -> DataFrame:

@@ -264,18 +264,40 @@ def split_quotes(cards: DataFrame, key: str, text: str, most: int = 240) -> Data
     return found.withColumn("quote_id", stable_id("quote_", F.col(key), F.col("start_char"), F.col("end_char"), F.col("quote")))
 
 
-def quote_violations(quotes: DataFrame, cards: DataFrame, key: str, text: str, most: int = 240) -> DataFrame:
-    """(key, code): quotes that aren't slices, too long, of several lines or repeated, and text that none covers."""
-    c = cards.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    met = quotes.join(c, key)
-    exact = F.substr("__text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("quote")
-    rules = [("not_a_slice", exact), ("too_long", F.length("quote") <= most), ("several_lines", ~F.contains("quote", F.lit("\n")))]
-    broken = met.select(key, F.explode(F.array_compact(F.array(*[F.when(~ok, F.lit(code)) for code, ok in rules]))).alias("code"))
-    repeated = quotes.groupBy(key, "start_char", "end_char").count().filter("count > 1").select(key, F.lit("repeated").alias("code"))
-    solid = c.select(key, F.length(F.regexp_replace("__text", r"\s", "")).alias("solid"))
-    held = quotes.groupBy(key).agg(F.sum(F.length(F.regexp_replace("quote", r"\s", ""))).alias("held"))
-    gap = solid.join(held, key, "left").filter(F.coalesce("held", F.lit(0)) != F.col("solid")).select(key, F.lit("not_covered").alias("code"))
-    return broken.unionByName(repeated).unionByName(gap)
+#: White space that needs no quote, as Python's strip() takes it.
+BLANK = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def quote_violations(quotes: DataFrame, cards: DataFrame, key: str, text: str, most: int = 240, kind: Column | None = None) -> DataFrame:
+    """(key, quote_id, code, at, n): what is wrong with quotes (key, quote_id, start_char, end_char, quote) of cards.
+
+    A quote must be the exact slice of its card's text that its places say, of at most ``most`` characters on one line, and
+    its id must be unique. Cards whose ``kind`` is image have no quotes. All others are swept by place: spans sorted by
+    start, with the running maximum of the ends before, leave gaps, and each gap must be blank. A gap that isn't gives
+    ``not_covered`` with the place of its first solid character and their number; overlaps cover nothing twice.
+    """
+    c = cards.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.coalesce(F.lit(False) if kind is None else kind == "image", F.lit(False)).alias("__image"))
+    own = quotes.select(F.col(key).alias("__key"), "quote_id", F.col("start_char").cast("long").alias("start"), F.col("end_char").cast("long").alias("end"), "quote")
+    ends = c.select("__key", F.lit(None).cast(own.schema["quote_id"].dataType).alias("quote_id"), F.length("__text").cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("quote"))
+    spans = own.withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True)))
+    before = Window.partitionBy("__key").orderBy("start", "last", "end", "quote_id").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("covered", F.greatest(F.coalesce(F.max(F.when(F.col("start") >= 0, F.col("end"))).over(before), F.lit(0).cast("long")), F.lit(0).cast("long")))
+    met = spans.join(c, "__key", "left")
+    slice_of = lambda a, z: F.substring(F.col("__text"), (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+    start, end, covered, quote = (F.col(x) for x in ("start", "end", "covered", "quote"))
+    known = F.col("__text").isNotNull()
+    exact = F.coalesce((start >= 0) & (start < end) & (end <= F.length("__text")) & (slice_of(start, end) == quote), F.lit(False))
+    row = lambda bad, code: F.when(bad, F.struct(F.lit(code).alias("code"), start.alias("at"), F.lit(1).cast("long").alias("n")))
+    of_quote = [row(~known, "unknown_card"), row(known & ~exact, "not_a_slice"), row(F.length(quote) > most, "too_long"), row(quote.rlike(r"[\r\n]"), "several_lines"), row(F.col("__image"), "quote_of_image"), row(F.coalesce(F.col("quote_id").cast("string"), F.lit("")) == "", "id_missing")]
+    solid = F.when(known & ~F.col("__image") & (covered < start), F.regexp_replace(slice_of(covered, start), f"^[{BLANK}]+", ""))
+    first = start - F.length(solid)
+    gap = F.when(F.length(solid) > 0, F.struct(F.lit("not_covered").alias("code"), first.alias("at"), F.length(F.regexp_replace(solid, f"[{BLANK}]+", "")).cast("long").alias("n")))
+    found = F.array_compact(F.concat(F.when(F.col("last"), F.array(F.lit(None).cast("struct<code:string,at:bigint,n:bigint>"))).otherwise(F.array(*of_quote)), F.array(gap)))
+    out = met.select(F.col("__key").alias(key), F.col("quote_id").cast("string").alias("quote_id"), F.explode(found).alias("v"))
+    # a gap belongs to the card, not to the quote after it
+    out = out.select(key, F.when(F.col("v.code") != "not_covered", F.col("quote_id")).alias("quote_id"), "v.*")
+    repeated = own.filter("quote_id IS NOT NULL").groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__key", "start")).alias("m")).filter("n > 1")
+    return out.unionByName(repeated.select(F.col("m.__key").alias(key), F.col("quote_id").cast("string").alias("quote_id"), F.lit("id_repeated").alias("code"), F.col("m.start").alias("at"), "n"))
 
 
 def lock_body(headings: DataFrame, by: str, order: str, family: str, pending: int = 3) -> DataFrame:

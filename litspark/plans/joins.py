@@ -75,12 +75,14 @@ def q_verbatim_by_key(t: Tables) -> DataFrame:
     return rel.verify_quotes(evidence, t.customer.select(F.col("c_custkey").alias("card"), "c_name"), "card", "quote", "c_name").select("o_orderkey", "verbatim")
 
 
-@query("""SELECT k, unnest(list_filter([CASE WHEN a1 IS DISTINCT FROM b1 THEN 'status' END, CASE WHEN a2 IS DISTINCT FROM b2 THEN 'nation' END], lambda x: x IS NOT NULL)) AS field FROM (
- SELECT o_orderkey AS k, o_orderstatus AS a1, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS b1, o_custkey % 25 AS a2, c_nationkey AS b2 FROM orders JOIN customer ON o_custkey = c_custkey)""")
+@query("""WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS b1, c_nationkey AS b2 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 <> 3),
+r AS (SELECT k, b1, b2, CASE WHEN k % 11 = 4 THEN 2 ELSE 1 END AS n FROM f)
+SELECT o_orderkey AS k, unnest(list_filter([CASE WHEN n IS NULL THEN {'code': 'not_frozen', 'field': NULL} END, CASE WHEN n > 1 THEN {'code': 'repeated', 'field': NULL} END, CASE WHEN n = 1 AND o_orderstatus IS DISTINCT FROM b1 THEN {'code': 'differs', 'field': 'status'} END,
+ CASE WHEN n = 1 AND o_custkey % 25 IS DISTINCT FROM b2 THEN {'code': 'differs', 'field': 'nation'} END], lambda x: x IS NOT NULL), recursive := true) FROM orders LEFT JOIN r ON o_orderkey = k""")
 def q_frozen_fields(t: Tables) -> DataFrame:
     stored = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 25).cast("int").alias("nation"))
-    frozen = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("O").alias("status"), F.col("c_nationkey").alias("nation"))
-    return rel.frozen_differences(stored, frozen, "k", ["status", "nation"])
+    frozen = t.orders.filter("o_custkey % 7 <> 3").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 2 == 0, "F").otherwise("O").alias("status"), F.col("c_nationkey").alias("nation"))
+    return rel.frozen_differences(stored, frozen.unionByName(frozen.filter("k % 11 = 4")), "k", ["status", "nation"])
 
 
 @query("""WITH p AS (SELECT conv_id, turn, length(text) % 4 = 0 AS cited FROM conversations), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM p)

@@ -312,11 +312,39 @@ def q_split_text(t: Tables) -> DataFrame:
     return st.split_long_texts(lines, "id", "text").select("id", "part", F.length("piece").alias("n_chars"))
 
 
-@query("SELECT 0 AS doc_id, 'none' AS code WHERE false")
+WINDOWS = """w AS (SELECT doc_id, i, 200 * i AS b, least(200 * i + 200 + CASE WHEN doc_id % 3 = 0 THEN 30 WHEN doc_id % 3 = 1 THEN 60 ELSE 0 END, length(text)) AS e, text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 199) // 200)) AS i FROM documents) WHERE NOT (doc_id % 4 = 1 AND i % 3 = 2)),
+q AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 AND i = 1 THEN doc_id || ':0' ELSE doc_id || ':' || i END AS quote_id, b AS start_char, e AS end_char, CASE WHEN doc_id % 11 = 5 THEN substr(text, b + 2, e - b) ELSE substr(text, b + 1, e - b) END AS quote FROM w WHERE e > b)"""
+
+
+@query(f"""WITH {WINDOWS},
+places AS (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(string_split(text, '')) AS ch FROM documents WHERE doc_id % 13 <> 6 AND length(text) > 0),
+held AS (SELECT DISTINCT doc_id, unnest(range(start_char, end_char)) AS p FROM q),
+codes AS (
+  SELECT doc_id, 'not_covered' AS code, p AS pos, 1 AS n FROM places ANTI JOIN held USING (doc_id, p) WHERE NOT regexp_matches(ch, '^[\\s\\x{{85}}\\x{{a0}}\\x{{3000}}]$')
+  UNION ALL SELECT q.doc_id, 'not_a_slice', start_char, 1 FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE substr(d.text, start_char + 1, end_char - start_char) <> quote
+  UNION ALL SELECT doc_id, 'too_long', start_char, 1 FROM q WHERE length(quote) > 240
+  UNION ALL SELECT doc_id, 'several_lines', start_char, 1 FROM q WHERE contains(quote, chr(10))
+  UNION ALL SELECT doc_id, 'quote_of_image', start_char, 1 FROM q WHERE doc_id % 13 = 6
+  UNION ALL SELECT min(doc_id), 'id_repeated', min(start_char), count(*) FROM q GROUP BY quote_id HAVING count(*) > 1)
+SELECT doc_id, code, min(pos) AS first_char, CAST(sum(n) AS BIGINT) AS n FROM codes GROUP BY doc_id, code""")
 def q_quote_coverage(t: Tables) -> DataFrame:
-    """Violations of the quote spans of all documents: there are none."""
+    """Windows of 200 characters as quotes, some of which overlap, are left out, shifted, of images or share an id; gaps by place."""
+    d, k, i = t.documents.select("doc_id", "text"), F.col("doc_id"), F.col("i")
+    w = d.select("doc_id", "text", F.explode(F.when(F.length("text") > 0, F.sequence(F.lit(0), F.floor((F.length("text") + 199) / 200).cast("int") - 1))).alias("i")).filter(~((k % 4 == 1) & (i % 3 == 2)))
+    more = F.when(k % 3 == 0, 30).when(k % 3 == 1, 60).otherwise(0)
+    w = w.withColumns({"start_char": 200 * i, "end_char": F.least(200 * i + 200 + more, F.length("text"))})
+    quote = F.substring("text", F.col("start_char") + F.when(k % 11 == 5, 2).otherwise(1), F.col("end_char") - F.col("start_char"))
+    quotes = w.select("doc_id", F.concat_ws(":", "doc_id", F.when((k % 50 == 7) & (i == 1), 0).otherwise(i)).alias("quote_id"), "start_char", "end_char", quote.alias("quote"))
+    found = st.quote_violations(quotes, d, "doc_id", "text", kind=F.when(k % 13 == 6, "image").otherwise("text"))
+    return found.groupBy("doc_id", "code").agg(F.min("at").alias("first_char"), F.sum("n").alias("n"))
+
+
+@query("SELECT doc_id, CAST(0 AS BIGINT) AS n_violations FROM documents")
+def q_own_quotes(t: Tables) -> DataFrame:
+    """The spans that split_quotes cuts break no rule in any document."""
     docs = t.documents.select("doc_id", "text")
-    return st.quote_violations(st.split_quotes(docs, "doc_id", "text"), docs, "doc_id", "text")
+    found = st.quote_violations(st.split_quotes(docs, "doc_id", "text"), docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_violations"))
 
 
 @query("SELECT doc_id, text_hash FROM (SELECT doc_id, sha256(text) AS text_hash FROM documents) ORDER BY doc_id")
