@@ -191,6 +191,19 @@ def ordered_clause_support(claim: Column, quote: Column) -> Column:
     return (F.size(parts) > 0) & let(F.regexp_replace(quote, r"\s+", ""), held)
 
 
+def qualifiers_dropped(claim: Column, quotes: Column, qualifiers: list[str] | None = None) -> Column:
+    """The first qualifier of any quote without which a clause of the claim would be verbatim, if no quote has the clause; null if none."""
+    words = F.array(*[F.lit(q) for q in qualifiers or QUALIFIERS])
+    bare = F.transform(quotes, lambda q: F.regexp_replace(q, r"\s+", ""))
+
+    def first(texts: Column, parts: Column) -> Column:
+        lost = F.filter(parts, lambda c: ~F.exists(texts, lambda x: F.contains(x, c)))
+        hit = lambda w: F.exists(texts, lambda x: F.contains(x, w) & F.exists(lost, lambda c: ~F.contains(c, w) & F.contains(F.replace(x, w, F.lit("")), c)))
+        return F.get(F.filter(words, hit), F.lit(0))
+
+    return let(bare, lambda texts: let(clauses(claim), lambda parts: first(texts, parts)))
+
+
 def qualifier_dropped(claim: Column, quote: Column, qualifiers: list[str] | None = None) -> Column:
     """The first qualifier without which a clause of the claim would be verbatim, null if none."""
     words = F.array(*[F.lit(q) for q in qualifiers or QUALIFIERS])

@@ -141,16 +141,6 @@ def fact_owner(facts: DataFrame, fact: str, unit: str, score: list[str]) -> Data
     return df.filter("n > 1")
 
 
-def table_scopes(rows: DataFrame, by: str, order: str, cells: Column, is_number: Column) -> DataFrame:
-    """Per table: width of most rows, header rows before the first row of numbers, and data rows of that width."""
-    df = rows.withColumns({"__w": F.size(cells), "__num": is_number})
-    sizes = df.groupBy(by, "__w").agg(F.count(F.lit(1)).alias("n"))
-    modal = sizes.groupBy(by).agg(F.max_by("__w", F.struct("n", "__w")).alias("width"))
-    first = df.groupBy(by).agg(F.min(F.when(F.col("__num"), F.col(order))).alias("__first"))
-    met = df.join(modal, by).join(first, by)
-    return met.groupBy(by, "width").agg(F.count_if(F.coalesce(F.col(order) < F.col("__first"), F.lit(True))).alias("n_header"), F.count_if((F.col(order) >= F.col("__first")) & (F.col("__w") == F.col("width"))).alias("n_data"))
-
-
 def match_labels(claims: DataFrame, labels: DataFrame, by: str, claim: str, label: str) -> DataFrame:
     """Per claim the longest label of its table that it contains, the last one by name among equals."""
     met = claims.join(labels, by).filter(F.contains(F.col(claim), F.col(label)))
