@@ -45,7 +45,7 @@ from litspark.llm.common import NOT_SPACE, saved
 
 P, B = (1 << 127) - 1, 0x5BD1E995_9E3779B9_7F4A7C15_F39CC060
 UNBASE = pow(B, -1, P)
-SHARD = 4096
+SHARD = 1024
 PIECE = 4096
 GROUP, MOST = 20, 4
 ROOT = bytes(16)
