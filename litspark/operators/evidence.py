@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from litspark.functions.arrays import is_subset
 from litspark.functions.text import stable_id
 
-#: Reasons that go with each disposition.
-DISPOSITION_REASONS = {"used": ["supports_claim"], "not_used": ["background_only", "duplicate", "off_topic"], "deferred": ["needs_review"]}
-
 
 def evidence_violations(units: DataFrame, unit: str, rules: list[tuple[str, Column]]) -> DataFrame:
     """(unit, code) for each rule that a unit breaks; null conditions count as broken."""
@@ -25,18 +22,6 @@ def evidence_ids(evidence: DataFrame, generation: str, kind: str, citations: str
     return df.withColumn("unit_id", stable_id("unit_", F.col("anchor_id"), F.col(claim)))
 
 
-def finalize_dispositions(refs: DataFrame, items: DataFrame, given: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Referenced items are used; all others need exactly one disposition with a reason that goes with it."""
-    used = refs.select(key).distinct().withColumn("__used", F.lit(True))
-    once = given.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("disposition").alias("__d"), F.min("reason").alias("__r"))
-    df = items.join(used, key, "left").join(once, key, "left")
-    allowed = F.create_map(*[x for d, rs in DISPOSITION_REASONS.items() for x in (F.lit(d), F.array(*[F.lit(r) for r in rs]))])
-    fits = F.coalesce(F.array_contains(F.coalesce(F.try_element_at(allowed, F.col("__d")), F.array()), F.col("__r")), F.lit(False))
-    code = F.when(F.col("__used") & F.col("__n").isNotNull(), "classified_though_used").when(F.col("__used").isNull() & F.col("__n").isNull(), "unclassified").when(F.col("__n") > 1, "repeated").when(F.col("__n").isNotNull() & ~fits, "reason_not_allowed")
-    out = df.select(key, F.when(F.col("__used"), "used").otherwise(F.col("__d")).alias("disposition"), F.when(F.col("__used"), "supports_claim").otherwise(F.col("__r")).alias("reason"), code.alias("code"))
-    return out.filter("code IS NULL").drop("code"), out.filter("code IS NOT NULL").select(key, "code")
-
-
 def gate_decisions(first: DataFrame, confirm: DataFrame, overrides: DataFrame, verbatim: DataFrame, unit: str) -> DataFrame:
     """Six outcomes in a fixed order: first pass, verbatim, override, missing confirmation, disagreement, blocker."""
     c = confirm.select(unit, F.col("verdict").alias("__confirmed"))
@@ -90,36 +75,6 @@ def semantic_issues(units: DataFrame, statements: DataFrame, links: DataFrame) -
     return u.unionByName(s)
 
 
-def auto_resolve(evidence: DataFrame, actions: DataFrame, unit: str) -> DataFrame:
-    """evidence with the outcome of the one action chosen for it.
-
-    human_required stays open; keep_gate_override needs eligibility; replace needs another unit, and drops this one;
-    repair needs other quotes and gives a new id.
-    """
-    met = evidence.join(actions, unit, "left")
-    a = F.col("action")
-    outcome = (
-        F.when(a.isNull(), "kept")
-        .when(a == "human_required", "open")
-        .when((a == "keep_gate_override") & F.col("eligible"), "kept")
-        .when((a == "replace") & F.col("target").isNotNull() & (F.col("target") != F.col(unit)), "dropped")
-        .when((a == "repair") & (F.col("new_quote") != F.col("quote")), "repaired")
-        .otherwise("invalid")
-    )
-    new_id = F.when(outcome == "dropped", F.col("target").cast("string")).when(outcome == "repaired", stable_id("unit_", F.col(unit), F.col("new_quote"))).otherwise(F.col(unit).cast("string"))
-    return met.select(unit, outcome.alias("outcome"), new_id.alias("new_id"))
-
-
-def apply_revision(targets: DataFrame, revisions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Targets after revision: deleted, or replaced by one to four items; violations for all else."""
-    once = revisions.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("action").alias("action"), F.first("items").alias("items"))
-    df = targets.join(once, key, "left")
-    bad = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "repeated").when((F.col("action") == "replace") & ~F.size("items").between(1, 4), "item_count").when((F.col("action") == "replace") & F.array_contains("items", F.col("statement")), "unchanged").when(~F.col("action").isin("replace", "delete"), "unknown_action")
-    df = df.withColumn("code", bad)
-    kept = df.filter("code IS NULL AND action = 'replace'").select(key, F.posexplode("items").alias("idx", "statement"))
-    return kept, df.filter("code IS NOT NULL").select(key, "code")
-
-
 def apply_correction(units: DataFrame, corrections: DataFrame, keys: list[str], longer: int = 16) -> tuple[DataFrame, DataFrame]:
     """Units after keep, delete or replace; a replacement brings no new numbers and is hardly longer."""
     from litspark.functions.numeric import digit_facts

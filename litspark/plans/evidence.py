@@ -19,16 +19,6 @@ def q_evidence_ids(t: Tables) -> DataFrame:
     return ev.evidence_ids(df, "g", "kind", "cites", "text").select("item_id", F.substring("unit_id", 6, 24).alias("unit_hash"))
 
 
-@query("""WITH u AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 48), g AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN 'not_used' ELSE 'deferred' END AS d, CASE WHEN o_custkey % 2 = 0 THEN 'needs_review' ELSE 'off_topic' END AS r FROM orders WHERE o_orderkey % 4 > 0),
-x AS (SELECT o_orderkey AS k, u.k IS NOT NULL AS used, g.k IS NOT NULL AS given, d, r FROM orders LEFT JOIN u ON o_orderkey = u.k LEFT JOIN g ON o_orderkey = g.k)
-SELECT * FROM (SELECT k, CASE WHEN used AND given THEN 'classified_though_used' WHEN NOT used AND NOT given THEN 'unclassified' WHEN given AND NOT ((d = 'not_used' AND r = 'off_topic') OR (d = 'deferred' AND r = 'needs_review')) THEN 'reason_not_allowed' END AS code FROM x) WHERE code IS NOT NULL""")
-def q_dispositions(t: Tables) -> DataFrame:
-    refs = t.lineitem.filter("l_quantity > 48").select(F.col("l_orderkey").alias("k"))
-    items = t.orders.select(F.col("o_orderkey").alias("k"))
-    given = t.orders.filter("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_custkey") % 3 == 0, "not_used").otherwise("deferred").alias("disposition"), F.when(F.col("o_custkey") % 2 == 0, "needs_review").otherwise("off_topic").alias("reason"))
-    return ev.finalize_dispositions(refs, items, given, "k")[1]
-
-
 GATE = """f AS (SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'directly_supported' WHEN doc_id % 3 = 1 THEN 'partial' ELSE 'unsupported' END AS verdict FROM labels),
 d AS (SELECT doc_id, verdict, c, CASE WHEN verdict = 'directly_supported' THEN 'passed_first_pass' WHEN doc_id % 11 = 0 THEN 'passed_quote_containment' WHEN doc_id % 13 = 0 THEN 'accepted_human_override' WHEN c IS NULL THEN 'confirmation_missing' WHEN c = 'directly_supported' THEN 'gate_disagreement' ELSE 'confirmed_blocker' END AS decision
  FROM (SELECT *, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'directly_supported' ELSE 'unsupported' END END AS c FROM f))"""
@@ -73,25 +63,6 @@ def q_semantic_issues(t: Tables) -> DataFrame:
     return ev.semantic_issues(links.select("unit").distinct().filter("unit % 3 = 0"), links.select("statement").distinct().filter("statement % 4 = 0"), links)
 
 
-@query("""SELECT unit, CASE a WHEN 0 THEN 'open' WHEN 1 THEN CASE WHEN unit % 2 = 0 THEN 'kept' ELSE 'invalid' END WHEN 2 THEN 'dropped' WHEN 3 THEN CASE WHEN unit % 2 = 0 THEN 'repaired' ELSE 'invalid' END ELSE 'kept' END AS outcome FROM (SELECT doc_id AS unit, doc_id % 6 AS a FROM labels)""")
-def q_auto_resolve(t: Tables) -> DataFrame:
-    u = F.col("doc_id")
-    evidence = t.labels.select(u.alias("unit"), F.concat(F.lit("q"), u.cast("string")).alias("quote"))
-    names = F.array(*[F.lit(x) for x in ("human_required", "keep_gate_override", "replace", "repair")])
-    new_quote = F.when(u % 2 == 0, F.lit("other")).otherwise(F.concat(F.lit("q"), u.cast("string")))
-    actions = t.labels.filter("doc_id % 6 < 4").select(u.alias("unit"), F.get(names, (u % 6).cast("int")).alias("action"), (u % 2 == 0).alias("eligible"), (u + 1).alias("target"), new_quote.alias("new_quote"))
-    return ev.auto_resolve(evidence, actions, "unit").select("unit", "outcome")
-
-
-@query("""SELECT k, code FROM (SELECT doc_id AS k, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 7 = 1 THEN 'unchanged' WHEN doc_id % 7 = 2 THEN 'item_count' END AS code FROM documents) WHERE code IS NOT NULL""")
-def q_apply_revision(t: Tables) -> DataFrame:
-    m, name = F.col("doc_id") % 7, F.concat(F.lit("s"), F.col("doc_id").cast("string"))
-    targets = t.documents.select(F.col("doc_id").alias("k"), name.alias("statement"))
-    items = F.when(m == 1, F.array(name)).when(m == 2, F.array(*[F.lit(x) for x in "abcde"])).otherwise(F.array(F.lit("new")))
-    revisions = t.documents.filter("doc_id % 7 > 0").select(F.col("doc_id").alias("k"), F.when(m == 3, "delete").otherwise("replace").alias("action"), items.alias("items"))
-    return ev.apply_revision(targets, revisions, "k")[1]
-
-
 @query("""SELECT k, CASE WHEN k % 5 = 1 THEN p || ' revised' ELSE p END AS claim FROM (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders) WHERE k % 5 IN (0, 1)""")
 def q_apply_correction(t: Tables) -> DataFrame:
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")

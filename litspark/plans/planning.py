@@ -49,7 +49,7 @@ fold AS (SELECT conv_id, turn, unit, mode, rn, 0 AS part, 1 AS n, t AS held FROM
   FROM fold f JOIN numbered y ON y.conv_id = f.conv_id AND y.unit IS NOT DISTINCT FROM f.unit AND y.mode = f.mode AND y.rn = f.rn + 1),
 firsts AS (SELECT conv_id, unit, mode, part, min(turn) AS first FROM fold GROUP BY ALL),
 batches AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS batch FROM firsts)
-SELECT f.conv_id, f.turn, b.batch, f.unit AS section, f.mode FROM fold f JOIN batches b ON b.conv_id = f.conv_id AND b.unit IS NOT DISTINCT FROM f.unit AND b.mode = f.mode AND b.part = f.part""")
+SELECT f.conv_id, f.turn, CAST(b.batch AS INTEGER) AS batch, f.unit AS section, f.mode FROM fold f JOIN batches b ON b.conv_id = f.conv_id AND b.unit IS NOT DISTINCT FROM f.unit AND b.mode = f.mode AND b.part = f.part""")
 def q_plan_batches(t: Tables) -> DataFrame:
     plan, _ = planning.plan_batches(cards(t), sections(t), BUDGET, "conv_id", "turn", "section", "turn", "tokens")
     return plan
@@ -74,7 +74,7 @@ def q_plan_audit(t: Tables) -> DataFrame:
     return planning.audit_plan(plan, c, BUDGET, "conv_id", "turn", "turn", "tokens")[0]
 
 
-@query(f"""WITH {CARDS}, b AS (SELECT conv_id, turn // 3 AS batch, count(*) AS n, sum(t) AS t FROM c GROUP BY ALL) SELECT conv_id, sum(n) AS n_cards, count(*) AS n_batches, sum(t) AS tokens, max(t) AS most_tokens FROM b GROUP BY conv_id""")
+@query(f"""WITH {CARDS}, b AS (SELECT conv_id, turn // 3 AS batch, count(*) AS n, sum(t) AS t FROM c GROUP BY ALL) SELECT conv_id, CAST(sum(n) AS BIGINT) AS n_cards, count(*) AS n_batches, CAST(sum(t) AS BIGINT) AS tokens, CAST(max(t) AS BIGINT) AS most_tokens FROM b GROUP BY conv_id""")
 def q_plan_totals(t: Tables) -> DataFrame:
     c = cards(t)
     return planning.audit_plan(c.withColumn("batch", F.floor(F.col("turn") / 3)), c, BUDGET, "conv_id", "turn", "turn", "tokens")[1]
