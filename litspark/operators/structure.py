@@ -300,26 +300,6 @@ def quote_violations(quotes: DataFrame, cards: DataFrame, key: str, text: str, m
     return out.unionByName(repeated.select(F.col("m.__key").alias(key), F.col("quote_id").cast("string").alias("quote_id"), F.lit("id_repeated").alias("code"), F.col("m.start").alias("at"), "n"))
 
 
-def lock_body(headings: DataFrame, by: str, order: str, family: str, pending: int = 3) -> DataFrame:
-    """headings with ``locked``: from the first numbered body heading that others confirm on, all belong to the body.
-
-    A state machine over the headings of one document: a numbered heading waits until ``pending`` numbered ones were seen.
-    """
-    out = T.StructType([*headings.schema.fields, T.StructField("locked", T.BooleanType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        waiting, start = [], None
-        for i, f in enumerate(group[family]):
-            waiting = [*waiting, i] if f != "plain" else waiting
-            if len(waiting) >= pending:
-                start = waiting[0]
-                break
-        return group.assign(locked=[start is not None and i >= start for i in range(len(group))])
-
-    return headings.groupBy(by).applyInPandas(run, out)
-
-
 def resolve_hierarchy(headings: DataFrame, by: str, order: str, level: str, deepest: int = 4) -> DataFrame:
     """headings with parent: the order of the nearest heading before of a lower level."""
     df, w = headings, ordered(by, order).rowsBetween(Window.unboundedPreceding, -1)
