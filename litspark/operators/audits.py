@@ -216,12 +216,6 @@ def merge_edits(nodes: DataFrame, edits: DataFrame, node: str, parent: str, leve
     return met.select(node, "new_level", reason.alias("reason"))
 
 
-def overview(nodes: DataFrame, by: str, section: str, order: str, most: int = 5) -> DataFrame:
-    """The first sub-sections of each section, numbered."""
-    place = F.row_number().over(Window.partitionBy(by, section).orderBy(order))
-    return nodes.withColumn("place", place).filter(F.col("place") <= most)
-
-
 def revisit_candidates(cards: DataFrame, selected: DataFrame, gaps: DataFrame, key: str, by: str) -> DataFrame:
     """Cards left out, of groups that have a gap."""
     return cards.join(selected.select(key), key, "left_anti").join(gaps.select(by).distinct(), by, "left_semi")

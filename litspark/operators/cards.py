@@ -151,13 +151,6 @@ def section_map(headings: DataFrame, by: str, order: str, depth: str) -> DataFra
     return df.withColumn("section", F.concat(F.lit("c"), F.dense_rank().over(Window.partitionBy(by).orderBy("chapter")).cast("string")))
 
 
-def flag_low_confidence(nodes: DataFrame, by: str, confidence: str, markers: str, risky: list[str], least: float = 0.7) -> DataFrame:
-    """nodes with ``low`` and the number of such nodes in the document."""
-    low = (F.col(confidence) < least) | F.arrays_overlap(markers, F.array(*[F.lit(r) for r in risky]))
-    df = nodes.withColumn("low", low)
-    return df.withColumn("n_low", F.count_if("low").over(Window.partitionBy(by)))
-
-
 def tree_diff(a: DataFrame, b: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, status): same, moved, added or removed."""
     x, y = a.select(node, F.col(parent).alias("__a"), F.lit(1).alias("__x")), b.select(node, F.col(parent).alias("__b"), F.lit(1).alias("__y"))

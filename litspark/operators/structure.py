@@ -98,7 +98,7 @@ def not_increasing(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return df.withColumn("before", before).filter(F.col(value) <= F.col("before"))
 
 
-def heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: str, deepest: int = 6) -> DataFrame:
+def heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: str) -> DataFrame:
     """headings with path, the titles of its ancestors and itself; a jump of over one level starts a new stack.
 
     The stack after a jump depends on all before it, so this is a small function over the headings of one document.
@@ -117,14 +117,19 @@ def heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: s
     return headings.groupBy(by).applyInPandas(run, out)
 
 
-def flat_heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: str, deepest: int = 6) -> DataFrame:
+def levels_of(headings: DataFrame, level: str) -> list[int]:
+    """The different levels of all headings, ascending; a few numbers."""
+    return sorted(r[0] for r in headings.select(level).filter(F.col(level).isNotNull()).distinct().collect())
+
+
+def flat_heading_paths(headings: DataFrame, by: str, order: str, depth: str, title: str) -> DataFrame:
     """The same with windows only, for documents in which no heading jumps by more than a level."""
-    w = running(by, order)
-    at = {d: F.last(F.when(F.col(depth) == d, F.col(order)), ignorenulls=True).over(w) for d in range(1, deepest + 1)}
-    named = {d: F.last(F.when(F.col(depth) == d, F.col(title)), ignorenulls=True).over(w) for d in range(1, deepest + 1)}
+    w, levels = running(by, order), levels_of(headings, depth)
+    at = {d: F.last(F.when(F.col(depth) == d, F.col(order)), ignorenulls=True).over(w) for d in levels}
+    named = {d: F.last(F.when(F.col(depth) == d, F.col(title)), ignorenulls=True).over(w) for d in levels}
     df = headings.withColumns({f"__a{d}": x for d, x in at.items()} | {f"__t{d}": x for d, x in named.items()})
-    parts = [F.when((F.col(depth) >= d) & F.col(f"__a{d}").isNotNull(), F.col(f"__t{d}")) for d in range(1, deepest + 1)]
-    return df.withColumn("path", F.array_compact(F.array(*parts))).drop(*[f"__{x}{d}" for x in "at" for d in range(1, deepest + 1)])
+    parts = [F.when((F.col(depth) >= d) & F.col(f"__a{d}").isNotNull(), F.col(f"__t{d}")) for d in levels]
+    return df.withColumn("path", F.array_compact(F.array(*parts, F.lit(None).cast("string")))).drop(*[f"__{x}{d}" for x in "at" for d in levels])
 
 
 def first_marker(df: DataFrame, by: str, order: str, mark: Column, to: str = "first") -> DataFrame:
@@ -300,14 +305,14 @@ def quote_violations(quotes: DataFrame, cards: DataFrame, key: str, text: str, m
     return out.unionByName(repeated.select(F.col("m.__key").alias(key), F.col("quote_id").cast("string").alias("quote_id"), F.lit("id_repeated").alias("code"), F.col("m.start").alias("at"), "n"))
 
 
-def resolve_hierarchy(headings: DataFrame, by: str, order: str, level: str, deepest: int = 4) -> DataFrame:
-    """headings with parent: the order of the nearest heading before of a lower level."""
-    df, w = headings, ordered(by, order).rowsBetween(Window.unboundedPreceding, -1)
+def resolve_hierarchy(headings: DataFrame, by: str, order: str, level: str) -> DataFrame:
+    """headings with parent: the order of the nearest heading before of a lower level, of however many levels there are."""
+    w = ordered(by, order).rowsBetween(Window.unboundedPreceding, -1)
     best = F.lit(None).cast(headings.schema[order].dataType)
-    for d in range(1, deepest + 1):
+    for d in levels_of(headings, level):
         last = F.max(F.when(F.col(level) == d, F.col(order))).over(w)
         best = F.when(F.col(level) > d, F.greatest(best, last)).otherwise(best)
-    return df.withColumn("parent", best)
+    return headings.withColumn("parent", best)
 
 
 def detect_profile(headings: DataFrame, by: str, family: str) -> DataFrame:
@@ -367,7 +372,7 @@ def family_hierarchy(headings: DataFrame, profiles: DataFrame, by: str, order: s
     below = df.filter(deep).select(by, order, key(F.slice("path", F.lit(1), F.size("path") - 1)).alias("__key"))
     above = df.filter(f == "decimal_path").select(F.col(by).alias("__by"), o.alias("__o"), key(F.col("path")).alias("__key2"))
     met = below.join(above, (F.col(by) == F.col("__by")) & (F.col("__key") == F.col("__key2")) & (F.col("__o") < o)).groupBy(by, order).agg(F.max("__o").alias("__exact"))
-    plain = resolve_hierarchy(df, by, order, "depth", 6).select(by, order, F.col("parent").alias("__plain"))
+    plain = resolve_hierarchy(df, by, order, "depth").select(by, order, F.col("parent").alias("__plain"))
     df = df.join(met, [by, order], "left").join(plain, [by, order])
     found = F.when(deep, F.col("__exact")).when(f == "plain", F.col("__plain")).otherwise(F.col("__near"))
     top = found.isNull() & (f.isin(ROOTS) | (F.row_number().over(ordered(by, order)) == 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.plans import audit, bibliography, completeness, contracts, evidence, joins, planning, revisions, structure, summaries, synthesis  # noqa: F401  they register their queries
+from litspark.plans import audit, bibliography, completeness, contracts, evidence, joins, outlines, planning, revisions, structure, summaries, synthesis  # noqa: F401  they register their queries
 from litspark.plans.query import FOUND
 
 

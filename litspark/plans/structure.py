@@ -80,7 +80,7 @@ HEADS = f"""WITH {V_MD}, h AS (SELECT conv_id, line_number, turn, regexp_replace
 @query(f"""{HEADS}, w AS (SELECT *, {', '.join(f"last_value(CASE WHEN depth = {d} THEN title END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_number ROWS UNBOUNDED PRECEDING) AS t{d}" for d in (1, 2, 3))} FROM h)
 SELECT conv_id, line_number, array_to_string(list_filter([CASE WHEN depth >= 1 THEN t1 END, CASE WHEN depth >= 2 THEN t2 END, CASE WHEN depth >= 3 THEN t3 END], lambda x: x IS NOT NULL), ' > ') AS path FROM w""")
 def q_heading_path(t: Tables) -> DataFrame:
-    return st.flat_heading_paths(headings(t), "conv_id", "line_number", "depth", "title", 3).select("conv_id", "line_number", F.array_join("path", " > ").alias("path"))
+    return st.flat_heading_paths(headings(t), "conv_id", "line_number", "depth", "title").select("conv_id", "line_number", F.array_join("path", " > ").alias("path"))
 
 
 @query()
@@ -292,12 +292,6 @@ def q_section_map(t: Tables) -> DataFrame:
     return cards.section_map(headings(t), "conv_id", "line_number", "depth").select("conv_id", "line_number", "chapter", "section")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_discount < 0.03 OR l_returnflag = 'R' AS low, count(*) FILTER (l_discount < 0.03 OR l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS n_low FROM lineitem""")
-def q_low_conf(t: Tables) -> DataFrame:
-    nodes = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("confidence"), F.array("l_returnflag").alias("markers"))
-    return cards.flag_low_confidence(nodes, "l_orderkey", "confidence", "markers", ["R"], 0.3 - 1e-9).select("l_orderkey", "l_linenumber", "low", "n_low")
-
-
 @query("""SELECT n_nationkey AS id, CASE WHEN n_regionkey IS DISTINCT FROM n_nationkey % 5 THEN 'moved' ELSE 'same' END AS status FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, 'removed' FROM nation WHERE n_nationkey >= 20""")
 def q_tree_diff(t: Tables) -> DataFrame:
     a = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("parent"))

@@ -44,8 +44,3 @@ def q_merge_edits(t: Tables) -> DataFrame:
     level = F.when(F.col("node") == "root", 0).when(F.col("node").startswith("r"), 1).otherwise(2)
     edits = t.nation.select(F.concat(F.lit("n"), (F.col("n_nationkey") * 2).cast("string")).alias("node"), (F.col("n_nationkey") % 4).alias("new_level"))
     return au.merge_edits(tree(t).withColumn("level", level), edits, "node", "parent", "level")
-
-
-@query("SELECT conv_id, role, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS place FROM conversations) WHERE place <= 2")
-def q_overview(t: Tables) -> DataFrame:
-    return au.overview(t.conversations, "conv_id", "role", "turn", 2).select("conv_id", "role", "turn", "place")
