@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litspark.operators import audits as au
 from litspark.operators import evidence as ev
 from litspark.plans.query import V_RUN, Tables, query
+from litspark.streaming import corpus, jobs
 
 LEGAL = {"view": ["click", "view"], "click": ["purchase", "click", "view"], "purchase": ["view"]}
 LEGAL_SQL = "(before = 'view' AND stage IN ('click', 'view')) OR (before = 'click' AND stage IN ('purchase', 'click', 'view')) OR (before = 'purchase' AND stage = 'view')"
@@ -34,11 +35,32 @@ def q_pipeline_gate(t: Tables) -> DataFrame:
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""")
 def q_stream_corpus(t: Tables) -> DataFrame:
     """The latest run of each paper, kept up by a stream of event files; a paper whose last run is an error is withdrawn."""
-    from litspark.streaming import corpus
-
-    table = corpus.shared_path(t.spark, "corpus")
-    corpus.update_corpus(t.spark, f"{t.sf_dir}/events.parquet", table)
-    return corpus.read_corpus(t.spark, table, F.col("event_type") == "error").select("user_id", "event_id", "event_type")
+    table, order = corpus.shared_path(t.spark, "corpus"), ["ts", "event_id"]
+    corpus.update_corpus(t.spark, f"{t.sf_dir}/events.parquet", table, "user_id", order, compact_every=1)
+    return corpus.read_corpus(t.spark, table, t.events.schema, F.col("event_type") == "error", "user_id", order).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH e AS (SELECT event_id // 8 AS job, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS s, CASE WHEN event_type = 'view' THEN event_id % 3 END AS paper FROM events),
+q AS (SELECT *, min(seq) FILTER (s = 'queued') OVER w AS q FROM e WINDOW w AS (PARTITION BY job)),
+r AS (SELECT *, min(seq) FILTER (s = 'running' AND seq > q) OVER w AS r0, min(seq) FILTER (s = 'failed' AND seq > q) OVER w AS f FROM q WINDOW w AS (PARTITION BY job)),
+c AS (SELECT *, CASE WHEN f IS NULL OR r0 < f THEN r0 END AS r FROM r),
+z AS (SELECT *, min(seq) FILTER (s = 'completed' AND seq > r) OVER (PARTITION BY job) AS c FROM c),
+n AS (SELECT *, CASE WHEN seq >= least(c, f) THEN CASE WHEN least(c, f) = c THEN 'completed' ELSE 'failed' END WHEN seq >= r THEN 'running' WHEN seq >= q THEN 'queued' END AS state, coalesce(seq = q, false) OR coalesce(seq = r, false) OR coalesce(seq = least(c, f), false) AS legal FROM z),
+p AS (SELECT *, min(seq) FILTER (state = 'running' AND paper IS NOT NULL) OVER (PARTITION BY job, paper) AS first FROM n)
+SELECT job, seq, state, CASE WHEN paper IS NULL THEN CASE WHEN NOT legal THEN 'illegal' END WHEN state IS DISTINCT FROM 'running' THEN 'not_running' WHEN seq > first THEN 'duplicate_result' END AS problem FROM p
+UNION ALL SELECT job, NULL, 'failed', 'interrupted' FROM (SELECT job, max(ts) AS at_, arg_max(coalesce(state, ''), seq) AS state FROM n GROUP BY job) WHERE state IN ('queued', 'running') AND at_ + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
+def q_job_ledger(t: Tables) -> DataFrame:
+    """Events as changes and results of jobs of eight events, taken in by three starts of a stateful stream."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    state = F.when(kind == "signup", "queued").when(kind == "click", "running").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("result")
+    events = t.events.select(F.floor(i / 8).alias("job"), i.alias("seq"), F.col("ts").cast("timestamp").alias("at"), state.alias("state"), F.when(kind == "view", (i % 3).cast("string")).alias("paper"))
+    schema = "job long, seq long, at timestamp, state string, paper string"
+    path, table = corpus.shared_path(t.spark, "jobs"), corpus.shared_path(t.spark, "ledger")
+    most = events.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):  # files come by time, as the watermark wants it
+        events.filter((F.col("seq") * 3 >= most * k) & ((F.col("seq") * 3 < most * (k + 1)) | F.lit(k == 2))).write.mode("append").parquet(path)
+        jobs.take_in(t.spark, path, table, schema, "1 day")
+    return jobs.read_ledger(t.spark, table)
 
 
 @query("""SELECT doc_id, CASE WHEN c.h IS NULL THEN 'miss' WHEN c.lang = d.lang AND c.h = sha256(d.text) THEN 'hit' ELSE 'stale' END AS status FROM documents d LEFT JOIN (SELECT doc_id AS id, lang, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 > 0) c ON d.doc_id = c.id""")

@@ -1,14 +1,13 @@
-"""Incremental corpora: the latest run of each paper, and the state of jobs."""
+"""Incremental corpora: the latest run of each paper, kept by a stream of run files."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litspark.operators.structure import latest_by
 
@@ -23,76 +22,67 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def latest_runs(runs: DataFrame) -> DataFrame:
-    """Of each paper the last run, whether it failed or not."""
-    return latest_by(runs.select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"])
+BUCKETS = 64
 
 
-def published(runs: DataFrame, failed: Column) -> DataFrame:
-    """Batch twin of the stream: the last run of each paper; a last run that failed withdraws the paper."""
-    return latest_runs(runs).filter(~F.coalesce(failed, F.lit(False)))
+def latest_runs(runs: DataFrame, paper: str, order: list[str]) -> DataFrame:
+    """Of each paper the last run by ``order``, whether it failed or not."""
+    return latest_by(runs, paper, order)
 
 
-def update_corpus(spark: SparkSession, path: str, table: str) -> None:
+def published(runs: DataFrame, failed: Column, paper: str, order: list[str]) -> DataFrame:
+    """Batch twin of the stream: the last run of each paper; a last run that failed withdraws the paper."""
+    return latest_runs(runs, paper, order).filter(~F.coalesce(failed, F.lit(False)))
+
+
+def parts(spark: SparkSession, path: str, number: str, schema: T.StructType) -> DataFrame | None:
+    """A table of the folders ``number``=n below path; None while there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop) or not any(f.getPath().getName().startswith(f"{number}=") for f in files.listStatus(hadoop)):
+        return None
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(number, T.LongType())])).parquet(path)
+
+
+def merged(spark: SparkSession, table: str, schema: T.StructType, paper: str, order: list[str], upto: int | None = None) -> DataFrame:
+    """The last run of each paper from the newest base and the epochs after it, up to an epoch; older parts aren't read."""
+    found, base, since = [], parts(spark, f"{table}/base", "version", schema), -1
+    if base is not None:
+        versions = base.select("version").distinct()  # by folder, no file is read
+        since = (versions if upto is None else versions.filter(F.col("version") < upto)).agg(F.max("version")).first()[0]
+        since = -1 if since is None else since
+        found.append(base.filter(F.col("version") == since).drop("version"))
+    if (epochs := parts(spark, f"{table}/runs", "epoch", schema)) is not None:
+        new = epochs.filter(F.col("epoch") > since)
+        found.append((new if upto is None else new.filter(F.col("epoch") <= upto)).drop("epoch"))
+    if not found:
+        return spark.createDataFrame([], schema)
+    return latest_runs(found[0].unionByName(found[-1]) if len(found) > 1 else found[0], paper, order)
+
+
+def update_corpus(spark: SparkSession, path: str, table: str, paper: str, order: list[str], compact_every: int = 10) -> None:
     """Take in the files of ``path`` that aren't in ``table`` yet.
 
     Every batch writes the latest run of each of its papers under its number, so a batch costs as much as it holds, one
-    that is repeated after a failure overwrites what it wrote, and a new start goes on where the last one ended.
+    that is repeated after a failure overwrites what it wrote, and a new start goes on where the last one ended. Each
+    ``compact_every`` batches the base and the epochs since are merged to a new base, dealt and sorted by paper, so that a read
+    has at most as many epochs to merge; what an older read may still use is left alone.
     """
+    schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads files of a folder or a pattern, not a single file's path
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    stream = spark.readStream.schema(schema).parquet(pattern)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        latest_runs(batch).write.mode("overwrite").parquet(f"{table}/runs/epoch={epoch}")
+        session = batch.sparkSession
+        latest_runs(batch, paper, order).write.mode("overwrite").parquet(f"{table}/runs/epoch={epoch}")
+        if epoch % compact_every == compact_every - 1:
+            base = merged(session, table, schema, paper, order, epoch)
+            base.repartition(BUCKETS, paper).sortWithinPartitions(paper).write.mode("overwrite").parquet(f"{table}/base/version={epoch}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{table}/log").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def read_corpus(spark: SparkSession, table: str, failed: Column) -> DataFrame:
-    """What is published: the latest runs of all batches, merged, without papers whose last run failed."""
-    return published(spark.read.parquet(f"{table}/runs"), failed)
-
-
-#: The states that may follow a state; a job begins as queued.
-LEGAL = {"queued": ["running", "failed"], "running": ["completed", "failed"]}
-
-
-def job_states(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Streaming ledger of jobs: (job, seq, state, problem) for each event, keyed by job.
-
-    events: job, seq, at, state and paper. A row with a paper is the result of that paper. problem is null, ``illegal``
-    for a change that isn't allowed, ``not_running`` or ``duplicate_result`` for a paper's result, or ``interrupted`` for
-    an open job that stays silent for ``idle`` of event time, which fails it. Rows of a job in one batch are put in order
-    of seq first; state holds the job's own papers only.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, papers = (state.get[0], list(state.get[1])) if state.exists else (None, [])
-        if state.hasTimedOut:
-            state.remove()
-            if last in ("queued", "running"):
-                yield pd.DataFrame({"job": [key[0]], "seq": [None], "state": ["failed"], "problem": ["interrupted"]})
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, new, paper in zip(rows["seq"], rows["state"], rows["paper"], strict=True):
-            problem = None
-            if isinstance(paper, str):
-                problem = "not_running" if last != "running" else "duplicate_result" if paper in papers else None
-                papers += [] if problem else [paper]
-            elif new == "queued" if last is None else new in LEGAL.get(last, []):
-                last = new
-            else:
-                problem = "illegal"
-            out.append((key[0], seq, last, problem))
-        yield pd.DataFrame(out, columns=["job", "seq", "state", "problem"])
-        state.update((last, papers))
-        latest = int(rows["at"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest + wait, state.getCurrentWatermarkMs() + 1))
-
-    timed = events.withWatermark("at", "0 seconds")
-    return timed.groupBy("job").applyInPandasWithState(run, "job long, seq long, state string, problem string", "state string, papers array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+def read_corpus(spark: SparkSession, table: str, schema: T.StructType, failed: Column, paper: str, order: list[str]) -> DataFrame:
+    """What is published: the latest runs, without papers whose last run failed; nothing before the first batch."""
+    return merged(spark, table, schema, paper, order).filter(~F.coalesce(failed, F.lit(False)))

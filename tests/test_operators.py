@@ -101,38 +101,3 @@ def test_quotes_are_found_where_contains_holds(spark):
     texts = spark.createDataFrame(list(enumerate(held)), "d int, text string")
     want = [(i, j) for i, q in enumerate(given) for j, t in enumerate(held) if q is not None and t is not None and q in t]
     assert rows(relations.find_quotes(quotes, texts, "quote", "text").select("q", "d"), "q", "d") == want
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    part = lambda low, high: spark.range(low, high).selectExpr("id % 7 AS user_id", "timestamp_seconds(id * 31 % 50) AS ts", "id AS event_id", "if(id % 5 = 0, 'error', 'view') AS event_type", "1.0 AS value")
-    failed, table = F.col("event_type") == "error", str(tmp_path / "corpus")
-    ids = lambda df: rows(df.select("user_id", "event_id"), "user_id")
-    part(0, 60).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
-    corpus.update_corpus(spark, str(tmp_path / "events.parquet"), table)
-    before = ids(corpus.read_corpus(spark, table, failed))
-    assert before == ids(corpus.published(part(0, 60), failed))
-    part(60, 100).repartition(2).write.mode("append").parquet(str(tmp_path / "events.parquet"))
-    for _ in range(2):  # a second start finds nothing new
-        corpus.update_corpus(spark, str(tmp_path / "events.parquet"), table)
-    assert ids(corpus.read_corpus(spark, table, failed)) == ids(corpus.published(part(0, 100), failed)) != before
-
-
-def test_failed_rerun_withdraws_a_paper(spark):
-    df = spark.createDataFrame([(1, 1, 1, "view"), (1, 2, 2, "error"), (2, 1, 3, "error"), (2, 2, 4, "view")], "user_id long, t long, event_id long, event_type string").selectExpr("*", "timestamp_seconds(t) AS ts", "0.0 AS value")
-    assert rows(corpus.published(df, F.col("event_type") == "error").select("user_id", "event_id"), "user_id") == [(2, 4)]
-
-
-def test_job_states(spark, tmp_path):
-    late = 100_000
-    first = [(1, 3, 3, "completed", None), (1, 1, 1, "queued", None), (1, 2, 2, "running", None), (2, 4, 4, "running", None), (3, 5, 5, "queued", None), (3, 6, 6, "completed", None), (5, 7, 7, "queued", None), (5, 8, 8, "running", None)]
-    second = [(5, 9, 9, "completed", "a"), (5, 10, 10, "completed", "b"), (5, 11, 11, "failed", "a"), (1, 12, 12, "completed", "c"), (4, 13, late, "queued", None)]
-    schema = "job long, seq long, at timestamp, state string, paper string"
-    for part in (first, second):
-        df = spark.createDataFrame(part, schema.replace("timestamp", "long")).withColumn("at", F.timestamp_seconds("at"))
-        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "jobs"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "jobs"))
-    made = corpus.job_states(stream).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
-    assert made.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination(180)
-    got = {(r.job, r.seq): (r.state, r.problem) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert {k: v[1] for k, v in got.items() if v[1]} == {(2, 4): "illegal", (3, 6): "illegal", (5, 11): "duplicate_result", (1, 12): "not_running", (3, None): "interrupted", (5, None): "interrupted"}
-    assert got[1, 3] == ("completed", None) and got[5, 10] == ("running", None) and got[5, None] == ("failed", "interrupted")
