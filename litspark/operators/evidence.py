@@ -75,25 +75,54 @@ def semantic_issues(units: DataFrame, statements: DataFrame, links: DataFrame) -
     return u.unionByName(s)
 
 
-def apply_correction(units: DataFrame, corrections: DataFrame, keys: list[str], longer: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Units after keep, delete or replace; a replacement brings no new numbers and is hardly longer."""
-    from litspark.functions.numeric import digit_facts
-
-    met = units.join(corrections, keys, "left")
+def apply_correction(units: DataFrame, corrections: DataFrame, keys: list[str], longer: int = 16, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(units, violations) after keep, delete or replace, of which each unit has exactly one.
+
+    A replacement has no number that the claim lacks, is hardly longer, has no hedge that neither claim nor quote has, and
+    keeps at least half of the claim's characters in matching blocks; only pairs that the native rules leave are aligned.
+    """
+    from litspark.functions.numeric import numeric_facts
+    from litspark.functions.text import QUALIFIERS, char_overlap
+
+    once = corrections.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("action").alias("action"), F.first("replacement").alias("replacement"))
+    met = units.join(once, keys, "left")
+    replaces, new, claim = F.col("action") == "replace", F.coalesce("replacement", F.lit("")), F.coalesce("claim", F.lit(""))
+    hedges = F.array(*[F.lit(q) for q in QUALIFIERS])
+    added = F.exists(hedges, lambda q: F.contains(new, q) & ~F.contains(claim, q) & ~F.contains(F.coalesce("quote", F.lit("")), q))
     bad = (
-        F.when(F.col("action").isNull(), "missing")
-        .when((F.col("action") == "replace") & ~is_subset(digit_facts(F.col("replacement")), digit_facts(F.col("claim"))), "new_numbers")
-        .when((F.col("action") == "replace") & (F.length("replacement") > F.length("claim") + longer), "too_long")
+        F.when(F.col("__n").isNull(), "missing")
+        .when(F.col("__n") > 1, "repeated")
+        .when(~F.coalesce(F.col("action").isin("keep", "delete", "replace"), F.lit(False)), "unknown_action")
+        .when(replaces & (F.trim(new) == ""), "empty")
+        .when(replaces & ~is_subset(numeric_facts(new), numeric_facts(claim)), "new_numbers")
+        .when(replaces & (F.length(new) > F.length(claim) + longer), "too_long")
+        .when(replaces & added, "hedge_not_quoted")
     )
     met = met.withColumn("code", bad)
-    kept = met.filter("code IS NULL AND action <> 'delete'").select(*keys, F.when(F.col("action") == "replace", F.col("replacement")).otherwise(F.col("claim")).alias("claim"))
-    return kept, met.filter("code IS NOT NULL").select(*keys, "code")
+    aligned = met.filter("code IS NULL AND action = 'replace'").withColumn("code", F.when(char_overlap(claim, new) < least, "low_overlap"))
+    rest = met.filter("code IS NOT NULL OR action <> 'replace'")
+    kept = aligned.filter("code IS NULL").select(*keys, F.col("replacement").alias("claim")).unionByName(rest.filter("code IS NULL AND action = 'keep'").select(*keys, "claim"))
+    return kept, aligned.unionByName(rest).filter("code IS NOT NULL").select(*keys, "code")
+
+
+def fact_owner(facts: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(owners, delegated) of facts of tables that several units state.
 
+    facts: unit, header, row, column, fact, row_label; a fact is the same where the first four parts after unit are. units:
+    unit, claim. The owner is the unit whose claim ranks nothing, names the row, has the fewest facts to state, and is the
+    least, in this order. delegated are the facts of all other units, with the owner that states them.
+    """
+    from litspark.operators.contracts import RANKING
 
-def fact_owner(facts: DataFrame, fact: str, unit: str, score: list[str]) -> DataFrame:
-    """One owner of each repeated fact: the unit with the least score, part by part."""
-    df = facts.groupBy(fact).agg(F.count(F.lit(1)).alias("n"), F.min_by(unit, F.struct(*score, unit)).alias("owner"))
-    return df.filter("n > 1")
+    identity = ["header", "row", "column", "fact"]
+    whole = facts.filter("header <> '' AND row <> '' AND column >= 0 AND fact <> ''")
+    counts = facts.groupBy("unit").agg(F.count(F.lit(1)).alias("n_facts"))
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", "")
+    met = whole.join(units.select("unit", "claim"), "unit").join(counts, "unit")
+    score = F.struct(F.col("claim").rlike(RANKING).cast("int").alias("ranks"), (~F.contains(plain("claim"), plain("row_label"))).cast("int").alias("unnamed"), "n_facts", "unit")
+    owners = met.groupBy(*identity).agg(F.min(score)["unit"].alias("owner"), F.countDistinct("unit").alias("n_units")).filter("n_units > 1")
+    delegated = met.join(owners.drop("n_units"), identity).filter(F.col("unit") != F.col("owner")).select("unit", *identity, "owner").distinct()
+    return owners, delegated
 
 
 def match_labels(claims: DataFrame, labels: DataFrame, by: str, claim: str, label: str) -> DataFrame:
@@ -126,14 +155,26 @@ def canonical_candidates(statements: DataFrame, statement: str, field: str, evid
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"), F.min(evidence).alias("first_shared"))
 
 
-def split_cached(requests: DataFrame, cache: DataFrame, key: str, identity: list[str]) -> DataFrame:
-    """requests with ``status``: hit, miss, or stale if any part of the stored identity differs."""
-    c = cache.select(key, *[F.col(f).alias(f"__{f}") for f in identity], F.lit(True).alias("__stored"))
-    met = requests.join(c, key, "left")
-    same = F.lit(True)
-    for f in identity:
-        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
-    return met.select(*requests.columns, F.when(F.col("__stored").isNull(), "miss").when(same, "hit").otherwise("stale").alias("status"))
+def split_cached(requests: DataFrame, cache: DataFrame, runs: DataFrame, identity: list[str]) -> DataFrame:
+    """requests (run, key and identity) with status, source, distance and stale.
+
+    runs: run, parent. A request is a hit if its own run or one that it descends from has an entry of its key with all
+    parts of the identity equal, of which the nearest run is the source; stale if there are entries but none fits, with
+    the parts in which the nearest one differs; else a miss. Runs that descend from themselves have no parents.
+    """
+    from litspark.operators.trees import descendants, tree_paths
+
+    paths = tree_paths(runs.select("run", "parent"), [], "run", "parent").withColumn("path", F.coalesce("path", F.array("run")))
+    up = descendants(paths, [], "run").select("run", F.col("ancestor").alias("source"), "distance")
+    entries = cache.select(F.col("run").alias("source"), "key", *[F.col(f).alias(f"__{f}") for f in identity])
+    asked = requests.select("run", "key", *identity).distinct()
+    differs = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"__{f}")), F.lit(f)) for f in identity]))
+    met = asked.join(up, "run").join(entries, ["source", "key"]).withColumn("stale", differs)
+    best = met.groupBy("run", "key", *identity).agg(F.min(F.struct((F.size("stale") > 0).alias("unfit"), "distance", "source", "stale")).alias("best"))
+    same = [F.col(f"q.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("run", "key", *identity)]
+    out = requests.alias("q").join(best.alias("b"), same, "left")
+    status = F.when(F.col("best").isNull(), "miss").when(F.col("best.unfit"), "stale").otherwise("hit")
+    return out.select("q.*", status.alias("status"), F.col("best.source").alias("source"), F.col("best.distance").alias("distance"), F.array_join("best.stale", ",").alias("stale"))
 
 
 def correction_ledger(requests: DataFrame, key: str, source: str, status: str) -> DataFrame:

@@ -63,11 +63,22 @@ def q_job_ledger(t: Tables) -> DataFrame:
     return jobs.read_ledger(t.spark, table)
 
 
-@query("""SELECT doc_id, CASE WHEN c.h IS NULL THEN 'miss' WHEN c.lang = d.lang AND c.h = sha256(d.text) THEN 'hit' ELSE 'stale' END AS status FROM documents d LEFT JOIN (SELECT doc_id AS id, lang, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 3 > 0) c ON d.doc_id = c.id""")
+@query("""WITH RECURSIVE runs AS (SELECT r AS run, CASE WHEN r % 4 > 0 THEN r - 1 END AS parent FROM range(0, 10) t(r)),
+up AS (SELECT run, run AS source, 0 AS distance FROM runs UNION ALL SELECT up.run, parent, distance + 1 FROM up JOIN runs ON runs.run = up.source WHERE parent IS NOT NULL),
+q AS (SELECT doc_id, doc_id % 10 AS run, lang, sha256(text) AS hash FROM documents),
+c AS (SELECT doc_id, run - doc_id // 10 % 3 AS source, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE hash END AS hash FROM q WHERE doc_id % 6 <> 5
+  UNION ALL SELECT doc_id, run, lang, 'older' FROM q WHERE doc_id % 9 = 0),
+m AS (SELECT q.doc_id, up.source, up.distance, list_filter([CASE WHEN c.lang IS DISTINCT FROM q.lang THEN 'lang' END, CASE WHEN c.hash IS DISTINCT FROM q.hash THEN 'hash' END], lambda x: x IS NOT NULL) AS stale FROM q JOIN up ON up.run = q.run JOIN c ON c.doc_id = q.doc_id AND c.source = up.source),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(stale) > 0, distance, source, stale) AS n FROM m)
+SELECT q.doc_id, CASE WHEN b.doc_id IS NULL THEN 'miss' WHEN len(stale) > 0 THEN 'stale' ELSE 'hit' END AS status, source, CAST(distance AS INTEGER) AS distance, array_to_string(stale, ',') AS stale FROM q LEFT JOIN b ON b.doc_id = q.doc_id AND b.n = 1""")
 def q_cache_split(t: Tables) -> DataFrame:
-    now = t.documents.select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
-    stored = now.filter("doc_id % 3 > 0").withColumn("hash", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("hash")))
-    return ev.split_cached(now, stored, "doc_id", ["lang", "hash"]).select("doc_id", "status")
+    """Requests of ten runs in chains; entries lie in the run itself, its parent or grandparent, some of which it doesn't descend from."""
+    d = F.col("doc_id")
+    q = t.documents.select("doc_id", d.alias("key"), (d % 10).alias("run"), "lang", F.sha2("text", 256).alias("hash"))
+    runs = q.select("run").distinct().withColumn("parent", F.when(F.col("run") % 4 > 0, F.col("run") - 1))
+    kept = q.filter(d % 6 != 5).select("key", (F.col("run") - F.floor(d / 10) % 3).alias("run"), F.when(d % 7 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when(d % 4 == 0, "old").otherwise(F.col("hash")).alias("hash"))
+    cache = kept.unionByName(q.filter(d % 9 == 0).select("key", "run", "lang", F.lit("older").alias("hash")))
+    return ev.split_cached(q, cache, runs, ["lang", "hash"]).select("doc_id", "status", "source", "distance", "stale")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey - 1 END AS src, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'completed' END AS status FROM orders), f AS (SELECT src, count(*) AS n, bool_or(status = 'completed') AS ok FROM r WHERE src IS NOT NULL GROUP BY src)

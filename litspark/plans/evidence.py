@@ -63,18 +63,41 @@ def q_semantic_issues(t: Tables) -> DataFrame:
     return ev.semantic_issues(links.select("unit").distinct().filter("unit % 3 = 0"), links.select("statement").distinct().filter("statement % 4 = 0"), links)
 
 
-@query("""SELECT k, CASE WHEN k % 5 = 1 THEN p || ' revised' ELSE p END AS claim FROM (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders) WHERE k % 5 IN (0, 1)""")
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderpriority || ' revised' WHEN 6 THEN CASE WHEN o_orderkey % 16 = 6 THEN o_orderpriority || '可能' END END AS claim,
+CASE o_orderkey % 8 WHEN 2 THEN 'new_numbers' WHEN 3 THEN 'too_long' WHEN 5 THEN 'low_overlap' WHEN 6 THEN CASE WHEN o_orderkey % 16 <> 6 THEN 'hedge_not_quoted' END WHEN 7 THEN 'missing' END AS code FROM orders WHERE o_orderkey % 8 <> 4""")
 def q_apply_correction(t: Tables) -> DataFrame:
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
-    units = t.orders.select(k.alias("k"), p.alias("claim"))
-    fixed = F.when(k % 5 == 1, F.concat(p, F.lit(" revised"))).when(k % 5 == 2, F.lit("77 new")).when(k % 5 == 3, F.repeat(F.lit("long "), F.lit(20)))
-    corrections = t.orders.select(k.alias("k"), F.when(k % 5 == 0, "keep").when(k % 5 == 4, "delete").otherwise("replace").alias("action"), fixed.alias("replacement"))
-    return ev.apply_correction(units, corrections, ["k"])[0]
+    units = t.orders.select(k.alias("k"), p.alias("claim"), F.when(k % 16 == 6, "可能如此").otherwise("如此").alias("quote"))
+    m = k % 8
+    fixed = F.when(m == 1, F.concat(p, F.lit(" revised"))).when(m == 2, "77 new").when(m == 3, F.repeat(F.lit("long "), F.lit(20))).when(m == 5, "####").when(m == 6, F.concat(p, F.lit("可能")))
+    corrections = t.orders.filter(m < 7).select(k.alias("k"), F.when(m == 0, "keep").when(m == 4, "delete").otherwise("replace").alias("action"), fixed.alias("replacement"))
+    kept, bad = ev.apply_correction(units, corrections, ["k"])
+    return kept.withColumn("code", F.lit(None).cast("string")).unionByName(bad.withColumn("claim", F.lit(None).cast("string")))
 
 
-@query("SELECT l_partkey AS fact, count(*) AS n, arg_min(l_orderkey, (l_discount, l_tax, l_orderkey)) AS owner FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+FACTS = """f AS (SELECT l_orderkey AS unit, 'h' || l_partkey % 50 AS header, 'r' || l_suppkey % 10 AS row_id, l_linenumber % 3 AS col, CAST(CAST(l_quantity AS INT) % 5 AS VARCHAR) AS fact, 'row ' || l_suppkey % 10 AS label FROM lineitem),
+u AS (SELECT o_orderkey AS unit, 'row ' || o_custkey % 10 || CASE WHEN o_orderkey % 3 = 0 THEN ' 最高' ELSE '' END AS claim FROM orders),
+n AS (SELECT unit, count(*) AS n FROM f GROUP BY unit),
+m AS (SELECT f.*, CAST(regexp_matches(claim, '最高') AS INT) AS ranks, CAST(NOT contains(replace(claim, ' ', ''), replace(label, ' ', '')) AS INT) AS unnamed, n FROM f JOIN u USING (unit) JOIN n USING (unit)),
+o AS (SELECT header, row_id, col, fact, arg_min(unit, (ranks, unnamed, n, unit)) AS owner, count(DISTINCT unit) AS n_units FROM m GROUP BY ALL HAVING count(DISTINCT unit) > 1)"""
+
+
+def stated_facts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    s = F.col("l_suppkey") % 10
+    facts = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.concat(F.lit("h"), F.col("l_partkey") % 50).alias("header"), F.concat(F.lit("r"), s).alias("row"), (F.col("l_linenumber") % 3).alias("column"), (F.col("l_quantity").cast("int") % 5).cast("string").alias("fact"), F.concat(F.lit("row "), s).alias("row_label"))
+    claim = F.concat(F.lit("row "), F.col("o_custkey") % 10, F.when(F.col("o_orderkey") % 3 == 0, " 最高").otherwise(""))
+    return facts, t.orders.select(F.col("o_orderkey").alias("unit"), claim.alias("claim"))
+
+
+@query(f"WITH {FACTS} SELECT header, row_id, col, fact, owner, n_units FROM o")
 def q_fact_owner(t: Tables) -> DataFrame:
-    return ev.fact_owner(t.lineitem.withColumnRenamed("l_partkey", "fact"), "fact", "l_orderkey", ["l_discount", "l_tax"])
+    owners, _ = ev.fact_owner(*stated_facts(t))
+    return owners.withColumnsRenamed({"row": "row_id", "column": "col"})
+
+
+@query(f"WITH {FACTS} SELECT owner, count(*) AS n_delegated FROM (SELECT DISTINCT m.unit, header, row_id, col, fact, owner FROM m JOIN o USING (header, row_id, col, fact) WHERE m.unit <> owner) GROUP BY owner")
+def q_delegated_facts(t: Tables) -> DataFrame:
+    return ev.fact_owner(*stated_facts(t))[1].groupBy("owner").agg(F.count(F.lit(1)).alias("n_delegated"))
 
 
 @query()
