@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.functions.numeric import heading_family, leading_ordinal, normalize_heading
+from litspark.functions.numeric import family_of, leading_ordinal, normalize_heading
 
 #: Titles in lower case, and what titles contain or start with, by the part of a document that they open.
 CONTENTS = ["目录", "目次", "contents", "table of contents"]
@@ -65,8 +65,8 @@ def is_contents_entry(raw: Column, title: Column, family: Column, content: Colum
 def heading_features(headings: DataFrame, title: str, content: str | None) -> DataFrame:
     """headings with __title, __family, __path, __words (title without number), and what it opens before or after the body."""
     text = F.lower(normalize_heading(F.col(title)))
-    ordinal = leading_ordinal(text)
-    df = headings.withColumns({"__title": text, "__family": heading_family(F.col(title))["family"], "__number": ordinal["number"]})
+    df = headings.withColumns({"__title": text, "__ordinal": leading_ordinal(text)})
+    df = df.withColumns({"__family": family_of(F.col("__ordinal"))["family"], "__number": F.col("__ordinal.number")})
     path = F.when(F.col("__family").isin("arabic_main", "decimal_path"), F.transform(F.split("__number", r"\."), lambda x: x.cast("long")))
     words = F.regexp_replace(F.col("__title"), r"^第?\s*[0-9一二两三四五六七八九十百零]+(\.[0-9]+)*\s*章?\s*[.、):：\-]?\s*", "")
     df = df.withColumns({"__path": path, "__words": F.when(F.col("__family") == "plain", F.col("__title")).otherwise(words), "__front": front_area(F.col("__title")), "__tail": tail_area(F.col("__title"))})
