@@ -99,13 +99,17 @@ def derive_relation(themes: DataFrame, theme: str, paper: str, label: str) -> Da
     return df.select(theme, "n_papers", relation.alias("relation"), ((F.col("n_papers") > 1) & (F.col("given") == "single_source")).alias("violation"))
 
 
-def theme_limits(assigned: DataFrame, unassigned: DataFrame, key: str, theme: str, most: int) -> DataFrame:
-    """(key, code): in too many themes, twice in one, or both assigned and unassigned."""
+def theme_limits(assigned: DataFrame, unassigned: DataFrame, key: str, theme: str, most: int, items: DataFrame | None = None) -> DataFrame:
+    """(key, code): in too many themes, twice in one, both assigned and unassigned, or of ``items`` and neither."""
     pairs = assigned.groupBy(key, theme).agg(F.count(F.lit(1)).alias("n"))
     many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") > most).select(key, F.lit("too_many_themes").alias("code"))
     twice = pairs.filter("n > 1").select(key).distinct().withColumn("code", F.lit("repeated_in_theme"))
     both = assigned.select(key).distinct().join(unassigned.select(key).distinct(), key, "left_semi").withColumn("code", F.lit("assigned_and_unassigned"))
-    return many.unionByName(twice).unionByName(both)
+    out = many.unionByName(twice).unionByName(both)
+    if items is None:
+        return out
+    seen = assigned.select(key).unionByName(unassigned.select(key)).distinct()
+    return out.unionByName(items.select(key).distinct().join(seen, key, "left_anti").withColumn("code", F.lit("uncovered")))
 
 
 def sum_usage(runs: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -176,13 +180,6 @@ def pipeline_gate(papers: DataFrame, status: str, least: int = 2) -> DataFrame:
     return n.withColumn("outcome", F.when(F.col("failed") > 0, "stopped").when(F.col("included") < least, "too_few").otherwise("go"))
 
 
-def outline_derive(paragraphs: DataFrame, links: DataFrame) -> DataFrame:
-    """Per paragraph its number of units, papers and themes, and its role by them. paragraphs: paragraph, unit; links: unit, paper, theme."""
-    met = paragraphs.join(links, "unit", "left")
-    out = met.groupBy("paragraph").agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("paper").alias("n_papers"), F.countDistinct("theme").alias("n_themes"), F.count_if(F.col("paper").isNull()).alias("n_unplaced"))
-    return out.withColumn("role", F.when(F.col("n_unplaced") > 0, "gap").when(F.col("n_papers") > 1, "synthesis").otherwise("single_source"))
-
-
 def project_synthesis(evidence: DataFrame, key_points: DataFrame, unit: str) -> DataFrame:
     """evidence with ``is_key_point``."""
     return evidence.join(key_points.select(unit).distinct().withColumn("__key", F.lit(True)), unit, "left").withColumn("is_key_point", F.coalesce("__key", F.lit(False))).drop("__key")

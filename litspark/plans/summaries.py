@@ -90,11 +90,11 @@ def q_derive_relation(t: Tables) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT l_partkey AS unit, l_suppkey % 10 AS theme, count(*) AS n FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2), u AS (SELECT DISTINCT l_partkey AS unit FROM lineitem WHERE l_quantity < 3)
-SELECT unit, 'too_many_themes' AS code FROM p GROUP BY unit HAVING count(*) > 4 UNION ALL SELECT DISTINCT unit, 'repeated_in_theme' FROM p WHERE n > 1 UNION ALL SELECT DISTINCT unit, 'assigned_and_unassigned' FROM p WHERE unit IN (SELECT unit FROM u)""")
+SELECT unit, 'too_many_themes' AS code FROM p GROUP BY unit HAVING count(*) > 4 UNION ALL SELECT DISTINCT unit, 'repeated_in_theme' FROM p WHERE n > 1 UNION ALL SELECT DISTINCT unit, 'assigned_and_unassigned' FROM p WHERE unit IN (SELECT unit FROM u) UNION ALL SELECT p_partkey, 'uncovered' FROM part WHERE p_partkey NOT IN (SELECT unit FROM p) AND p_partkey NOT IN (SELECT unit FROM u)""")
 def q_theme_limits(t: Tables) -> DataFrame:
     unit = F.col("l_partkey").alias("unit")
     assigned = t.lineitem.filter("l_quantity > 40").select(unit, (F.col("l_suppkey") % 10).alias("theme"))
-    return au.theme_limits(assigned, t.lineitem.filter("l_quantity < 3").select(unit), "unit", "theme", 4)
+    return au.theme_limits(assigned, t.lineitem.filter("l_quantity < 3").select(unit), "unit", "theme", 4, t.part.select(F.col("p_partkey").alias("unit")))
 
 
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 0 ELSE event_id END) AS BIGINT) AS requests, CAST(sum(length(event_type)) AS BIGINT) AS tokens FROM events GROUP BY user_id")
