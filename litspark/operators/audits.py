@@ -29,19 +29,29 @@ def corpus_summary(runs: DataFrame, status: str, issues: str, keep: str) -> Data
     return runs.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(issues) > 0).alias("with_issues"), F.count_if((F.col(issues) == 0) & (F.col(status) == keep)).alias("publishable"), F.count_if(F.col(status) != keep).alias("failed"))
 
 
-def sample_stats(records: DataFrame, phase: str, stage: str, cost: str, good: str) -> DataFrame:
-    """Per phase: executed, succeeded, success rate and mean cost, 3 digits."""
+def sample_stats(records: DataFrame, phase: str, stage: str, durations: list[str], good: str) -> DataFrame:
+    """Per phase: executed, succeeded, success rate, and as maps the failures by stage and the mean of each duration that has one; 3 digits."""
     ok = F.count_if(F.col(stage) == good)
-    return records.groupBy(phase).agg(F.count(F.lit(1)).alias("executed"), ok.alias("succeeded"), F.round(ok / F.count(F.lit(1)), 3).alias("success_rate"), F.round(F.avg(cost), 3).alias("mean_cost"))
+    base = records.groupBy(phase).agg(F.count(F.lit(1)).alias("executed"), ok.alias("succeeded"), F.round(ok / F.count(F.lit(1)), 3).alias("success_rate"), *[F.round(F.avg(c), 3).alias(f"__{c}") for c in durations])
+    means = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in durations]), F.array(*[F.col(f"__{c}") for c in durations])), lambda _, v: v.isNotNull())
+    name = F.when(F.col(stage) == good, "none").otherwise(F.coalesce(F.col(stage), F.lit("unknown")))
+    each = records.groupBy(phase, name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    failures = each.groupBy(phase).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("failures"))  # one entry a stage
+    return base.withColumn("mean_durations", means).join(failures, phase).select(phase, "executed", "succeeded", "success_rate", "failures", "mean_durations")
 
 
-def build_findings(issues: DataFrame, code: str, paper: str, example: str, severity: dict[str, str], n: int = 3, salts: int = 16) -> DataFrame:
-    """Per code its count, papers and first examples, with its severity. Examples are picked in salted parts first."""
-    top = lambda d, *keys: d.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(example))).filter(F.col("__k") <= n)
-    few = top(top(issues.select(code, example).withColumn("__s", F.pmod(F.xxhash64(example), F.lit(salts))), code, "__s").drop("__k", "__s"), code)
-    examples = few.groupBy(code).agg(F.array_join(F.transform(F.array_sort(F.collect_list(example)), lambda x: x.cast("string")), ",").alias("examples"))  # n a code
+def build_findings(issues: DataFrame, code: str, paper: str, order: str, evidence: list[str], severity: dict[str, str], n: int = 3, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(findings, papers): per code its count, severity and first ``n`` rows as evidence; and the papers of each code, one row each.
+
+    Evidence is picked in salted parts first, so no task gets all rows of a code; rows without a paper count too.
+    """
+    top = lambda d, *keys: d.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__k") <= n)
+    few = issues.select(code, order, F.struct(*evidence).alias("__row")).withColumn("__s", F.pmod(F.xxhash64(order), F.lit(salts)))
+    few = top(top(few, code, "__s").drop("__k", "__s"), code)
+    rows = few.groupBy(code).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "__row"))), lambda x: x["__row"]).alias("evidence"))  # n a code
     level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in severity.items() for x in p]), F.col(code)), F.lit("info"))
-    return issues.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(paper).alias("n_papers")).join(examples, code).withColumn("severity", level)
+    counts = issues.groupBy(code).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(paper).alias("n_papers"))
+    return counts.join(rows, code).withColumn("severity", level), issues.filter(F.col(paper).isNotNull()).select(code, paper).distinct()
 
 
 def derive_issues(df: DataFrame, key: str, checks: list[tuple[str, Column]]) -> DataFrame:
@@ -55,14 +65,22 @@ def frequent_patterns(df: DataFrame, key: str, patterns: list[tuple[str, Column]
     return long.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"))
 
 
-def stop_reason(records: DataFrame, stage: str, kind: str, good: str, least_rate: float = 0.75, repeats: int = 3) -> DataFrame:
-    """One row: why a phase stops, null if it goes on: low success, else the first failure that repeats."""
-    total = records.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(stage) == good).alias("ok"))
-    failures = records.filter(F.col(stage) != good).groupBy(stage, kind).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= repeats)
-    worst = failures.agg(F.min(F.concat_ws(":", F.lit("repeated_failure"), stage, kind)).alias("worst"))
-    both = total.crossJoin(F.broadcast(worst))  # one row each
-    rate = F.col("ok") / F.col("total")
-    return both.select(F.when(rate < least_rate, F.concat(F.lit("success_rate_below_threshold:"), F.format_number(rate, 2))).otherwise(F.col("worst")).alias("reason"))
+def stop_reason(records: DataFrame, phase: str, order: str, stage: str, kind: str, good: str, checks: list[tuple[str, Column]], preflight: str = "preflight", least_rate: float = 0.75, repeats: int = 3) -> DataFrame:
+    """(phase, reason): why a phase stops, null if it goes on.
+
+    A preflight stops at any record that isn't good. Another phase stops if too few are good; else at the failure (stage
+    and kind) that repeats and was seen first; else at the first of ``checks`` (code, whether a record blocks by it) that
+    blocks as often.
+    """
+    bad = ~F.coalesce(F.col(stage) == good, F.lit(False))
+    counts = records.groupBy(phase).agg(F.count(F.lit(1)).alias("__n"), F.count_if(~bad).alias("__ok"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"__c{i}") for i, (_, c) in enumerate(checks)])
+    failures = records.filter(bad & F.col(kind).isNotNull()).groupBy(phase, stage, kind).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter(F.col("n") >= repeats)
+    first = failures.groupBy(phase).agg(F.min_by(F.concat_ws(":", F.lit("repeated_failure"), stage, kind), F.struct("first", stage, kind)).alias("__repeated"))
+    rate = F.col("__ok") / F.col("__n")
+    blocking = F.coalesce(*[F.when(F.col(f"__c{i}") >= repeats, F.lit(f"blocking_check:{code}")) for i, (code, _) in enumerate(checks)], F.lit(None).cast("string"))
+    low = F.when(rate < least_rate, F.concat(F.lit("success_rate_below_threshold:"), F.format_number(rate, 2)))
+    reason = F.when(F.col(phase) == preflight, F.when(F.col("__ok") < F.col("__n"), "preflight_failed")).otherwise(F.coalesce(low, F.col("__repeated"), blocking))
+    return counts.join(first, phase, "left").select(phase, reason.alias("reason"))
 
 
 def bucket_size(size: Column) -> Column:

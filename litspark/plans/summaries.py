@@ -37,15 +37,31 @@ def q_corpus_summary(t: Tables) -> DataFrame:
     return au.corpus_summary(t.orders.withColumn("issues", F.col("o_custkey") % 7), "o_orderstatus", "issues", "F")
 
 
-@query("SELECT user_id % 5 AS phase, count(*) AS executed, count(*) FILTER (event_type = 'purchase') AS succeeded, round(count(*) FILTER (event_type = 'purchase') / count(*), 3) AS success_rate, round(avg(value), 3) AS mean_cost FROM events GROUP BY 1")
+@query("""WITH e AS (SELECT user_id % 5 AS phase, event_type AS stage, value AS convert, CASE WHEN user_id % 5 <> 2 THEN event_id % 100 END AS parse FROM events),
+f AS (SELECT phase, string_agg(name || '=' || n, ',' ORDER BY name) AS failures FROM (SELECT phase, CASE WHEN stage = 'purchase' THEN 'none' ELSE stage END AS name, count(*) AS n FROM e GROUP BY ALL) GROUP BY phase)
+SELECT phase, count(*) AS executed, count(*) FILTER (stage = 'purchase') AS succeeded, round(count(*) FILTER (stage = 'purchase') / count(*), 3) AS success_rate, any_value(failures) AS failures, round(avg(convert), 3) AS convert_mean, round(avg(parse), 3) AS parse_mean FROM e JOIN f USING (phase) GROUP BY phase""")
 def q_sample_stats(t: Tables) -> DataFrame:
-    return au.sample_stats(t.events.withColumn("phase", F.col("user_id") % 5), "phase", "event_type", "value", "purchase")
+    phase = F.col("user_id") % 5
+    records = t.events.select(phase.alias("phase"), "event_type", F.col("value").alias("convert"), F.when(phase != 2, (F.col("event_id") % 100).cast("double")).alias("parse"))
+    out = au.sample_stats(records, "phase", "event_type", ["convert", "parse"], "purchase")
+    listed = F.array_join(F.transform(F.map_entries("failures"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return out.select("phase", "executed", "succeeded", "success_rate", listed.alias("failures"), F.try_element_at("mean_durations", F.lit("convert")).alias("convert_mean"), F.try_element_at("mean_durations", F.lit("parse")).alias("parse_mean"))
 
 
 @query("""WITH r AS (SELECT event_type AS code, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
-SELECT code, count(*) AS n, count(DISTINCT user_id) AS n_papers, string_agg(CASE WHEN k <= 3 THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id) AS examples, CASE code WHEN 'error' THEN 'high' WHEN 'view' THEN 'low' ELSE 'info' END AS severity FROM r GROUP BY code""")
+SELECT code, count(*) AS n, count(DISTINCT user_id) AS n_papers, string_agg(CASE WHEN k <= 3 THEN event_id || ':' || user_id END, ',' ORDER BY event_id) AS evidence, CASE code WHEN 'error' THEN 'high' WHEN 'view' THEN 'low' ELSE 'info' END AS severity FROM r GROUP BY code""")
 def q_findings(t: Tables) -> DataFrame:
-    return au.build_findings(t.events.select(F.col("event_type").alias("code"), "event_id", "user_id"), "code", "user_id", "event_id", {"error": "high", "view": "low"})
+    rows = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["event_id"], x["user_id"])), ",")
+    return findings(t)[0].select("code", "n", "n_papers", rows.alias("evidence"), "severity")
+
+
+def findings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return au.build_findings(t.events.withColumnRenamed("event_type", "code"), "code", "user_id", "event_id", ["event_id", "user_id"], {"error": "high", "view": "low"})
+
+
+@query("SELECT DISTINCT event_type AS code, user_id FROM events")
+def q_finding_papers(t: Tables) -> DataFrame:
+    return findings(t)[1]
 
 
 @query("""SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN l_quantity > 45 THEN 'too_long' END, CASE WHEN l_discount > 0.08 THEN 'low_confidence' END, CASE WHEN l_returnflag = 'R' THEN 'withdrawn' END], lambda x: x IS NOT NULL)) AS code FROM lineitem) GROUP BY code""")
@@ -59,9 +75,18 @@ def q_patterns(t: Tables) -> DataFrame:
     return au.frequent_patterns(t.orders, "o_orderkey", [("expensive", F.col("o_totalprice") > 200000), ("open", F.col("o_orderstatus") == "O"), ("third", F.col("o_custkey") % 3 == 0)])
 
 
-@query("""WITH t AS (SELECT count(*) FILTER (event_type = 'purchase') / count(*) AS r FROM events) SELECT CASE WHEN r < 0.75 THEN 'success_rate_below_threshold:' || printf('%.2f', r) ELSE (SELECT min('repeated_failure:' || event_type || ':' || k) FROM (SELECT event_type, user_id % 3 AS k, count(*) AS n FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2) WHERE n >= 3) END AS reason FROM t""")
+@query("""WITH e AS (SELECT user_id % 6 AS p, *, CASE WHEN user_id % 6 IN (1, 2, 3, 4) AND event_id % 5 > 0 OR user_id % 6 IN (0, 4) AND user_id % 12 < 6 AND user_id < 60 THEN 'summarized' ELSE event_type END AS stage, CASE WHEN user_id % 6 = 2 THEN event_id % 900 ELSE user_id % 3 END AS kind FROM events WHERE user_id % 6 < 5),
+x AS (SELECT *, CASE p WHEN 0 THEN 'preflight' WHEN 4 THEN 'preflight' ELSE 'pilot ' || p END AS phase FROM e),
+f AS (SELECT phase, 'repeated_failure:' || stage || ':' || kind AS r, count(*) AS n, min(event_id) AS first, stage, kind FROM x WHERE stage <> 'summarized' GROUP BY phase, stage, kind HAVING count(*) >= 40),
+g AS (SELECT phase, arg_min(r, (first, stage, kind)) AS r FROM f GROUP BY phase),
+c AS (SELECT phase, count(*) AS n, count(*) FILTER (stage = 'summarized') AS ok, count(*) FILTER (value > 1e9) AS c0, count(*) FILTER (value > 50) AS c1 FROM x GROUP BY phase)
+SELECT c.phase, CASE WHEN c.phase = 'preflight' THEN CASE WHEN ok < n THEN 'preflight_failed' END WHEN ok / n < 0.75 THEN 'success_rate_below_threshold:' || printf('%.2f', ok / n) WHEN g.r IS NOT NULL THEN g.r WHEN c0 >= 40 THEN 'blocking_check:huge' WHEN c1 >= 40 THEN 'blocking_check:large' END AS reason FROM c LEFT JOIN g ON g.phase = c.phase""")
 def q_stop_reason(t: Tables) -> DataFrame:
-    return au.stop_reason(t.events.withColumn("kind", F.col("user_id") % 3), "event_type", "kind", "purchase")
+    u, p = F.col("user_id"), F.col("user_id") % 6
+    good = (p.isin(1, 2, 3, 4) & (F.col("event_id") % 5 > 0)) | (p.isin(0, 4) & (u % 12 < 6) & (u < 60))
+    phase = F.when(p.isin(0, 4), "preflight").otherwise(F.concat(F.lit("pilot "), p.cast("string")))
+    records = t.events.filter(p < 5).select("event_id", "value", phase.alias("phase"), F.when(good, "summarized").otherwise(F.col("event_type")).alias("stage"), F.when(p == 2, F.col("event_id") % 900).otherwise(u % 3).alias("kind"))
+    return au.stop_reason(records, "phase", "event_id", "stage", "kind", "summarized", [("huge", F.col("value") > 1e9), ("large", F.col("value") > 50)], repeats=40)
 
 
 @query("""WITH k AS (SELECT p_partkey, lower(trim(regexp_replace(trim(p_name || '_' || (p_partkey % 3)), '_[0-9]+$', ''))) AS duplicate_key FROM part) SELECT p_partkey, duplicate_key, count(*) OVER (PARTITION BY duplicate_key) AS n_same, count(*) OVER (PARTITION BY duplicate_key) > 1 AS is_duplicate FROM k""")

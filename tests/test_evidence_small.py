@@ -76,3 +76,13 @@ def test_pieces_of_long_lines_join_again(spark):
     for i, t in lines:
         pieces = [p for _, p in sorted(got.get(i, []))]
         assert "".join(pieces) == t and all(len(p) <= 60 for p in pieces)
+
+
+def test_stop_rules_in_order(spark):
+    rows = [("preflight", i, "done" if i else "parse", "x", False) for i in range(3)]
+    rows += [("low", i, "done" if i < 7 else "parse", "x", False) for i in range(10)]
+    rows += [("repeats", i, "done", None, True) for i in range(20)] + [("repeats", 30 + i, s, k, False) for i, (s, k) in enumerate([("parse", "late"), ("convert", "b"), ("convert", "b"), ("parse", "late")])]
+    rows += [("blocks", i, "done", None, i < 3) for i in range(9)] + [("fine", 1, "done", None, True)]
+    df = spark.createDataFrame(rows, "phase string, n int, stage string, kind string, blocks boolean")
+    got = dict(map(tuple, audits.stop_reason(df, "phase", "n", "stage", "kind", "done", [("never", F.lit(False)), ("depends", F.col("blocks"))], repeats=2).collect()))
+    assert got == {"preflight": "preflight_failed", "low": "success_rate_below_threshold:0.70", "repeats": "repeated_failure:parse:late", "blocks": "blocking_check:depends", "fine": None}
