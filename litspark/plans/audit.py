@@ -95,6 +95,7 @@ def q_select_replay(t: Tables) -> DataFrame:
     return ev.select_replay(batches, wanted, "id")
 
 
-@query("""SELECT o_custkey AS paper, count(*) AS n_cards FROM orders GROUP BY 1""")
+@query("""WITH c AS (SELECT o_custkey AS paper, sha256(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) || chr(31) || o_orderkey || chr(31) || o_orderstatus) AS h FROM orders)
+SELECT paper, count(*) AS n_cards, sha256(string_agg(h, '' ORDER BY h)) AS snapshot FROM c GROUP BY paper""")
 def q_snapshot(t: Tables) -> DataFrame:
-    return au.snapshot(t.orders, "o_custkey", "o_orderkey", ["o_orderkey", "o_totalprice"]).select(F.col("o_custkey").alias("paper"), "n_cards")
+    return au.snapshot(t.orders.withColumnRenamed("o_custkey", "paper"), "paper", "o_orderkey", ["o_orderkey", "o_orderstatus"])
