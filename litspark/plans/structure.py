@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import numeric
 from litspark.functions.text import title_similarity_native
-from litspark.operators import bib, body, cards
+from litspark.operators import bib, body, cards, segments
 from litspark.operators import structure as st
 from litspark.plans.joins import SECTIONS, sections
 from litspark.plans.query import V_LINE, V_MD, V_RUN, Tables, query
@@ -346,6 +346,17 @@ def q_own_quotes(t: Tables) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_violations"))
 
 
+BUNDLES = ["# Deep Rivers of the North", "# Deep Rivers", "# Deep Rivers of North", "## Deep Rivers of the North", "# 学位论文原创性声明", "# 第一章 绪论", "# Other matters", "### Deep River of the North", "plain text", "# Unrelated Paper"]
+
+
+@query()
+def q_bundles(t: Tables) -> DataFrame:
+    """The part of each conversation, read as a bundled file, that is the expected paper; tests hold it against plain Python."""
+    names = F.array(*[F.lit(x) for x in BUNDLES])
+    lines = t.conversations.select("conv_id", "turn", F.get(names, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(BUNDLES))).cast("int")).alias("text"))
+    return segments.select_segments(lines, lines.select("conv_id").distinct().withColumn("title", F.lit("Deep Rivers of the North")), "conv_id", "turn", "text")
+
+
 @query("SELECT doc_id, text_hash FROM (SELECT doc_id, sha256(text) AS text_hash FROM documents) ORDER BY doc_id")
 def q_project_card(t: Tables) -> DataFrame:
     df = cards.project_cards(t.documents.join(t.labels, "doc_id", "left"), ["doc_id"], {"title": ["lang", "source"]}, {"flags": ["lang", "source"]}, {"text": "text"})
