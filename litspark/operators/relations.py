@@ -79,7 +79,7 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, quote: str, text: str) -> D
     """
     inner = F.regexp_extract(F.col(quote), r"(?s)^\S+\s+(.*)\s+\S+$", 1)
     named = quotes.withColumn("__word", longest_word(inner)).filter(F.col(quote).isNotNull())
-    keyed = texts.filter(F.col(text).isNotNull()).withColumn("__t", F.sha2(text, 256))
+    keyed = texts.filter(F.col(text).isNotNull()).withColumn("__t", F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
     bodies = keyed.select("__t", F.col(text).alias("__text")).dropDuplicates(["__t"])
     asked = named.select(F.col(quote).alias("__quote"), "__word").distinct()
 
