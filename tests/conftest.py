@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC"}
-    s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    s = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

@@ -82,12 +82,11 @@ def test_drawn_titles_against_the_machine(spark):
     r = random.Random(11)
     rows = [(d, n, r.choice(TITLES), r.choice(["", "prose of a section", "1.2 3 4-5"])) for d in range(250) for n in range(r.randrange(1, 14))]
     df = spark.createDataFrame(rows, "doc int, n int, title string, content string")
-    for journal in (False, True):
-        got = {}
-        for x in body.lock_body(df, "doc", "n", "title", "content", F.lit(True) if journal else None).collect():
-            got.setdefault(x.doc, []).append((x.n, x.area, x.role, x.reason))
-        for doc, rows_of in features(df).items():
-            assert [x[1:] for x in sorted(got[doc])] == machine(rows_of, journal), [x for x in rows if x[0] == doc]
+    got = {}
+    for x in body.lock_body(df, "doc", "n", "title", "content", F.col("doc") % 2 == 1).collect():
+        got.setdefault(x.doc, []).append((x.n, x.area, x.role, x.reason))
+    for doc, rows_of in features(df).items():
+        assert [x[1:] for x in sorted(got[doc])] == machine(rows_of, doc % 2 == 1), [x for x in rows if x[0] == doc]
 
 
 def test_thesis_and_journal(spark):

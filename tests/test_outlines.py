@@ -24,13 +24,14 @@ def test_sums_over_all_below(spark):
             mine = walk(d, n)
             first = order.index(n) + 1
             want[d, n] = (first, first + len(mine) - 1, sum(p == n for p in nodes[d].values()), len(mine), sum(low[d, x] for x in mine))
-    got = {(x.doc, x.node): (x.first, x.last, x.child_count, x.n_nodes, x.n_low) for x in outlines.build_outline(df, "doc").collect()}
+    outline = outlines.build_outline(df, "doc").cache()
+    got = {(x.doc, x.node): (x.first, x.last, x.child_count, x.n_nodes, x.n_low) for x in outline.collect()}
     assert {k: v for k, v in got.items() if k[0] != 9} == want
     assert got[9, 1] == (None, None, 1, None, None) and got[9, 3] == (1, 1, 0, 1, 0)
-    notes = outlines.review_notes(outlines.build_outline(df, "doc"), "doc", 2).collect()
+    notes = outlines.review_notes(outline, "doc", 2).collect()
     assert sorted(x.node for x in notes if x.kind == "watchlist" and x.doc == 1) == sorted(n for d, n in low if d == 1 and low[d, n])
     assert max(x.place for x in notes if x.kind == "subsection") == 2
-    stats = {x.doc: x for x in outlines.outline_stats(outlines.build_outline(df, "doc"), "doc").collect()}
+    stats = {x.doc: x for x in outlines.outline_stats(outline, "doc").collect()}
     assert stats[2].n_nodes == 60 and sum(stats[2].role_counts.values()) == 60 and stats[9].role_counts[""] == 1
     assert outlines.build_outline(df.limit(0), "doc").count() == 0
 

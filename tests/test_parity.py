@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows at the smallest scale; every other one runs."""
 
 import decimal
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -27,11 +28,23 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def results(spark, request):
+    """Columns and rows of all chosen queries, which run side by side, since most of their time is planning."""
+
+    def run(name):
+        df = registry.queries()[name](spark, SF)
+        cols = sorted(df.columns)
+        return cols, sorted(tuple(map(norm, r)) for r in df.select(*cols).collect())
+
+    names = [i.callspec.params["name"] for i in request.session.items if i.module is request.module]
+    with ThreadPoolExecutor(8) as pool:
+        return {name: pool.submit(run, name) for name in names}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
-    cols = sorted(df.columns)
-    got = sorted(tuple(map(norm, r)) for r in df.select(*cols).collect())
+def test_query(results, duck, name):
+    cols, got = results[name].result()
     if sql := registry.oracle_sql().get(name):
         r = duck.sql(sql)
         at = [r.columns.index(c) for c in cols]

@@ -72,7 +72,7 @@ def brute_plan(cards, sections, budget, deepest=3):
     return sorted(([c[0] for c in g], m) for g, m in out)
 
 
-@pytest.mark.parametrize("budget", [planning.Budget(100, 10, 5, 3, 2), planning.Budget(60, 0, 0, 0, 0, cards_most=3), planning.Budget(400, answer_per_card=10, answer_most=45), planning.Budget(40)])
+@pytest.mark.parametrize("budget", [planning.Budget(100, 10, 5, 3, 2), planning.Budget(60, 0, 0, 0, 0, cards_most=3), planning.Budget(400, answer_per_card=10, answer_most=45)])
 def test_plans_against_recursion(spark, budget):
     papers, rows, tree = {}, [], []
     for k in range(12):

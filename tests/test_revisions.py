@@ -28,8 +28,7 @@ def test_revision_releases_evidence(spark):
     want = {"1": "used", "2": "redundant", "3": "excluded", "4": "used", "5": "used", "6": "excluded", "7": "peripheral"}
     assert {x.unit: x.disposition for x in final.collect()} == want
     wrong = spark.createDataFrame([("2", "used", "supports_claim"), ("2", "redundant", "duplicate_support"), ("1", "excluded", "off_topic")], DISPOSITION)
-    assert ("released_missing", "3") in found(rv.apply_revision(statements, blocked, revisions, evidence, old, wrong)[2])
-    assert {("released_repeated", "2"), ("released_unknown", "1")} <= set(found(rv.apply_revision(statements, blocked, revisions, evidence, old, wrong)[2]))
+    assert {("released_missing", "3"), ("released_repeated", "2"), ("released_unknown", "1")} <= set(found(rv.apply_revision(statements, blocked, revisions, evidence, old, wrong)[2]))
 
 
 def test_rules_of_statement_revisions(spark):
