@@ -35,8 +35,10 @@ def outline_violations(units: DataFrame, unit_themes: DataFrame, unit_evidence:
         ("gap_has_evidence", gap & (F.col("n_evidence") > 0)), ("gap_without_gaps", gap & (F.col("n_gaps") == 0)), ("evidence_missing", ~gap & (F.col("n_evidence") == 0)),
         ("gaps_of_no_gap", ~gap & (F.col("n_gaps") > 0)), ("several_papers", (F.col("kind") == SINGLE) & (F.col("n_papers") > 1)),
     ])
-    allowed = unit_themes.join(theme_evidence, "theme").select("unit", "evidence").distinct()
-    outside = unit_evidence.distinct().join(allowed, ["unit", "evidence"], "left_anti").select("unit").distinct()
+    # a unit's own evidence is looked up by theme; what its themes allow is never listed, as it grows with units times evidence
+    own = unit_evidence.distinct()
+    allowed = own.join(unit_themes, "unit").join(theme_evidence.distinct(), ["theme", "evidence"], "left_semi").select("unit", "evidence").distinct()
+    outside = own.join(allowed, ["unit", "evidence"], "left_anti").select("unit").distinct()
     unknown = placed.join(units.select("unit"), "unit", "left_anti").select("unit").distinct()
     no_unit = themes.join(unit_themes.join(units.select("unit"), "unit", "left_semi").select("theme").distinct(), "theme", "left_anti")
     no_section = themes.join(placed.join(unit_themes, "unit").select("theme").distinct(), "theme", "left_anti")
