@@ -79,10 +79,13 @@ def apply_correction(units: DataFrame, corrections: DataFrame, keys: list[str],
     """(units, violations) after keep, delete or replace, of which each unit has exactly one.
 
     A replacement has no number that the claim lacks, is hardly longer, has no hedge that neither claim nor quote has, and
-    keeps at least half of the claim's characters in matching blocks; only pairs that the native rules leave are aligned.
+    keeps at least half of the claim's characters in matching blocks. A replacement that holds the whole claim keeps all of
+    them, and one that has too few of its characters anywhere keeps too few in blocks; only the rest is aligned, each
+    pair once. Pairs without digits have no numbers to compare.
     """
     from litspark.functions.numeric import numeric_facts
     from litspark.functions.text import QUALIFIERS, char_overlap
+    from litspark.operators.trees import written
 
     once = corrections.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first("action").alias("action"), F.first("replacement").alias("replacement"))
     met = units.join(once, keys, "left")
@@ -94,15 +97,23 @@ def apply_correction(units: DataFrame, corrections: DataFrame, keys: list[str],
         .when(F.col("__n") > 1, "repeated")
         .when(~F.coalesce(F.col("action").isin("keep", "delete", "replace"), F.lit(False)), "unknown_action")
         .when(replaces & (F.trim(new) == ""), "empty")
-        .when(replaces & ~is_subset(numeric_facts(new), numeric_facts(claim)), "new_numbers")
+        .when(replaces & new.rlike("[0-9]") & ~is_subset(numeric_facts(new), numeric_facts(claim)), "new_numbers")
         .when(replaces & (F.length(new) > F.length(claim) + longer), "too_long")
         .when(replaces & added, "hedge_not_quoted")
     )
-    met = met.withColumn("code", bad)
-    aligned = met.filter("code IS NULL AND action = 'replace'").withColumn("code", F.when(char_overlap(claim, new) < least, "low_overlap"))
-    rest = met.filter("code IS NOT NULL OR action <> 'replace'")
-    kept = aligned.filter("code IS NULL").select(*keys, F.col("replacement").alias("claim")).unionByName(rest.filter("code IS NULL AND action = 'keep'").select(*keys, "claim"))
-    return kept, aligned.unionByName(rest).filter("code IS NOT NULL").select(*keys, "code")
+    shared = F.length(claim) - F.length(F.call_function("translate", claim, new, F.lit("")))
+    sure = F.contains(new, claim) & (claim != "")
+    left = F.col("code").isNull() & replaces
+    judged = written(met.select(*keys, "action", "claim", "replacement", bad.alias("code")), "judged")
+    judged = judged.withColumn("code", F.when(left & ~sure & (shared < least * F.length(claim)), "low_overlap").otherwise(F.col("code")))
+    asked = judged.filter(left & ~sure).withColumns({"__claim": claim, "__new": new})
+    pairs = written(asked.select("__claim", "__new").distinct(), "pairs")  # else the filter would be pushed below distinct
+    low = pairs.filter(char_overlap(F.col("__claim"), F.col("__new")) < least).withColumn("__low", F.lit(True))
+    aligned = asked.join(low, ["__claim", "__new"], "left").withColumn("code", F.when(F.col("__low"), "low_overlap"))
+    met = judged.filter(~F.coalesce(left & ~sure, F.lit(False))).unionByName(aligned.select(judged.columns))
+    met = written(met, "corrected")
+    kept = met.filter("code IS NULL AND action IN ('keep', 'replace')").select(*keys, F.when(replaces, F.col("replacement")).otherwise(F.col("claim")).alias("claim"))
+    return kept, met.filter("code IS NOT NULL").select(*keys, "code")
 
 
 def fact_owner(facts: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:

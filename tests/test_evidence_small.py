@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from litspark.functions import text
@@ -12,6 +13,10 @@ def found(df):
     return sorted((tuple(x) for x in df.collect()), key=str)
 
 
+def found_rows(rows):
+    return sorted(rows, key=str)
+
+
 def test_corrections(spark):
     units = spark.createDataFrame([(i, "成本下降5%，趋势明显", "成本可能下降5%") for i in range(9)], "k int, claim string, quote string")
     given = [(0, "keep", None), (1, "replace", "成本下降5%"), (2, "replace", "成本下降6%"), (3, "replace", "成本下降5%，趋势明显" + "很" * 17), (4, "replace", "成本可能下降5%"), (5, "replace", "成本预计下降5%"), (6, "replace", "完全不同的说法"), (7, "shorten", "x"), (7, "keep", None)]
@@ -20,6 +25,25 @@ def test_corrections(spark):
     assert found(kept) == [(0, "成本下降5%，趋势明显"), (1, "成本下降5%"), (4, "成本可能下降5%")]
 
 
+def test_corrections_align_each_pair_once(spark, monkeypatch):
+    """Replacements that hold the claim, or share too few characters with it, aren't aligned; before, each row was, twice."""
+    seen, plain = spark.sparkContext.accumulator(0), text.char_overlap.func
+
+    @F.pandas_udf("double")
+    def counted(a, b):
+        seen.add(len(a))
+        return plain(a, b)
+
+    monkeypatch.setattr(text, "char_overlap", counted)
+    rows = [(i, *[("abcdef", "abcdef new"), ("abcdef", "xyz"), ("abcdef", "fedcba"), ("abcdef", "abc xyz"), ("", "abc"), (None, "abc")][i % 6]) for i in range(600)]
+    units = spark.createDataFrame([(i, a, None) for i, a, _ in rows], "k int, claim string, quote string")
+    kept, bad = evidence.apply_correction(units, spark.createDataFrame([(i, "replace", b) for i, _, b in rows], "k int, action string, replacement string"), ["k"])
+    good = {i: a is not None and a != "" and plain(pd.Series([a]), pd.Series([b]))[0] >= 0.5 for i, a, b in rows}
+    assert found(bad) == found_rows((i, "low_overlap") for i in good if not good[i])
+    assert found(kept) == found_rows((i, b) for i, _, b in rows if good[i])
+    assert seen.value == 3
+
+
 def test_owners_of_facts(spark):
     facts = [(1, "h", "r", 0, "5%", "甲"), (2, "h", "r", 0, "5%", "甲"), (3, "h", "r", 0, "5%", "甲"), (3, "h", "r", 1, "6%", "甲"), (4, "h", "r", 0, "5%", "甲"), (5, "h", "r", 2, "5%", "甲"), (6, "", "r", 0, "5%", "甲"), (7, "", "r", 0, "5%", "甲")]
     units = [(1, "甲 最高 5%"), (2, "无 5%"), (3, "甲 为 5%"), (4, "（甲）为 5%"), (5, "甲"), (6, "甲"), (7, "甲")]
