@@ -15,8 +15,10 @@ def rebuild_corpus(runs: DataFrame, cards: DataFrame, paper: str, generation: st
     """Cards of papers all of whose cards belong to the paper's run, and the stale papers, which are left out as a whole."""
     current = runs.select(paper, F.col(generation).alias("__current"))
     met = cards.join(current, paper)
-    stale = met.filter(~F.col(generation).eqNullSafe(F.col("__current"))).select(paper).distinct()
-    return met.join(stale, paper, "left_anti").drop("__current"), stale
+    # the join has sorted the cards by paper: a window needs no second copy of them, nor another sort
+    other = F.max(~F.col(generation).eqNullSafe(F.col("__current"))).over(Window.partitionBy(paper))
+    met = met.withColumn("__stale", other)
+    return met.filter("NOT __stale").drop("__current", "__stale"), met.filter("__stale").select(paper).distinct()
 
 
 def cover_lines(lines: DataFrame, regions: DataFrame, by: str, number: str) -> DataFrame:

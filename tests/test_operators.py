@@ -29,6 +29,13 @@ def test_stale_papers_leave_as_a_whole(spark):
     assert rows(kept.select("paper", "card"), "paper") == [("q", 1)] and rows(stale, "paper") == [("p",)]
 
 
+def test_stale_papers_are_found_without_a_second_copy_of_cards(spark):
+    """Cards were joined twice, so that a task sorted them twice at a time."""
+    cards = spark.range(9).selectExpr("id AS paper", "id % 2 AS gen")
+    kept, _ = relations.rebuild_corpus(cards.filter("paper > 3"), cards, "paper", "gen")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_packing(spark):
     sizes = [500, 500, 300, 900, 150, 1300, 100]
     blocks = spark.createDataFrame([("d", i, chr(97 + i) * n) for i, n in enumerate(sizes)], "doc string, o int, t string")
