@@ -30,10 +30,12 @@ def faults(df: DataFrame, item: str, rules: list[tuple[str, Column]]) -> DataFra
 
 def answered_once(asked: DataFrame, given: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(ids that are asked for and given once, violations missing, unknown and repeated)."""
-    times = given.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    met = asked.select(key).distinct().withColumn("asked", F.lit(True)).join(times, key, "full_outer")
-    bad = faults(met, key, [("missing", F.col("n").isNull()), ("unknown", F.col("asked").isNull()), ("repeated", F.col("asked") & (F.col("n") > 1))])
-    return met.filter("asked AND n = 1").select(key), bad
+    n = lambda asked, given: [F.lit(asked).cast("long").alias("asked"), F.lit(given).cast("long").alias("n")]
+    met = asked.select(key, *n(1, 0)).unionByName(given.select(key, *n(0, 1))).groupBy(key).agg(F.sum("asked").alias("asked"), F.sum("n").alias("n"))
+    null, times = F.col(key).isNull(), F.col("n")  # a null id answers nothing
+    known = F.col("asked") > 0
+    bad = faults(met, key, [("missing", known & ((times == 0) | null)), ("unknown", (times > 0) & (~known | null)), ("repeated", known & (times > 1) & ~null)])
+    return met.filter(known & (times == 1) & ~null).select(key), bad
 
 
 def reason_fits(disposition: Column, reason: Column) -> Column:
@@ -51,15 +53,21 @@ def finalize_dispositions(refs: DataFrame, evidence: DataFrame, given: DataFrame
 
     Codes: missing, unknown, repeated; reason_not_allowed; classified_though_used; used_but_not_cited.
     """
-    used = refs.select("unit").distinct().join(evidence.select("unit"), "unit", "left_semi")
-    free = evidence.select("unit").distinct().join(used, "unit", "left_anti")
-    both = given.join(used, "unit", "left_semi").select("unit").distinct()
-    once, bad = answered_once(free, given.join(used, "unit", "left_anti"), "unit")
-    rows = given.join(once, "unit", "left_semi")
     fits = reason_fits(F.col("disposition"), F.col("reason"))
-    wrong = faults(rows, "unit", [("reason_not_allowed", ~fits), ("used_but_not_cited", fits & (F.col("disposition") == "used"))])
-    bad = bad.unionByName(wrong).unionByName(faults(both, "unit", [("classified_though_used", F.lit(True))]))
-    good = used.select("unit", F.lit("used").alias("disposition"), F.lit("supports_claim").alias("reason"))
+    flags = lambda cited, there, n, fit, wrong: [F.lit(cited).alias("cited"), F.lit(there).alias("there"), F.lit(n).cast("long").alias("n"), F.lit(fit).alias("fits"), F.lit(wrong).alias("uncited")]
+    told = given.select("unit", *flags(False, False, 1, fits, fits & (F.col("disposition") == "used")))
+    each = reduce(DataFrame.unionByName, [refs.select("unit", *flags(True, False, 0, False, False)), evidence.select("unit", *flags(False, True, 0, False, False)), told])
+    # one aggregate of numbers and flags by unit instead of joins, each of which would sort the units again
+    met = each.groupBy("unit").agg(*[F.bool_or(c).alias(c) for c in ("cited", "there", "fits", "uncited")], F.sum("n").alias("n"))
+    null, there, n = F.col("unit").isNull(), F.col("there"), F.col("n")  # a null id is no reference and answers nothing
+    used = F.col("cited") & there & ~null
+    once = there & ~used & ~null & (n == 1)
+    bad = faults(met, "unit", [
+        ("missing", there & ~used & ((n == 0) | null)), ("unknown", (n > 0) & (~there | null)), ("repeated", there & ~used & ~null & (n > 1)),
+        ("reason_not_allowed", once & ~F.col("fits")), ("used_but_not_cited", once & F.col("uncited")), ("classified_though_used", used & (n > 0)),
+    ])
+    good = met.filter(used).select("unit", F.lit("used").alias("disposition"), F.lit("supports_claim").alias("reason"))
+    rows = given.join(met.filter(once).select("unit"), "unit", "left_semi")
     return good.unionByName(rows.filter(fits & (F.col("disposition") != "used")).select("unit", "disposition", "reason")), bad
 
 

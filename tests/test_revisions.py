@@ -31,6 +31,18 @@ def test_revision_releases_evidence(spark):
     assert {("released_missing", "3"), ("released_repeated", "2"), ("released_unknown", "1")} <= set(found(rv.apply_revision(statements, blocked, revisions, evidence, old, wrong)[2]))
 
 
+def test_dispositions_need_no_joins(spark):
+    """The violations were seven joins, all of which sorted the units in one task; a null id answers nothing."""
+    units = lambda ids: spark.createDataFrame([(i,) for i in ids], "unit string")
+    fine, off = ("excluded", "off_topic"), ("redundant", "off_topic")
+    given = [("a", *fine), ("b", *fine), ("b", *fine), ("c", *off), ("d", "used", "supports_claim"), ("e", *fine), ("x", *fine), (None, *fine), ("g", None, None)]
+    good, bad = rv.finalize_dispositions(units(["a", "a", "y", None]), units(["a", "b", "c", "d", "e", "f", "g", None]), spark.createDataFrame(given, "unit string, disposition string, reason string"))
+    want = [("classified_though_used", "a"), ("missing", "None"), ("missing", "f"), ("reason_not_allowed", "c"), ("reason_not_allowed", "g"), ("repeated", "b"), ("unknown", "None"), ("unknown", "x"), ("used_but_not_cited", "d")]
+    assert sorted((x.code, str(x.item)) for x in bad.collect()) == want
+    assert sorted(tuple(x) for x in good.collect()) == [("a", "used", "supports_claim"), ("e", *fine)]
+    assert "Join " not in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rules_of_statement_revisions(spark):
     st = [(x, "f", i, x == "one", x.upper(), ["1", "2"]) for i, x in enumerate(["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"])]
     items = "statement_id string, action string, items array<struct<statement:string,units:array<string>>>"
