@@ -138,8 +138,14 @@ def fact_owner(facts: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame
 
 def match_labels(claims: DataFrame, labels: DataFrame, by: str, claim: str, label: str) -> DataFrame:
     """Per claim the longest label of its table that it contains, the last one by name among equals."""
-    met = claims.join(labels, by).filter(F.contains(F.col(claim), F.col(label)))
-    return met.groupBy(by, claim).agg(F.max_by(label, F.struct(F.length(label), F.col(label))).alias("label"))
+    from litspark.operators.trees import written
+
+    # labels meet a claim as one array, so that its text isn't repeated for each of them and sorted as a key
+    tables = labels.groupBy(by).agg(F.collect_set(label).alias("__labels"))
+    held = F.filter("__labels", lambda x: F.contains(F.col(claim), x))
+    best = F.array_max(F.transform(held, lambda x: F.struct(F.length(x).alias("n"), x.alias("label"))))["label"]
+    # written, since Spark may push the filter, which needs the claim, to the side of the labels
+    return written(claims.join(tables, by).select(by, claim, best.alias("label")), "labels").filter("label IS NOT NULL").distinct()
 
 
 def fixed_batches(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:

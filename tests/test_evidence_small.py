@@ -66,6 +66,10 @@ def test_labels_and_replacements(spark):
     claims = spark.createDataFrame([("p", "the north bridge fell"), ("p", "nothing"), ("q", "the north")], "paper string, claim string")
     labels = spark.createDataFrame([("p", "north"), ("p", "north bridge"), ("p", "xx"), ("q", "bridge")], "paper string, label string")
     assert found(evidence.match_labels(claims, labels, "paper", "claim", "label")) == [("p", "the north bridge fell", "north bridge")]
+    repeated = claims.unionByName(claims).unionByName(claims.limit(1).withColumn("claim", F.lit(None).cast("string")))
+    best = evidence.match_labels(repeated, labels, "paper", "claim", "label")
+    assert found(best) == [("p", "the north bridge fell", "north bridge")]
+    assert "SortAggregate" not in best._jdf.queryExecution().executedPlan().toString()  # claims were sorted once for each label
     rows = lambda *x: spark.createDataFrame(x, "paper string, unit string, text string, at int")
     blocked = rows(("p", "b", "rivers rise fast", 3))
     supported = rows(("p", "near", "rivers rise", 2), ("p", "far", "rivers rise fast", 5), ("q", "other", "rivers rise fast", 2), ("p", "unlike", "xyz", 4))
