@@ -14,13 +14,15 @@ from pyspark.sql.streaming import StatefulProcessor
 LEGAL = {"queued": ["running", "failed"], "running": ["completed", "failed"]}
 LEDGER = "job long, seq long, state string, problem string"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 class JobLedger(StatefulProcessor):
-    """State of one job: its last state, the papers that it has results of, each on its own, and one timer.
+    """State of a shard of jobs: of each its last state and when it falls due, of running ones their papers, and one timer.
 
-    The timer is set anew with each batch that has rows of the job. When it fires, an open job is marked as interrupted,
-    and the state of any job is given up.
+    State and timer are fetched and put once for a shard and batch, since each call leaves Python. A job falls due anew
+    with each batch that has rows of it. When the timer fires, open jobs that are due are marked as interrupted, and the
+    state of any job that is due is given up; the timer is then set for the next one.
     """
 
     def __init__(self, wait: int):
@@ -28,37 +30,65 @@ class JobLedger(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "state string, due long")
-        self.papers = handle.getMapState("papers", "paper string", "seq long")
+        self.last = handle.getListState("last", "job long, state string, due long")
+        self.papers = handle.getListState("papers", "job long, paper string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def keep(self, held: dict[int, tuple[str | None, int]], watermark: int) -> None:
+        """Puts the states held, and the timer for the first of them that falls due."""
+        self.last.put([(job, *x) for job, x in held.items()]) if held else self.last.clear()
+        set_for = self.timer.get()
+        due = max(min(x[1] for x in held.values()), watermark + 1) if held else None
+        if set_for and set_for[0] != due:
+            self.handle.deleteTimer(set_for[0])
+        if due is None:
+            self.timer.clear()
+        elif not set_for or set_for[0] != due:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, due = self.last.get() if self.last.exists() else (None, None)
-        df = pd.concat(list(rows)).sort_values("seq")
-        out = []
-        for seq, new, paper in zip(df["seq"], df["state"], df["paper"], strict=True):
+        held = {job: (state, due) for job, state, due in self.last.get()}
+        papers = set(self.papers.get())
+        df = pd.concat(list(rows)).sort_values(["job", "seq"])
+        watermark, known = timerValues.getCurrentWatermarkInMs(), set(papers)
+        out, ended = [], set()
+        for job, seq, new, paper in zip(*(df[c].tolist() for c in ("job", "seq", "state", "paper")), strict=True):
+            state, due = held.get(job, (None, None))
             problem = None
             if isinstance(paper, str):
-                problem = "not_running" if state != "running" else "duplicate_result" if self.papers.containsKey((paper,)) else None
+                problem = "not_running" if state != "running" else "duplicate_result" if (job, paper) in papers else None
                 if problem is None:
-                    self.papers.updateValue((paper,), (int(seq),))
+                    papers.add((job, paper))
             elif new == "queued" if state is None else new in LEGAL.get(state, []):
                 state = new
+                if state not in LEGAL:
+                    ended.add(job)  # a closed job takes no more results
             else:
                 problem = "illegal"
-            out.append((key[0], seq, state, problem))
-        latest = max(int(df["at"].max().timestamp() * 1000) + self.wait, timerValues.getCurrentWatermarkInMs() + 1)
-        if due is not None:
-            self.handle.deleteTimer(due)
-        self.handle.registerTimer(latest)
-        self.last.update((state, latest))
+            held[job] = (state, due)
+            out.append((job, seq, state, problem))
+        for job, at in df.groupby("job")["at"].max().items():
+            held[int(job)] = (held[job][0], max(int(at.timestamp() * 1000) + self.wait, watermark + 1))
+        self.keep(held, watermark)
+        if any(p[0] in ended for p in known):
+            self.papers.put(left) if (left := [p for p in papers if p[0] not in ended]) else self.papers.clear()
+        elif more := [p for p in papers - known if p[0] not in ended]:
+            self.papers.appendList(more)
         yield pd.DataFrame(out, columns=["job", "seq", "state", "problem"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.last.get()[0] if self.last.exists() else None
-        self.last.clear()
-        self.papers.clear()
-        if state in ("queued", "running"):
-            yield pd.DataFrame({"job": [key[0]], "seq": [None], "state": ["failed"], "problem": ["interrupted"]})
+        watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = {job: (state, due) for job, state, due in self.last.get()}
+        silent = {job: state for job, (state, due) in held.items() if due <= watermark}
+        self.timer.clear()  # it has fired
+        self.keep({job: x for job, x in held.items() if job not in silent}, watermark)
+        before = list(self.papers.get())
+        if len(left := [p for p in before if p[0] not in silent]) < len(before):
+            self.papers.put(left) if left else self.papers.clear()
+        open_ = [job for job, state in silent.items() if state in LEGAL]
+        if open_:
+            yield pd.DataFrame({"job": open_, "seq": None, "state": "failed", "problem": "interrupted"})
 
     def close(self) -> None:
         pass
@@ -66,17 +96,23 @@ class JobLedger(StatefulProcessor):
 
 @contextmanager
 def rocksdb(spark: SparkSession):
-    """Streams that are started inside keep their state in RocksDB, which map states and timers need."""
-    before = spark.conf.get(PROVIDER)
+    """Streams that are started inside keep their state in RocksDB, which list states and timers need.
+
+    Each partition opens a store and starts Python in each batch, so there are at most two for each core. A stream
+    keeps the number of its first start.
+    """
+    before = {name: spark.conf.get(name) for name in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(PARTITIONS, min(int(before[PARTITIONS]), 2 * spark.sparkContext.defaultParallelism))
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def job_states(events: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """Streaming ledger of jobs: (job, seq, state, problem) for each event, keyed by job.
+def job_states(events: DataFrame, idle: str = "1 hour", shards: int = 2048) -> DataFrame:
+    """Streaming ledger of jobs: (job, seq, state, problem) for each event, keyed by ``shards`` groups of jobs.
 
     events: job, seq, at, state and paper. A row with a paper is the result of that paper. problem is null, ``illegal``
     for a change that isn't allowed, ``not_running`` or ``duplicate_result`` for a paper's result, or ``interrupted`` for
@@ -84,8 +120,8 @@ def job_states(events: DataFrame, idle: str = "1 hour") -> DataFrame:
     of seq first. Start it inside of ``rocksdb``.
     """
     wait = int(pd.Timedelta(idle).total_seconds() * 1000)
-    timed = events.withWatermark("at", "0 seconds")
-    return timed.groupBy("job").transformWithStateInPandas(statefulProcessor=JobLedger(wait), outputStructType=LEDGER, outputMode="Append", timeMode="EventTime")
+    timed = events.withWatermark("at", "0 seconds").withColumn("shard", F.pmod(F.xxhash64("job"), F.lit(shards)))
+    return timed.groupBy("shard").transformWithStateInPandas(statefulProcessor=JobLedger(wait), outputStructType=LEDGER, outputMode="Append", timeMode="EventTime")
 
 
 def take_in(spark: SparkSession, path: str, table: str, schema: str, idle: str = "1 hour") -> None:

@@ -1,7 +1,9 @@
 """Streams against their batch twins, over restarts."""
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from litspark.streaming import corpus, jobs
@@ -83,3 +85,68 @@ def test_session_keeps_its_state_store(spark):
     with jobs.rocksdb(spark):
         assert "RocksDB" in spark.conf.get(jobs.PROVIDER)
     assert spark.conf.get(jobs.PROVIDER) == before
+
+
+class Cells:
+    """A state variable that counts its calls, as each leaves Python."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.held if isinstance(self.held, tuple) else iter(self.held)
+
+    def put(self, values):
+        self.calls.append("put")
+        self.held = values
+
+    def appendList(self, values):
+        self.put([*self.held, *values])
+
+    update = put
+
+    def clear(self):
+        self.put(type(self.held)())
+
+    updateValue = exists = containsKey = None  # were called for each job and paper
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getListState(self, *_):
+        return Cells(self.calls)
+
+    def getValueState(self, *_):
+        cell = Cells(self.calls)
+        cell.held = ()
+        return cell
+
+    getMapState = getListState
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("timer")
+        self.timers.remove(at)
+
+
+def test_calls_of_state_do_not_grow_with_jobs():
+    """Each job had a dozen calls for each batch; a shard has as many, whatever number of jobs it has."""
+    values = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for n in (5, 500):
+        ledger, handle = jobs.JobLedger(1000), Handle()
+        ledger.init(handle)
+        rows = [(j, 3 * j + k, pd.Timestamp(j + 10, unit="s"), s, p) for j in range(n) for k, (s, p) in enumerate([("queued", None), ("running", None), ("result", "a")])]
+        frame = pd.DataFrame(rows, columns=["job", "seq", "at", "state", "paper"])
+        out = pd.concat(ledger.handleInputRows((0,), iter([frame[:7], frame[7:]]), values))
+        assert len(out) == 3 * n and out["problem"].isna().all() and handle.timers == {11000}
+        fired = SimpleNamespace(getExpiryTimeInMs=lambda: 13000)
+        handle.timers.clear()
+        gone = pd.concat(ledger.handleExpiredTimer((0,), values, fired))
+        assert gone["job"].tolist() == [0, 1, 2] and handle.timers == {14000} and len(handle.calls) < 20
+        assert {p[0] for p in ledger.papers.held} == set(range(3, n))
