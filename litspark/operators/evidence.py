@@ -124,15 +124,24 @@ def fact_owner(facts: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame
     least, in this order. delegated are the facts of all other units, with the owner that states them.
     """
     from litspark.operators.contracts import RANKING
+    from litspark.operators.trees import written
 
     identity = ["header", "row", "column", "fact"]
-    whole = facts.filter("header <> '' AND row <> '' AND column >= 0 AND fact <> ''")
-    counts = facts.groupBy("unit").agg(F.count(F.lit(1)).alias("n_facts"))
+    # parts of as many rows in any input, since Spark would join them by their packed size
+    parts = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), facts.count() // 500_000)
+    counted = facts.repartition(parts, "unit").withColumn("n_facts", F.count(F.lit(1)).over(Window.partitionBy("unit")))
+    whole = counted.filter("header <> '' AND row <> '' AND column >= 0 AND fact <> ''")
     plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", "")
-    met = whole.join(units.select("unit", "claim"), "unit").join(counts, "unit")
-    score = F.struct(F.col("claim").rlike(RANKING).cast("int").alias("ranks"), (~F.contains(plain("claim"), plain("row_label"))).cast("int").alias("unnamed"), "n_facts", "unit")
-    owners = met.groupBy(*identity).agg(F.min(score)["unit"].alias("owner"), F.countDistinct("unit").alias("n_units")).filter("n_units > 1")
-    delegated = met.join(owners.drop("n_units"), identity).filter(F.col("unit") != F.col("owner")).select("unit", *identity, "owner").distinct()
+    claims = units.select("unit", F.col("claim").rlike(RANKING).cast("int").alias("__ranks"), plain("claim").alias("__claim"))
+    unnamed = (~F.contains("__claim", plain("row_label"))).cast("int")
+    # ranks, unnamed and n_facts as one number, least first: aggregates of numbers need no sort of all rows, as those of structs do
+    rank = (2 * F.coalesce("__ranks", F.lit(-1)) + unnamed + 2).cast("long") * F.lit(1 << 48) + F.col("n_facts")
+    met = whole.join(claims, "unit").select("unit", *identity, rank.alias("__rank"))
+    met = written(met.groupBy("unit", *identity).agg(F.min("__rank").alias("__rank")), "stated")
+    first = met.groupBy(*identity, "__rank").agg(F.min("unit").alias("unit"), F.count(F.lit(1)).alias("n"))
+    owners = first.groupBy(*identity).agg(F.min_by("unit", "__rank").alias("owner"), F.sum("n").alias("n_units")).filter("n_units > 1")
+    owners = written(owners, "owners")
+    delegated = met.join(owners.drop("n_units"), identity).filter(F.col("unit") != F.col("owner")).select("unit", *identity, "owner")
     return owners, delegated
 
 

@@ -1,6 +1,7 @@
 """Corrections, owners of facts, cached requests and the small operators without SQL, on inline tables."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -52,6 +53,27 @@ def test_owners_of_facts(spark):
     assert sorted(x.unit for x in delegated.collect()) == [1, 2, 3]
 
 
+def test_owners_of_facts_sort_no_rows(spark):
+    """All facts were sorted to find the least struct, and sorted and joined anew for those that are delegated."""
+    r = random.Random(4)
+    claims = [None, "a", "a 最高", "b", "b 最低", ""]
+    facts = [(r.randrange(40), r.choice("hk"), r.choice(["r", "s", None]), r.randrange(-1, 2), r.choice("56"), r.choice(["a", "b", None])) for _ in range(600)]
+    units = [(u, r.choice(claims)) for u in range(38)]
+    owners, delegated = evidence.fact_owner(spark.createDataFrame(facts, "unit int, header string, row string, column int, fact string, row_label string"), spark.createDataFrame(units, "unit int, claim string"))
+    n, claim, best = Counter(f[0] for f in facts), dict(units), {}
+    for u, *key, label in facts:
+        if u in claim and None not in key and key[2] >= 0:
+            ranks = -1 if claim[u] is None else int("最" in claim[u])
+            unnamed = int((label or "") not in (claim[u] or ""))
+            best.setdefault(tuple(key), {}).setdefault(u, []).append((ranks, unnamed, n[u], u))
+    want = {k: min(min(x) for x in by.values())[3] for k, by in best.items() if len(by) > 1}
+    assert found(owners) == found_rows((*k, o, len(best[k])) for k, o in want.items())
+    assert found(delegated.select("unit", "header", "row", "column", "fact", "owner")) == found_rows((u, *k, o) for k, o in want.items() for u in best[k] if u != o)
+    for df in (owners, delegated):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Window" not in plan and plan.count("Scan") <= 2
+
+
 def test_requests_found_in_parent_runs(spark):
     runs = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "run string, parent string")
     cache = spark.createDataFrame([("a", 1, "p", "m"), ("b", 1, "p", "old"), ("a", 2, "q", None), ("c", 3, "r", "m"), ("y", 4, "s", "m"), ("b", 5, "t", "m"), ("a", 5, "u", "m")], "run string, key int, prompt string, model string")
