@@ -48,6 +48,17 @@ def references(statements: DataFrame) -> DataFrame:
     return statements.select(F.explode("units").alias("unit")).distinct()
 
 
+def disposition_rules() -> tuple[Column, Column, list[tuple[str, Column]]]:
+    """Whether a unit is used, whether it is answered once, and rules, by its cited, there, n, fits and uncited."""
+    null, there, n = F.col("unit").isNull(), F.col("there"), F.col("n")  # a null id is no reference and answers nothing
+    used = F.col("cited") & there & ~null
+    once = there & ~used & ~null & (n == 1)
+    return used, once, [
+        ("missing", there & ~used & ((n == 0) | null)), ("unknown", (n > 0) & (~there | null)), ("repeated", there & ~used & ~null & (n > 1)),
+        ("reason_not_allowed", once & ~F.col("fits")), ("used_but_not_cited", once & F.col("uncited")), ("classified_though_used", used & (n > 0)),
+    ]
+
+
 def finalize_dispositions(refs: DataFrame, evidence: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dispositions, violations): cited evidence is used, all other has exactly one disposition that isn't ``used``.
 
@@ -59,27 +70,17 @@ def finalize_dispositions(refs: DataFrame, evidence: DataFrame, given: DataFrame
     each = reduce(DataFrame.unionByName, [refs.select("unit", *flags(True, False, 0, False, False)), evidence.select("unit", *flags(False, True, 0, False, False)), told])
     # one aggregate of numbers and flags by unit instead of joins, each of which would sort the units again
     met = each.groupBy("unit").agg(*[F.bool_or(c).alias(c) for c in ("cited", "there", "fits", "uncited")], F.sum("n").alias("n"))
-    null, there, n = F.col("unit").isNull(), F.col("there"), F.col("n")  # a null id is no reference and answers nothing
-    used = F.col("cited") & there & ~null
-    once = there & ~used & ~null & (n == 1)
-    bad = faults(met, "unit", [
-        ("missing", there & ~used & ((n == 0) | null)), ("unknown", (n > 0) & (~there | null)), ("repeated", there & ~used & ~null & (n > 1)),
-        ("reason_not_allowed", once & ~F.col("fits")), ("used_but_not_cited", once & F.col("uncited")), ("classified_though_used", used & (n > 0)),
-    ])
+    used, once, rules = disposition_rules()
+    bad = faults(met, "unit", rules)
     good = met.filter(used).select("unit", F.lit("used").alias("disposition"), F.lit("supports_claim").alias("reason"))
     rows = given.join(met.filter(once).select("unit"), "unit", "left_semi")
     return good.unionByName(rows.filter(fits & (F.col("disposition") != "used")).select("unit", "disposition", "reason")), bad
 
 
-def revise_statements(statements: DataFrame, blocked: DataFrame, revisions: DataFrame, longest: int = 320) -> tuple[DataFrame, DataFrame]:
-    """(statements after revision, violations).
-
-    revisions: statement_id, action, items (array of statement and units). Every blocked statement is revised exactly once:
-    deleted, or replaced by one to four others (a single one by one), which cite only evidence that it cited. What is in
-    violation stays as it was. Places in a field are counted anew.
-    """
+def judged_revisions(statements: DataFrame, blocked: DataFrame, revisions: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
+    """(statements with ``out``, the array of what each becomes, as a written table; violations)."""
     once, bad = answered_once(blocked, revisions, "statement_id")
-    met = revisions.join(once, "statement_id", "left_semi").join(statements, "statement_id")
+    given = revisions.join(once, "statement_id", "left_semi").select("statement_id", "action", "items", F.lit(True).alias("met"))
     n, replaces, items = F.size("items"), F.col("action") == "replace", F.col("items")
     empty = F.exists(items, lambda x: (F.coalesce(F.length(x["statement"]), F.lit(0)) == 0) | (F.coalesce(F.size(x["units"]), F.lit(0)) <= 0))
     rules = [
@@ -92,13 +93,37 @@ def revise_statements(statements: DataFrame, blocked: DataFrame, revisions: Data
         ("new_evidence", replaces & F.exists(items, lambda x: F.size(F.array_except(x["units"], F.col("units"))) > 0)),
         ("unchanged", replaces & (n == 1) & (F.get(items, 0)["statement"] == F.col("statement")) & (F.get(items, 0)["units"] == F.col("units"))),
     ]
-    broken = written(faults(met, "statement_id", rules), "faults")
-    good = met.join(broken.select(F.col("item").alias("__id")).distinct(), F.col("statement_id").cast("string") == F.col("__id"), "left_anti")
-    new = good.filter(replaces).select("statement_id", "field", "pos", "single", F.posexplode("items").alias("part", "x")).select("statement_id", "field", "pos", "part", "single", F.col("x.statement").alias("statement"), F.col("x.units").alias("units"))
-    rest = statements.join(good.select("statement_id"), "statement_id", "left_anti").withColumn("part", F.lit(0))
-    out = rest.select(new.columns).unionByName(new)
-    place = F.row_number().over(Window.partitionBy("field").orderBy("pos", "part", "statement_id")) - 1
-    return out.select("statement_id", "part", "field", place.alias("pos"), "single", "statement", "units"), bad.unionByName(broken)
+    codes = F.when(F.col("met"), F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules])))
+    # rows of one id stand or fall together; the join has put them side by side
+    df = statements.join(given, "statement_id", "left").withColumn("codes", codes)
+    df = df.withColumn("ok", F.coalesce(F.max(F.size("codes")).over(Window.partitionBy("statement_id")) == 0, F.lit(False)) & F.coalesce("met", F.lit(False)))
+    one = lambda part, x, units: F.struct(part.cast("int").alias("part"), x.alias("statement"), units.alias("units"))
+    new = F.when(replaces, F.transform(items, lambda x, i: one(i, x["statement"], x["units"])))
+    out = F.when(~F.col("ok"), F.array(one(F.lit(0), F.col("statement"), F.col("units")))).otherwise(new)
+    judged = written(df.select("statement_id", "field", "pos", "single", "units", "codes", out.alias("out")), "judged")
+    return judged, bad.unionByName(judged.select(F.explode("codes").alias("code"), F.col("statement_id").cast("string").alias("item")))
+
+
+def placed(judged: DataFrame, block: int = 4096) -> DataFrame:
+    """The statements that came out, with places counted anew: inside of blocks of old places, after the rows of those before."""
+    df = judged.select("statement_id", "field", "pos", "single", F.floor(F.col("pos") / block).alias("__block"), F.explode("out").alias("x")).select("statement_id", "field", "pos", "single", "__block", "x.*")
+    sizes = df.groupBy("field", "__block").agg(F.count(F.lit(1)).alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("field").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("field").alias("__f"), F.col("__block").alias("__b"), start.alias("__start"))
+    place = F.row_number().over(Window.partitionBy("field", "__block").orderBy("pos", "part", "statement_id")) - 1
+    met = df.withColumn("__place", place).join(starts, F.col("field").eqNullSafe(F.col("__f")) & F.col("__block").eqNullSafe(F.col("__b")))
+    return met.select("statement_id", "part", "field", (F.col("__start") + F.col("__place")).cast("int").alias("pos"), "single", "statement", "units")
+
+
+def revise_statements(statements: DataFrame, blocked: DataFrame, revisions: DataFrame, longest: int = 320) -> tuple[DataFrame, DataFrame]:
+    """(statements after revision, violations).
+
+    revisions: statement_id, action, items (array of statement and units). Every blocked statement is revised exactly once:
+    deleted, or replaced by one to four others (a single one by one), which cite only evidence that it cited. What is in
+    violation stays as it was. Places in a field are counted anew.
+    """
+    judged, bad = judged_revisions(statements, blocked, revisions, longest)
+    return placed(judged), bad
 
 
 def apply_revision(statements: DataFrame, blocked: DataFrame, revisions: DataFrame, evidence: DataFrame, dispositions: DataFrame, released: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,20 +131,40 @@ def apply_revision(statements: DataFrame, blocked: DataFrame, revisions: DataFra
 
     Evidence that was cited before and no longer is, is released: each such unit needs exactly one row of ``released``, no
     other unit has one, and its reason must be allowed. Together with the old dispositions of evidence that nothing cited
-    these are then finalized for all evidence.
+    these are then finalized for all evidence. All that is asked of a unit is one aggregate by unit.
     """
-    revised, bad = revise_statements(statements, blocked, revisions)
-    revised = written(revised, "revised")
-    before, after = references(statements), references(revised)
-    freed = before.join(after, "unit", "left_anti")
-    once, wrong = answered_once(freed, released, "unit")
-    wrong = wrong.withColumn("code", F.concat(F.lit("released_"), "code"))
-    old = dispositions.filter("disposition <> 'used'").join(freed, "unit", "left_anti").join(after, "unit", "left_anti")
-    given = old.select("unit", "disposition", "reason").unionByName(released.join(once, "unit", "left_semi").select("unit", "disposition", "reason"))
-    final, more = finalize_dispositions(after, evidence, given)
+    judged, bad = judged_revisions(statements, blocked, revisions, 320)
+    fits = reason_fits(F.col("disposition"), F.col("reason"))
+    old = dispositions.filter("disposition <> 'used'")
+    names = {"before": "boolean", "cited": "boolean", "there": "boolean", "n_old": "long", "old_fits": "boolean", "n_new": "long", "new_fits": "boolean", "new_uncited": "boolean"}
+    row = lambda df, **told: df.select("unit", *[told.get(c, F.lit(0 if kind == "long" else False)).cast(kind).alias(c) for c, kind in names.items()])
+    sure, one = F.lit(True), F.lit(1)
+    each = [
+        row(judged.select(F.explode("units").alias("unit")), before=sure),
+        row(judged.select(F.explode(F.flatten("out.units")).alias("unit")), cited=sure),
+        row(evidence, there=sure),
+        row(old.select("unit", fits.alias("f")), n_old=one, old_fits=F.col("f")),
+        row(released.select("unit", "disposition", fits.alias("f")), n_new=one, new_fits=F.col("f"), new_uncited=F.col("f") & (F.col("disposition") == "used")),
+    ]
+    met = reduce(DataFrame.unionByName, each).groupBy("unit").agg(*[(F.sum(c) if kind == "long" else F.bool_or(c)).alias(c) for c, kind in names.items()])
+    null = F.col("unit").isNull()
+    freed = F.col("before") & (~F.col("cited") | null)
+    met = met.withColumns({"freed": freed, "answered": freed & (F.col("n_new") == 1) & ~null})
+    kept, answered = null | (~F.col("freed") & ~F.col("cited")), F.col("answered")
+    n = F.when(kept, F.col("n_old")).otherwise(0) + answered.cast("long")
+    met = met.withColumns({"kept": kept, "n": n, "fits": (kept & F.col("old_fits")) | (answered & F.col("new_fits")), "uncited": answered & F.col("new_uncited")})
+    met = written(met.select("unit", "cited", "there", "freed", "answered", "kept", "n_new", "n", "fits", "uncited"), "units")
+
+    used, once, rules = disposition_rules()
+    freed, new, named = F.col("freed"), F.col("n_new"), F.col("freed") & ~answered & ~null
+    wrong = [("released_missing", freed & ((new == 0) | null)), ("released_unknown", (new > 0) & (~freed | null)), ("released_repeated", freed & (new > 1) & ~null)]
     # released units without a single answer have been named already
-    more = more.join(freed.join(once, "unit", "left_anti").select(F.col("unit").cast("string").alias("item")).withColumn("code", F.lit("missing")), ["code", "item"], "left_anti")
-    return revised, final, reduce(DataFrame.unionByName, [bad, wrong, more.select("code", "item")])
+    bad = bad.unionByName(faults(met, "unit", [*wrong, *[(code, broken & ~named if code == "missing" else broken) for code, broken in rules]]))
+    final = met.filter(used).select("unit", F.lit("used").alias("disposition"), F.lit("supports_claim").alias("reason"))
+    for given, which in ((old, F.col("kept")), (released, answered)):
+        rows = given.filter(fits & (F.col("disposition") != "used")).join(met.filter(once & which).select("unit"), "unit", "left_semi")
+        final = final.unionByName(rows.select("unit", "disposition", "reason"))
+    return placed(judged), final, bad
 
 
 def revise_evidence(evidence: DataFrame, blocked: DataFrame, revisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.operators import revisions as rv
+from litspark.operators.trees import written
 from litspark.plans.query import Tables, query
 
 
@@ -47,6 +48,7 @@ def q_apply_revision(t: Tables) -> DataFrame:
     st = cites.groupBy("k").agg(F.array_sort(F.collect_set("unit")).alias("units"))
     name, place = k.cast("string"), F.floor(k / 10)
     st = st.select("k", name.alias("statement_id"), (k % 10).cast("string").alias("field"), place.alias("pos"), (k % 50 == 0).alias("single"), F.concat(F.lit("s"), name).alias("statement"), "units")
+    st = written(st, "statements")  # else each use would group all lines again
     units = F.when(k % 11 == 6, F.col("units")).when(k % 5 == 2, F.array(F.get("units", F.lit(0)), F.lit("-1"))).otherwise(F.slice("units", 1, 1))
     text = F.concat(F.when(k % 11 == 6, "s").otherwise("new"), name)
     items = F.when(k % 4 != 3, F.array(F.struct(text.alias("statement"), units.alias("units"))))
@@ -54,7 +56,7 @@ def q_apply_revision(t: Tables) -> DataFrame:
     revisions = made.filter("k % 3 = 0 AND k % 7 <> 0").unionByName(made.filter("k % 101 = 1")).drop("k")
     fits = F.col("p") % 8 == 0
     released = cites.filter("p % 3 <> 0 AND p % 4 = 0").select("unit", F.when(fits, "peripheral").otherwise("excluded").alias("disposition"), F.when(fits, "background_only").otherwise("duplicate_support").alias("reason")).distinct()
-    cited = rv.references(st)
+    cited = written(rv.references(st), "cited")
     uncited = t.part.select(F.concat(part.cast("string"), F.lit(".x")).alias("unit"), part)
     old = uncited.filter("p_partkey % 2 = 0").select("unit", F.lit("excluded").alias("disposition"), F.lit("off_topic").alias("reason"))
     old = old.unionByName(cited.select("unit", F.lit("used").alias("disposition"), F.lit("supports_claim").alias("reason")))

@@ -127,3 +127,29 @@ def test_overrides_need_harmless_fragments(spark):
     rows = [("partially_supported", ["wording"], True), ("partially_supported", [], True), ("partially_supported", None, True), ("partially_supported", ["增长"], False), ("partially_supported", ["a", "5"], False), ("unsupported", ["a"], False)]
     df = spark.createDataFrame(rows, "v string, f array<string>, want boolean")
     assert all(x.got == x.want for x in df.withColumn("got", rv.override_allowed(df.v, df.f)).collect())
+
+
+def test_revision_judges_units_in_one_aggregate(spark):
+    """Units went through a dozen joins, and each field was numbered in one task."""
+    r = random.Random(3)
+    st = [(str(i), "fg"[i % 2], i * 31 % 900 * 50, False, f"s{i}", [str(u) for u in r.sample(range(40), 2)]) for i in range(60)]
+    statements = spark.createDataFrame(st, ST)
+    blocked = spark.createDataFrame([(x[0],) for x in st[::3]], "statement_id string")
+    given = [(x[0], "delete", []) if i % 2 else (x[0], "replace", [(f"n{i}", x[5][:1]), (f"m{i}", x[5][:1])]) for i, x in enumerate(st[::3])]
+    revisions = spark.createDataFrame(given, "statement_id string, action string, items array<struct<statement:string,units:array<string>>>")
+    evidence = spark.createDataFrame([(str(u),) for u in range(45)], "unit string")
+    old = spark.createDataFrame([(str(u), "excluded", "off_topic") for u in range(38, 45)], DISPOSITION)
+    new = spark.createDataFrame([("1", "excluded", "off_topic"), ("x", "used", "supports_claim")], DISPOSITION)
+    revised, _, bad = rv.apply_revision(statements, blocked, revisions, evidence, old, new)
+    after = [(f, p, 0, s, u) for i, f, p, _, s, u in st if int(i) % 3]
+    after += [(x[1], x[2], n, y[0], y[1]) for x, g in zip(st[::3], given, strict=True) for n, y in enumerate(g[2])]
+    by = {f: sorted(x for x in after if x[0] == f) for f in "fg"}
+    assert found(revised.select("field", "pos", "statement", "units")) == sorted((f, i, x[3], x[4]) for f in by for i, x in enumerate(by[f]))
+    before, cited = ({u for x in rows for u in x[-1]} for rows in (st, after))  # old dispositions of cited units are left out
+    freed = before - cited
+    want = [("released_missing", u) for u in freed - {"1"}] + [("released_unknown", u) for u in {"1", "x"} - freed]
+    want += [("missing", str(u)) for u in range(38) if str(u) not in before]
+    assert found(bad) == sorted(want)
+    assert "Join" not in bad.filter("code LIKE 'released%'")._jdf.queryExecution().optimizedPlan().toString().split("Union")[-1]
+    plan = revised._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(field#" in plan and "__block" in plan
