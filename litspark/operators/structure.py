@@ -281,17 +281,25 @@ def quote_violations(quotes: DataFrame, cards: DataFrame, key: str, text: str, m
     start, with the running maximum of the ends before, leave gaps, and each gap must be blank. A gap that isn't gives
     ``not_covered`` with the place of its first solid character and their number; overlaps cover nothing twice.
     """
+    from litspark.operators.trees import written
+
     c = cards.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.coalesce(F.lit(False) if kind is None else kind == "image", F.lit(False)).alias("__image"))
     own = quotes.select(F.col(key).alias("__key"), "quote_id", F.col("start_char").cast("long").alias("start"), F.col("end_char").cast("long").alias("end"), "quote")
+    own = written(own, "quotes")  # read twice below, and dear where the quotes are cut in Python
     ends = c.select("__key", F.lit(None).cast(own.schema["quote_id"].dataType).alias("quote_id"), F.length("__text").cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("quote"))
     spans = own.withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True)))
     before = Window.partitionBy("__key").orderBy("start", "last", "end", "quote_id").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("covered", F.greatest(F.coalesce(F.max(F.when(F.col("start") >= 0, F.col("end"))).over(before), F.lit(0).cast("long")), F.lit(0).cast("long")))
-    met = spans.join(c, "__key", "left")
-    slice_of = lambda a, z: F.substring(F.col("__text"), (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+    met = spans.join(c.withColumn("__length", F.length("__text")), "__key", "left")
     start, end, covered, quote = (F.col(x) for x in ("start", "end", "covered", "quote"))
+    # one walk through the text for each span: from what is covered to its end, where both the gap and the quote lie
+    met = met.withColumn("__low", F.greatest(F.least(covered, start), F.lit(0).cast("long")))
+    part_of = lambda x, at, n: F.substring(x, (at + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+    low, piece = F.col("__low"), F.col("__piece")
+    met = met.withColumn("__piece", part_of(F.col("__text"), low, F.greatest(start, F.coalesce(end, start)) - low))
+    slice_of = lambda a, z: part_of(piece, a - low, z - a)
     known = F.col("__text").isNotNull()
-    exact = F.coalesce((start >= 0) & (start < end) & (end <= F.length("__text")) & (slice_of(start, end) == quote), F.lit(False))
+    exact = F.coalesce((start >= 0) & (start < end) & (end <= F.col("__length")) & (slice_of(start, end) == quote), F.lit(False))
     row = lambda bad, code: F.when(bad, F.struct(F.lit(code).alias("code"), start.alias("at"), F.lit(1).cast("long").alias("n")))
     of_quote = [row(~known, "unknown_card"), row(known & ~exact, "not_a_slice"), row(F.length(quote) > most, "too_long"), row(quote.rlike(r"[\r\n]"), "several_lines"), row(F.col("__image"), "quote_of_image"), row(F.coalesce(F.col("quote_id").cast("string"), F.lit("")) == "", "id_missing")]
     solid = F.when(known & ~F.col("__image") & (covered < start), F.regexp_replace(slice_of(covered, start), f"^[{BLANK}]+", ""))

@@ -60,3 +60,11 @@ def test_frozen_rows(spark):
     frozen = spark.createDataFrame([(1, "a", None), (2, "B", None), (4, "e", "w"), (4, "e", None), (9, "q", "q")], "k int, f string, g string")
     got = {tuple(x) for x in relations.frozen_differences(stored, frozen, "k", ["f", "g"]).collect()}
     assert got == {(2, "differs", "f"), (2, "differs", "g"), (3, "not_frozen", None), (None, "not_frozen", None), (4, "repeated", None)}
+
+
+def test_quotes_are_cut_once(spark):
+    """Quotes were cut in Python once for their places and once more for their ids."""
+    c = spark.createDataFrame([("p", "ab  cd\n é x"), ("q", None)], "k string, t string")
+    found = structure.quote_violations(structure.split_quotes(c, "k", "t"), c, "k", "t")
+    assert found.count() == 0
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
