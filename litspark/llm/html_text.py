@@ -1,41 +1,47 @@
 """Main text of HTML pages by wrapper induction.
 
-For every host a few of its pages (``references``, those with the least hashes) are parsed and their DOM trees aligned
-by simple tree matching. Nodes whose text is the same in all of them are template; the slots that vary are content,
-unless their tags or classes say that they are menus, adverts, forms and the like. The wrapper of a host, the content
-slots of all references and the constant nodes, is then applied to all of its pages. Choosing references and applying
-wrappers is dealt by page, so a host with a third of all pages is no larger task than others; only the references of a
-host meet in one.
+All different pages of a host are parsed, and their DOM trees are aligned by simple tree matching with that of one of
+them, its base: the shortest page of the host's commonest layout. Nodes of the base that more than half of the pages
+have, with the same text in each page that has them, are template. Each page without articles then proposes the slots
+that vary in it; the wrapper of a host is its template and the slots that one in ``VOTES`` of the pages with such a node
+proposes, so that a container isn't lost where many pages have most of their text in one of its paragraphs. Both are counts over all pages of the host. The wrapper is then applied to all pages. All of this is dealt by
+page, and only counts are grouped by host, so a host with a third of all pages is no larger task than others.
 
 Every article, main and div of class article that isn't a marked part is content, whatever the wrapper says, and nothing
 inside of one is dropped for being constant, since copies of an article are content; only parts with the tag or class of
 an advert, notice, menu, header, footer, sidebar, form or readers' comments are. A slot that holds an article gives
-way to it. On a page without articles whose slots hold less than ``SHARE`` of its varying text, as when no reference has
-its layout, the innermost container with that share is added. Pages on which neither is found use the body.
+way to it. On a page without articles whose slots hold less than ``SHARE`` of its varying text, as when few pages have
+its layout, the innermost container with that share is added. Pages on which neither is found use the body, and so do
+hosts with a single page, which have no wrapper.
 
-Defined cases: null or empty html gives an empty text; null urls and urls without a host share a wrapper of one "host";
-broken markup is closed as browsers do; nesting may have any depth, since trees are walked without recursion; repeated
-rows are pages of their own; other columns play no part.
+Defined cases: null or empty html gives an empty text and counts for no wrapper; null urls and urls without a host share
+a wrapper of one "host"; broken markup is closed as browsers do; nesting may have any depth, since trees are walked
+without recursion; repeated rows are pages of their own, but count once in a wrapper; other columns play no part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.llm.common import saved
 
 #: share of the varying text that a container must hold to be taken for all of it
 SHARE = 0.8
+#: a slot is proposed by one in so many of its host's pages that have it at least
+VOTES = 6
+#: a slot is on one in so many of its host's pages without articles at least; pages with rarer ones find their own
+RARE = 100
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = set("head title script style noscript template nav footer aside form button select textarea iframe svg canvas object menu dialog".split())
 #: words of class, id and role attributes that mark parts which aren't the article
@@ -49,21 +55,34 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({
 BARRIERS = set("article main section div body td th li table nav footer aside header form blockquote".split())
 
 
+@lru_cache(1 << 14)
+def marks(tag: str, names: tuple[str, ...]) -> tuple[str, bool, bool, bool]:
+    """The label of an element by its class, id and role; whether these mark a part, and one inside of articles; whether it is an article."""
+    words = [w for x in names for w in re.split(r"[^a-z0-9]+", x.lower()) if w]
+    classes = set(names[0].lower().split())
+    article = tag in ("article", "main") or (tag == "div" and "article" in classes)
+    return ".".join([tag, *sorted(classes)]), any(w in PARTS for w in words), any(c in INNER_PARTS for c in classes), article
+
+
+@lru_cache(1 << 16)
+def path_of(above: str, label: str) -> str:
+    """A hash of all labels from the root, since those of deep nodes are long."""
+    return blake2b(f"{above}/{label}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 class Node:
     __slots__ = ("tag", "label", "kids", "boxes", "parent", "part", "path", "article", "kept", "holds", "start", "end", "shape", "size")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
-        words = [w for a in ("class", "id", "role") for w in re.split(r"[^a-z0-9]+", (attrs.get(a) or "").lower()) if w]
-        classes = set((attrs.get("class") or "").lower().split())
         self.tag, self.parent, self.kids, self.boxes = tag, parent, [], []
-        self.label = ".".join([tag, *sorted(classes)])
-        named = any(c in INNER_PARTS for c in classes) if parent and parent.kept else any(w in PARTS for w in words)
-        outside = tag == "header" and not (parent and parent.kept)
+        self.label, outer, inner, article = marks(tag, (attrs.get("class") or "", attrs.get("id") or "", attrs.get("role") or ""))
+        kept = parent is not None and parent.kept
+        named = inner if kept else outer
+        outside = tag == "header" and not kept
         self.part = tag in SKIPPED or outside or (tag not in ("html", "body", "article", "main") and named) or "hidden" in attrs
-        #: a hash of all labels from the root, since those of deep nodes are long
-        self.path = blake2b(f"{parent.path if parent else ''}/{self.label}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-        self.article = not self.part and (tag in ("article", "main") or (tag == "div" and "article" in classes))
-        self.kept = self.article or (parent is not None and parent.kept)
+        self.path = path_of(parent.path if parent else "", self.label)
+        self.article = not self.part and article
+        self.kept = self.article or kept
         self.holds, self.start, self.end, self.shape, self.size = False, 0, 0, -1, 1
 
 
@@ -71,6 +90,7 @@ class Builder(HTMLParser):
     """A tree of nodes and texts; end tags that are left out are added as browsers do.
 
     ``at`` has the places of each tag in the stack of open elements, so that closing needs no search through the stack.
+    Parts have no boxes: what is in them plays no role.
     """
 
     def __init__(self):
@@ -80,7 +100,11 @@ class Builder(HTMLParser):
         self.at: dict[str, list[int]] = defaultdict(list)
 
     def last(self, tags: set[str]) -> int:
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        most = 0
+        for t in tags:
+            if (places := self.at.get(t)) and places[-1] > most:
+                most = places[-1]
+        return most
 
     def close_to(self, tags: set[str], barriers: set[str]) -> None:
         i = self.last(tags)
@@ -96,7 +120,8 @@ class Builder(HTMLParser):
             self.close_to(*SIBLINGS[tag])
         node = Node(tag, dict(attrs), self.open[-1])
         self.open[-1].kids.append(node)
-        self.open[-1].boxes.append(node)
+        if not self.open[-1].part:
+            self.open[-1].boxes.append(node)
         if tag not in VOID:
             self.at[tag].append(len(self.open))
             self.open.append(node)
@@ -246,17 +271,22 @@ def best_rows(x: list[Node], y: list[Node], memo: dict, steps: np.ndarray | None
 
 
 def align(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node]]:
-    """The pairs of nodes that simple tree matching puts together."""
+    """The pairs of nodes that simple tree matching puts together; inside of articles, where nothing is dropped, none are sought."""
     pairs, todo = [], [(a, b)]
     while todo:
         a, b = todo.pop()
         pairs.append((a, b))
+        if a.kept:
+            continue
         n, end = trimmed(a.boxes, b.boxes)
         todo += zip(a.boxes[:n], b.boxes[:n], strict=True)
         todo += zip(a.boxes[len(a.boxes) - end :], b.boxes[len(b.boxes) - end :], strict=True)
         x, y = a.boxes[n : len(a.boxes) - end], b.boxes[n : len(b.boxes) - end]
         if not x or not y:
             continue
+        if len(x) == len(y) == 1:
+            todo += [(x[0], y[0])] if x[0].label == y[0].label else []
+            continue
         rows, columns = {s.shape: s for s in x}, {t.shape: t for t in y}
         for s in rows.values():
             for t in columns.values():
@@ -293,39 +323,81 @@ def innermost(page: Page, constant) -> Node | None:
     return slot
 
 
+class Template:
+    """The base of a host, and for each of its nodes with text and not in articles the pages that have it (seen), and that with its text (same)."""
+
+    def __init__(self, base: Page):
+        self.base, self.known = base, {}
+        shapes(base.root, self.known)
+        self.told = [n for n in base.nodes if base.text(n) and not (n.kept and n.parent.kept)]
+        self.at = {id(n): i for i, n in enumerate(self.told)}
+        self.seen, self.same = [0] * len(self.told), [0] * len(self.told)
+
+    def count(self, page: Page) -> None:
+        shapes(page.root, dict(self.known))
+        for a, b in align(self.base.root, page.root, {}):
+            if (i := self.at.get(id(a))) is not None:
+                self.seen[i] += 1
+                self.same[i] += self.base.text(a) == page.text(b)
+
+    def pairs(self) -> list[str | None]:
+        """What is known of a constant node on other pages; None in articles, where nothing is dropped."""
+        return [None if n.kept else self.base.pair(n) for n in self.told]
+
+
+def plain(page: Page) -> bool:
+    """Whether slots can be found on a page: it has no article with text, or classes that only begin like one."""
+    return not any(n.article and page.text(n) for n in page.nodes) or any(n.label.startswith("div.article") and not n.kept and page.text(n) for n in page.nodes)
+
+
+def proposed(page: Page, fixed: set[str]) -> set[str]:
+    """Paths of the slots that a page would have: varying containers of articles, or else the innermost of most of its varying text."""
+    varies = lambda n: page.pair(n) not in fixed
+    found = [n for n in page.nodes if n.label.startswith("div.article") and not n.kept and page.text(n) and varies(n)]
+    if not found and not any(n.article and page.text(n) for n in page.nodes):
+        found = [n for n in [innermost(page, lambda n: not varies(n))] if n]
+    return {n.path for n in found}
+
+
+def places(page: Page) -> set[str]:
+    """Paths at which a page could have a slot."""
+    return {n.path for n in page.nodes if not n.holds and not n.kept}
+
+
+def constant(seen, same, pages):
+    return (seen == same) & (seen * 2 > pages)
+
+
+def elected(chosen, seen, pages):
+    """Whether a path is a slot, by the pages that propose it, those that have it and those that could have slots."""
+    return (chosen * VOTES >= seen) & (seen > 1) & (seen * RARE >= pages)
+
+
 def induce(pages: list[str]) -> tuple[list[str], list[str]]:
-    """Paths of content slots and "path text" of constant nodes, from pages of one host.
+    """Paths of content slots and "path text" of constant nodes, from pages of one host, the first of which is the base.
 
-    A slot is a container whose text varies. The slots are those of all pages: of a page without articles the innermost
-    container that holds most of the varying text. Articles need no slots.
+    This is what ``wrappers`` finds on Spark, for pages in memory.
     """
     trees = [Page(p) for p in pages]
     if len(trees) < 2:
         return [], []
-    base, same, known = trees[0], {}, {}
-    for tree in trees:
-        shapes(tree.root, known)
-    for other in trees[1:]:
-        for a, b in align(base.root, other.root, {}):
-            same[id(a)] = same.get(id(a), 0) + (base.text(a) == other.text(b))
-    told = [n for n in base.nodes if base.text(n)]
-    constant = [n for n in told if same.get(id(n), 0) == len(trees) - 1]
-    fixed = {base.pair(n) for n in constant if not n.kept} if len(constant) < len(told) else set()
-    slots = set()
+    template = Template(trees[0])
     for tree in trees:
-        varies = lambda n, t=tree: t.pair(n) not in fixed
-        found = [n for n in tree.nodes if n.label.startswith("div.article") and not n.kept and tree.text(n) and varies(n)]
-        if not found and not any(n.article and tree.text(n) for n in tree.nodes):
-            found = [n for n in [innermost(tree, lambda n, v=varies: not v(n))] if n]
-        slots |= {n.path for n in found}
-    return sorted(slots), sorted(fixed)
+        template.count(tree)
+    same = [constant(*x, len(trees)) for x in zip(template.seen, template.same, strict=True)]
+    fixed = set() if all(same) else {p for p, c in zip(template.pairs(), same, strict=True) if c and p}
+    voters = [t for t in trees if plain(t)]
+    chosen = Counter(p for t in voters for p in proposed(t, fixed))
+    seen = Counter(p for t in voters for p in places(t))
+    return sorted(p for p, n in chosen.items() if elected(n, seen[p], len(voters))), sorted(fixed)
 
 
-def extract(html: str, slots: set[str], fixed: set[str]) -> str:
+def extract(html: str, slots: set[str] | None, fixed: set[str]) -> str:
+    """The text by a wrapper; slots is None where the host has none."""
     page = Page(html)
     drop = (lambda n: not n.kept and page.pair(n) in fixed) if fixed else (lambda n: False)
-    found = {id(n): n for n in page.nodes if n.article or (n.path in slots and not n.holds)}
-    if found and not any(n.article and page.text(n) for n in found.values()) and (body := page.body()):
+    found = {id(n): n for n in page.nodes if n.article or (slots and n.path in slots and not n.holds)}
+    if slots is not None and not any(n.article and page.text(n) for n in found.values()) and (body := page.body()):
         if sum(len(text_of(n, drop)) for n in outer(page, found)) < SHARE * len(text_of(body, drop)):
             slot = innermost(page, drop)
             found[id(slot)] = slot
@@ -358,33 +430,100 @@ def small_side(table: DataFrame, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(table) if (table.agg(F.sum(held.cast("long"))).first()[0] or 0) <= most else table
 
 
-def wrappers(pages: DataFrame, references: int, salts: int = 64) -> DataFrame:
-    """(host, slots, fixed) of each host with two pages or more."""
-    keys = pages.select("host", "key").distinct().withColumn("salt", F.pmod("key", F.lit(salts)))
-    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
-    few = keys.withColumn("n", least("host", "salt")).filter(F.col("n") <= references)
-    few = few.withColumn("n", least("host")).filter(F.col("n") <= references).select("host", "key")
-    few = small_side(saved(few, "references"))
-    chosen = pages.select("host", "key", "html").join(few, ["host", "key"], "left_semi").dropDuplicates(["host", "key"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        slots, fixed = induce(group.sort_values("key")["html"].tolist())
-        return pd.DataFrame({"host": group["host"].iloc[:1], "slots": [slots], "fixed": [fixed]})
-
-    return chosen.groupBy("host").applyInPandas(run, "host string, slots array<string>, fixed array<string>")
-
-
-def main_texts(pages: DataFrame, references: int = 6) -> DataFrame:
+def layout_of(html: Column) -> Column:
+    """A hash of the set of a page's tags and classes; classes with digits are left out, as they often number pages."""
+    found = F.regexp_extract_all(html, F.lit(r"(<[a-zA-Z][^\s/>]*|\sclass\s*=\s*[\"'][^\"'0-9]*[\"'])"), F.lit(1))
+    return F.xxhash64(F.array_sort(F.array_distinct(found)))
+
+
+def by_host(batch: pa.RecordBatch) -> Iterator[tuple[str, list[int]]]:
+    """The places of each host's rows in a batch."""
+    hosts = batch.column("host").to_pylist()
+    for host, rows in groupby(sorted(range(len(hosts)), key=hosts.__getitem__), key=hosts.__getitem__):
+        yield host, list(rows)
+
+
+COMPARED = "host string, key long, node int, pair string, seen long, same long"
+VOTED = "host string, path string, chosen long, seen long"
+
+
+def table(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in kinds.split(", "))])
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the base's nodes, for each host of a batch; the keys of pages on which slots can be found."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, at in by_host(batch):
+            template = Template(Page(batch.column("base")[at[0]].as_py()))
+            for i in at:
+                page = Page(batch.column("html")[i].as_py())
+                template.count(page)
+                if plain(page):
+                    rows.append((host, batch.column("key")[i].as_py(), None, None, None, None))
+            rows += [(host, None, i, *x) for i, x in enumerate(zip(template.pairs(), template.seen, template.same, strict=True))]
+        yield table(rows, COMPARED)
+
+
+def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pages of each host of a batch have a path at which slots can be, and propose it; as path null, how many pages there are."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for host, at in by_host(batch):
+            fixed = set(batch.column("fixed")[at[0]].as_py())
+            chosen, seen = Counter(), Counter()
+            for i in at:
+                page = Page(batch.column("html")[i].as_py())
+                chosen.update(proposed(page, fixed))
+                seen.update(places(page))
+            rows += [(host, p, chosen[p], n) for p, n in seen.items()]
+            rows.append((host, None, 0, len(at)))
+        yield table(rows, VOTED)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, slots, fixed) of each host with two different pages or more, from all of its pages."""
+    told = pages.filter(F.col("html") != "").select("host", "key", "html")
+    facts = told.select("host", "key", layout_of(F.col("html")).alias("layout"), F.length("html").alias("length"))
+    keys = saved(facts.groupBy("host", "key").agg(F.min("layout").alias("layout"), F.min("length").alias("length"), F.count("*").alias("rows")), "keys")
+    layouts = keys.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min(F.struct("length", "key")).alias("least"))
+    hosts = layouts.groupBy("host").agg(F.min_by("least.key", F.struct(-F.col("n"), "layout")).alias("key"), F.sum("n").alias("pages"))
+    hosts = small_side(saved(hosts.filter("pages > 1"), "hosts"))
+    bases = told.join(hosts, ["host", "key"]).dropDuplicates(["host", "key"]).select("host", F.col("html").alias("base"))
+    copied = small_side(saved(keys.filter("rows > 1").select("host", "key"), "copied"))
+    once = told.join(copied, ["host", "key"], "left_anti").union(told.join(copied, ["host", "key"], "left_semi").dropDuplicates(["host", "key"]))
+
+    compared = saved(once.join(small_side(saved(bases, "bases")), "host").select("host", "key", "html", "base").mapInArrow(compare, COMPARED), "compared")
+    nodes = compared.filter("node is not null").groupBy("host", "node").agg(F.max("pair").alias("pair"), F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    nodes = nodes.join(hosts.select("host", "pages"), "host").withColumn("constant", constant(F.col("seen"), F.col("same"), F.col("pages")))
+    fixed = nodes.groupBy("host").agg(F.bool_and("constant").alias("all"), F.collect_set(F.when(F.col("constant"), F.col("pair"))).alias("fixed"))
+    fixed = hosts.select("host").join(fixed, "host", "left")
+    fixed = saved(fixed.select("host", F.when(F.col("all"), F.array().cast("array<string>")).otherwise(F.coalesce("fixed", F.array().cast("array<string>"))).alias("fixed")), "fixed")
+
+    voters = small_side(saved(compared.filter("key is not null").select("host", "key"), "voters"))
+    votes = once.join(voters, ["host", "key"], "left_semi").join(small_side(fixed), "host").select("host", "html", "fixed").mapInArrow(vote, VOTED)
+    votes = saved(votes.groupBy("host", "path").agg(F.sum("chosen").alias("chosen"), F.sum("seen").alias("seen")), "votes")
+    voting = votes.filter("path is null").select("host", F.col("seen").alias("pages"))
+    slots = votes.filter("path is not null and chosen > 0").join(voting, "host").filter(elected(F.col("chosen"), F.col("seen"), F.col("pages")))
+    slots = slots.groupBy("host").agg(F.collect_set("path").alias("slots"))
+    return fixed.join(slots, "host", "left").select("host", F.coalesce("slots", F.array().cast("array<string>")).alias("slots"), "fixed")
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("key"))
-    met = rows.join(small_side(saved(wrappers(rows, references), "wrappers")), "host", "left").select("page_id", "url", "html", "slots", "fixed")
+    met = rows.join(small_side(saved(wrappers(rows), "wrappers")), "host", "left").select("page_id", "url", "html", "slots", "fixed")
     kinds = {f.name: f.dataType.simpleString() for f in met.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             args = zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "fixed")), strict=True)
-            texts = pa.array([extract(h, set(s or ()), set(f or ())) if h else "" for h, s, f in args], pa.string())
+            texts = pa.array([extract(h, None if s is None else set(s), set(f or ())) if h else "" for h, s, f in args], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"])
 
     out = met.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from litspark.llm import html_text, language, mixing, secrets
 
@@ -228,3 +229,63 @@ def test_headers_outside_of_articles_are_dropped(spark):
     ]
     got = {x.page_id: x.text for x in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "Story text", 2: "Title Body"}
+
+
+def wrapped(spark, pages):
+    return {x.page_id: x.text for x in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def framed(i, lead, story):
+    return f"<html><body><div class='top'>Site name</div><div class='lead'>{lead}</div><div class='story'><p>told {i}</p><p>{story}</p></div><div class='end'>Imprint</div></body></html>"
+
+
+def test_wrappers_count_all_pages_of_a_host(spark):
+    story = lambda i: " ".join(f"word{i * k}" for k in range(20))
+    # a lead that varies on one page of 40 is no template, though six pages could all have the same
+    pages = [(i, "http://a.org/", framed(i, "Other lead" if i == 17 else "Same lead", i * 7)) for i in range(40)]
+    # rare layouts have slots too: three pages of 60 are notes
+    pages += [(100 + i, "http://b.org/", framed(i, "Same lead", story(i))) for i in range(57)]
+    pages += [(160 + i, "http://b.org/", f"<html><body><div class='top'>Site name</div><section class='note'><p>noted {i}</p><p>{story(i + 60)}</p></section><div class='by'>By writer {i}</div></body></html>") for i in range(3)]
+    got = wrapped(spark, pages)
+    assert all("Site name" not in x and "Imprint" not in x for x in got.values())
+    assert [got[i] for i in range(40)] == [f"{'Other lead' if i == 17 else 'Same lead'} told {i} {i * 7}" for i in range(40)]
+    assert [got[100 + i] for i in range(57)] == [f"told {i} {story(i)}" for i in range(57)]
+    assert [got[160 + i] for i in range(3)] == [f"noted {i} {story(i + 60)}" for i in range(3)]
+
+
+def test_copies_and_odd_pages_in_wrappers(spark):
+    odd = "<html><body><p>Not found</p></body></html>"
+    texts = [framed(i, f"Lead {i}", f"more {i * 7}") for i in range(4)]
+    # copies count once, so that a page with 30 of them is no template; short and empty pages aren't bases
+    pages = [(k, "http://c.org/", texts[0]) for k in range(30)] + [(30 + i, "http://c.org/", x) for i, x in enumerate([*texts[1:], odd, "", None])]
+    got = wrapped(spark, pages)
+    assert {got[k] for k in range(30)} == {"Lead 0 told 0 more 0"}
+    assert [got[30 + i] for i in range(6)] == [*(f"Lead {i} told {i} more {i * 7}" for i in (1, 2, 3)), "Not found", "", ""]
+
+
+def test_wrappers_on_spark_equal_those_in_memory(spark):
+    r = random.Random(5)
+    part = lambda c, n: "".join(f"<div class='{c}'>{r.choice(['same', 'this', str(r.random())]) if n else 'fixed'}<p>{r.randrange(n + 1)}</p></div>" for _ in range(r.randrange(3)))
+    for n in range(3):
+        hosts = {f"h{n}{k}.org": list({f"<html><body>{part('a', 0)}<div class='top'>x</div>{part('b', 5)}{part('article-body', 9)}{part('c', k)}</body></html>" for _ in range(30)}) for k in range(4)}
+        rows = [(h, p) for h, found in hosts.items() for p in found]
+        df = spark.createDataFrame(rows, "host string, html string").withColumn("key", F.xxhash64("html"))
+        facts = df.select("host", "html", "key", html_text.layout_of(F.col("html")).alias("layout")).collect()
+        want = {}
+        for host, found in hosts.items():
+            mine = [x for x in facts if x.host == host]
+            many = Counter(x.layout for x in mine)
+            base = min(mine, key=lambda x: (-many[x.layout], x.layout, len(x.html), x.key)).html
+            want[host] = html_text.induce([base, *(p for p in found if p != base)])
+        got = {x.host: (sorted(x.slots), sorted(x.fixed)) for x in html_text.wrappers(df.union(df).repartition(7)).collect()}
+        assert got == want and any(f for _, f in want.values()) and any(s for s, _ in want.values())
+
+
+def test_slots_of_few_pages_keep_the_rest_of_others(spark):
+    # most pages have nearly all of their text in one paragraph, in which the innermost container is; one page in six shows that the rest is content too
+    long = lambda i: f"<p><b>{' '.join(f'word{i * k}' for k in range(40))}</b> end</p>"
+    pages = [(i, "http://d.org/", f"<body><div class='story'><h1>Title {i}</h1>{long(i)}<p>last {i}</p></div></body>") for i in range(5)]
+    pages.append((5, "http://d.org/", "<body><div class='story'><h1>Title of five words</h1><p>told</p><p>last</p></div></body>"))
+    got = wrapped(spark, pages)
+    assert [got[i][: len("Title 0")] for i in range(5)] == [f"Title {i}" for i in range(5)] and all(got[i].endswith(f"end last {i}") for i in range(5))
+    assert got[5] == "Title of five words told last"
